@@ -82,3 +82,119 @@ def q_graph_statistics(spark, sf_dir):
 SELECT depth_level, count(*) AS nodes FROM dag_graph GROUP BY depth_level""")
 def q_depth_histogram(spark, sf_dir):
     return G.depth_histogram(dag_graph(spark, sf_dir))
+
+
+def dag_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = S.dag_nodes(spark, sf_dir)
+    return G.degrees(nodes, G.keep_known_endpoints(S.dag_edges(spark, sf_dir), nodes))
+
+
+# ------------------------------------------------------------ G5, G6, R3
+DAG_CTX_SQL = """
+ctx(target, node, hops) AS (
+  SELECT lookup_id, lookup_id, 0 FROM dag_deg WHERE in_degree = 0
+  UNION SELECT c.target, e.dst, c.hops + 1 FROM ctx c JOIN dag_edges e ON e.src = c.node
+  WHERE c.hops < 3),
+ctx_min AS (SELECT target, node, CAST(min(hops) AS INTEGER) AS hops FROM ctx GROUP BY 1, 2)"""
+
+
+@register("dependency_context", f"""WITH RECURSIVE {DAG_CTES}, {DAG_CTX_SQL}
+SELECT target, node, hops FROM ctx_min""")
+def q_dependency_context(spark, sf_dir):
+    g = dag_degrees(spark, sf_dir)
+    return G.reachable(dag_edges_known(spark, sf_dir), g.where("is_root").select("lookup_id"), 3)
+
+
+@register("context_summary", f"""WITH RECURSIVE {DAG_CTES}, {DAG_CTX_SQL}
+SELECT c.target, any_value(t.name) AS primary_function,
+       count(*) AS dependency_count, count(*) - 1 AS dependency_count_excl_self,
+       count(*) AS graph_depth, count(*) AS total_functions, max(c.hops) AS max_hops,
+       array_to_string(list_sort(list_distinct(list(n.file_name))), ',') AS files_involved,
+       array_to_string(list_sort(list_distinct(list(n.module_name))), ',') AS modules_involved,
+       coalesce(bool_or(n.has_error_handling), false) AS has_error_handling,
+       count(*) FILTER (WHERE n.is_async) AS async_functions,
+       CAST(1 AS BIGINT) AS call_paths_count
+FROM ctx_min c JOIN dag_nodes n ON n.lookup_id = c.node JOIN dag_nodes t ON t.lookup_id = c.target
+GROUP BY c.target""")
+def q_context_summary(spark, sf_dir):
+    nodes = S.dag_nodes(spark, sf_dir)
+    edges = dag_edges_known(spark, sf_dir)
+    roots = dag_degrees(spark, sf_dir).where("is_root").select("lookup_id")
+    ctx = G.reachable(edges, roots, 3)
+    paths = G.call_paths(edges, roots, roots, 3)
+    s = G.context_summary(ctx, nodes, paths)
+    return (s.withColumn("files_involved", F.array_join("files_involved", ","))
+             .withColumn("modules_involved", F.array_join("modules_involved", ",")))
+
+
+# ---------------------------------------------------------------- G12
+@register("change_impact", f"""WITH RECURSIVE {DAG_CTES},
+anc(target, node, hops) AS (
+  SELECT lookup_id, lookup_id, 0 FROM dag_deg WHERE out_degree = 0
+  UNION SELECT a.target, e.src, a.hops + 1 FROM anc a JOIN dag_edges e ON e.dst = a.node
+  WHERE a.hops < 3),
+anc_min AS (SELECT target, node, min(hops) AS hops FROM anc GROUP BY 1, 2)
+SELECT target, CAST(hops AS INTEGER) AS hops, count(*) AS functions FROM anc_min GROUP BY 1, 2""")
+def q_change_impact(spark, sf_dir):
+    leaves = dag_degrees(spark, sf_dir).where("is_leaf").select("lookup_id")
+    imp = G.reachable(dag_edges_known(spark, sf_dir), leaves, 3, reverse=True)
+    return imp.groupBy("target", "hops").agg(F.count(F.lit(1)).alias("functions"))
+
+
+# ----------------------------------------------------------------- G7
+@register("call_paths", f"""WITH RECURSIVE {DAG_CTES},
+paths(node, path) AS (
+  SELECT lookup_id, [lookup_id] FROM dag_deg WHERE in_degree = 0
+  UNION ALL SELECT e.dst, list_append(p.path, e.dst) FROM paths p JOIN dag_edges e ON e.src = p.node
+  WHERE len(p.path) <= 3 AND NOT list_contains(p.path, e.dst))
+SELECT node AS target, array_to_string(path, '>') AS path, CAST(len(path) - 1 AS INTEGER) AS depth
+FROM paths""")
+def q_call_paths(spark, sf_dir):
+    g = dag_degrees(spark, sf_dir)
+    p = G.call_paths(dag_edges_known(spark, sf_dir), g.where("is_root").select("lookup_id"),
+                     g.select("lookup_id"), 3)
+    return p.select("target", F.array_join("path", ">").alias("path"), F.col("depth").cast("int"))
+
+
+# ---------------------------------------------------------------- G13
+@register("critical_functions", f"""WITH RECURSIVE {DAG_CTES},
+anc(target, node, hops) AS (
+  SELECT lookup_id, lookup_id, 0 FROM dag_nodes
+  UNION SELECT a.target, e.src, a.hops + 1 FROM anc a JOIN dag_edges e ON e.dst = a.node
+  WHERE a.hops < 3),
+tc AS (SELECT target AS lookup_id, count(DISTINCT node) - 1 AS transitive_callers FROM anc GROUP BY 1)
+SELECT d.lookup_id, d.in_degree, tc.transitive_callers,
+       dense_rank() OVER (ORDER BY d.in_degree DESC, tc.transitive_callers DESC) AS criticality_rank
+FROM dag_deg d JOIN tc USING (lookup_id)""")
+def q_critical_functions(spark, sf_dir):
+    g = dag_degrees(spark, sf_dir)
+    return G.critical_functions(g, dag_edges_known(spark, sf_dir), 3) \
+            .select("lookup_id", "in_degree", "transitive_callers", "criticality_rank")
+
+
+# ------------------------------------------------------ J1, J2, J3 on fn
+FN_CTES = f"""
+fn AS ({S.FN_SQL}),
+fn_calls AS ({S.FN_CALLS_SQL}),
+fn_edges AS (SELECT DISTINCT c.lookup_id AS src, f.lookup_id AS dst
+             FROM fn_calls c JOIN fn f ON f.name = c.callee_name WHERE c.lookup_id <> f.lookup_id)"""
+
+
+def fn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return G.resolve_calls(S.fn(spark, sf_dir))
+
+
+@register("name_resolution_edges", f"WITH {FN_CTES} SELECT src, dst FROM fn_edges")
+def q_name_edges(spark, sf_dir):
+    return fn_edges(spark, sf_dir)
+
+
+@register("nested_call_ids", f"""WITH {FN_CTES}
+SELECT f.lookup_id, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS nested_call_ids,
+       CAST(count(e.dst) AS INTEGER) AS nested_count
+FROM fn f LEFT JOIN fn_edges e ON e.src = f.lookup_id GROUP BY f.lookup_id""")
+def q_nested_call_ids(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    n = G.nested_call_ids(fns, G.resolve_calls(fns))
+    return n.select("lookup_id", F.array_join("nested_call_ids", ",").alias("nested_call_ids"),
+                    F.size("nested_call_ids").alias("nested_count"))
