@@ -198,3 +198,52 @@ def q_nested_call_ids(spark, sf_dir):
     n = G.nested_call_ids(fns, G.resolve_calls(fns))
     return n.select("lookup_id", F.array_join("nested_call_ids", ",").alias("nested_call_ids"),
                     F.size("nested_call_ids").alias("nested_count"))
+
+
+# ------------------------------------------------------------ G10, G11, R10
+FN_CC_SQL = """
+fn_und AS (SELECT src AS a, dst AS b FROM fn_edges UNION SELECT dst, src FROM fn_edges),
+fn_reach(node, comp) AS (
+  SELECT lookup_id, lookup_id FROM fn
+  UNION SELECT u.b, r.comp FROM fn_reach r JOIN fn_und u ON u.a = r.node),
+fn_cc AS (SELECT node AS lookup_id, min(comp) AS component_id FROM fn_reach GROUP BY 1)"""
+
+
+@register("connected_components", f"""WITH RECURSIVE {FN_CTES}, {FN_CC_SQL}
+SELECT lookup_id, component_id FROM fn_cc""")
+def q_connected_components(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    return G.connected_components(fns.select("lookup_id"), G.resolve_calls(fns))
+
+
+@register("mutual_calls", f"""WITH {FN_CTES}
+SELECT e1.src AS a, e1.dst AS b FROM fn_edges e1 JOIN fn_edges e2 ON e1.src = e2.dst AND e1.dst = e2.src
+WHERE e1.src < e1.dst""")
+def q_mutual_calls(spark, sf_dir):
+    return G.mutual_pairs(fn_edges(spark, sf_dir))
+
+
+@register("cyclic_core", f"""WITH RECURSIVE {FN_CTES},
+clo(a, b) AS (SELECT src, dst FROM fn_edges UNION SELECT c.a, e.dst FROM clo c JOIN fn_edges e ON e.src = c.b),
+oncyc AS (SELECT a AS n FROM clo WHERE a = b)
+SELECT lookup_id FROM fn WHERE lookup_id IN (SELECT n FROM oncyc)
+   OR (lookup_id IN (SELECT c.a FROM clo c JOIN oncyc o ON o.n = c.b)
+       AND lookup_id IN (SELECT c.b FROM clo c JOIN oncyc o ON o.n = c.a))""")
+def q_cyclic_core(spark, sf_dir):
+    return G.cyclic_core(fn_edges(spark, sf_dir))
+
+
+@register("graph_quality", f"""WITH RECURSIVE {FN_CTES}, {FN_CC_SQL},
+od AS (SELECT src AS lookup_id, count(*) AS o FROM fn_edges GROUP BY 1),
+id AS (SELECT dst AS lookup_id, count(*) AS i FROM fn_edges GROUP BY 1),
+g AS (SELECT f.lookup_id, coalesce(o, 0) AS out_degree, coalesce(i, 0) AS in_degree
+      FROM fn f LEFT JOIN od USING (lookup_id) LEFT JOIN id USING (lookup_id))
+SELECT round(100.0 * count(*) FILTER (WHERE in_degree + out_degree > 0) / count(*), 6) AS coverage_pct,
+       round(avg(out_degree), 6) AS avg_out_degree, round(avg(in_degree + out_degree), 6) AS avg_degree,
+       (SELECT count(DISTINCT component_id) FROM fn_cc) AS components
+FROM g""")
+def q_graph_quality(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    edges = G.resolve_calls(fns)
+    g = G.degrees(fns.select("lookup_id"), edges)
+    return G.graph_quality(g, G.connected_components(fns.select("lookup_id"), edges))
