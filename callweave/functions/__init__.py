@@ -1,0 +1 @@
+"""Column -> Column text functions (all native Spark expressions, no UDFs)."""

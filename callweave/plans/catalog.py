@@ -247,3 +247,239 @@ def q_graph_quality(spark, sf_dir):
     edges = G.resolve_calls(fns)
     g = G.degrees(fns.select("lookup_id"), edges)
     return G.graph_quality(g, G.connected_components(fns.select("lookup_id"), edges))
+
+
+# ----------------------------------------------------- S9, R1, R8, R12, K1
+from callweave.operators import lookup as L  # noqa: E402
+from callweave.operators import vector as V  # noqa: E402
+from callweave.functions import text as TX  # noqa: E402
+from callweave.sources.tables import table  # noqa: E402
+
+FN_LOOKUP_SQL = """
+fn_ncalls AS (SELECT lookup_id, count(*) AS calls_count FROM fn_calls GROUP BY 1),
+fn_nested AS (SELECT src AS lookup_id, string_agg(dst, ',' ORDER BY dst) AS nested FROM fn_edges GROUP BY 1),
+fn_lookup AS (
+  SELECT f.name AS function_name, f.lookup_id, coalesce(n.nested, '') AS nested_call_ids,
+         f.file_name, f.repository_name, f.module_name, f.start_line, f.end_line, f.is_async,
+         coalesce(f.class_context, '') AS class_context,
+         CAST(coalesce(c.calls_count, 0) AS INTEGER) AS calls_count, f.has_error_handling, f.seq
+  FROM fn f LEFT JOIN fn_ncalls c USING (lookup_id) LEFT JOIN fn_nested n USING (lookup_id))"""
+
+LOOKUP_COLS = ["function_name", "lookup_id", "nested_call_ids", "file_name", "repository_name",
+               "module_name", "start_line", "end_line", "is_async", "class_context", "calls_count",
+               "has_error_handling"]
+
+
+def fn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fns = S.fn(spark, sf_dir)
+    full = G.nested_call_ids(fns, G.resolve_calls(fns))
+    return L.lookup_table(full).join(fns.select("lookup_id", "seq"), "lookup_id")
+
+
+@register("lookup_table", f"WITH {FN_CTES}, {FN_LOOKUP_SQL} SELECT {', '.join(LOOKUP_COLS)} FROM fn_lookup")
+def q_lookup_table(spark, sf_dir):
+    return fn_lookup(spark, sf_dir).select(*LOOKUP_COLS)
+
+
+@register("table_summary", f"""WITH fn AS ({S.FN_SQL})
+SELECT count(*) AS total_functions, count(*) FILTER (WHERE is_async) AS async_functions,
+       count(*) FILTER (WHERE has_error_handling) AS functions_with_error_handling,
+       count(DISTINCT module_name) AS unique_modules, count(DISTINCT repository_name) AS unique_repositories
+FROM fn""")
+def q_table_summary(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    return L.table_summary(L.lookup_table(fns))
+
+
+@register("composition", f"""WITH fn AS ({S.FN_SQL})
+SELECT facet, value, count(*) AS functions FROM (
+  SELECT 'execution' AS facet, CASE WHEN is_async THEN 'async' ELSE 'sync' END AS value FROM fn
+  UNION ALL SELECT 'error_handling', CASE WHEN has_error_handling THEN 'with_error_handling'
+                                          ELSE 'without_error_handling' END FROM fn)
+GROUP BY facet, value""")
+def q_composition(spark, sf_dir):
+    return L.composition(L.lookup_table(S.fn(spark, sf_dir)))
+
+
+@register("usage_counts", f"""WITH fn AS ({S.FN_SQL})
+SELECT 'decorators' AS facet, d AS value, count(*) AS uses FROM (SELECT unnest(decorators) AS d FROM fn) GROUP BY d
+UNION ALL
+SELECT 'error_types', t, count(*) FROM (SELECT unnest(error_types) AS t FROM fn) GROUP BY t""")
+def q_usage_counts(spark, sf_dir):
+    fns = S.fn(spark, sf_dir).withColumn("error_types", F.col("error_handling.error_types"))
+    return (L.usage_counts(fns, "decorators").select(F.lit("decorators").alias("facet"), "value", "uses")
+            .unionByName(L.usage_counts(fns, "error_types")
+                         .select(F.lit("error_types").alias("facet"), "value", "uses")))
+
+
+RELEVANCE_QUERIES = ["ring", "economy", "error", "blue bolt", "Brand#1", "timeout issue"]
+
+
+def _values_sql(items: list[str]) -> str:
+    rows = ", ".join(f"({i}, '{q}')" for i, q in enumerate(items))
+    return f"SELECT * FROM (VALUES {rows}) t(query_id, query)"
+
+
+@register("metadata_relevance", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL},
+q AS ({_values_sql(RELEVANCE_QUERIES)}),
+s AS (
+  SELECT q.query_id, f.lookup_id, f.seq,
+         CAST((CASE WHEN instr(lower(f.function_name), lower(q.query)) > 0 THEN 10 ELSE 0 END)
+            + (CASE WHEN instr(lower(f.module_name), lower(q.query)) > 0 THEN 5 ELSE 0 END)
+            + (CASE WHEN f.has_error_handling AND (instr(lower(q.query), 'error') > 0
+                    OR instr(lower(q.query), 'exception') > 0 OR instr(lower(q.query), 'bug') > 0
+                    OR instr(lower(q.query), 'issue') > 0) THEN 3 ELSE 0 END) AS INTEGER) AS score
+  FROM q, fn_lookup f)
+SELECT query_id, lookup_id, score, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq) AS INTEGER) AS rank
+  FROM s WHERE score > 0) WHERE rank <= 5""")
+def q_metadata_relevance(spark, sf_dir):
+    r = L.most_relevant(fn_lookup(spark, sf_dir), RELEVANCE_QUERIES, 5)
+    return r.select(F.col("query_id").cast("int"), "lookup_id", "score", F.col("rank").cast("int"))
+
+
+# ------------------------------------------------------------ D1-D4, D7, D8
+POINT_IDS = ["P1", "P42", "P7", "P999999999"]
+
+
+@register("lookup_by_id", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name, file_path FROM fn WHERE lookup_id IN ({', '.join(repr(i) for i in POINT_IDS)})""")
+def q_lookup_by_id(spark, sf_dir):
+    return L.by_ids(S.fn(spark, sf_dir), POINT_IDS).select("lookup_id", "name", "file_path")
+
+
+@register("lookup_by_name", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name, module_name FROM fn WHERE name = 'small ring/Brand#2'""")
+def q_lookup_by_name(spark, sf_dir):
+    return L.by_name(S.fn(spark, sf_dir), "small ring/Brand#2").select("lookup_id", "name", "module_name")
+
+
+@register("lookup_name_contains", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name FROM fn WHERE contains(name, 'widget')""")
+def q_lookup_name_contains(spark, sf_dir):
+    return L.name_contains(S.fn(spark, sf_dir), "widget").select("lookup_id", "name")
+
+
+@register("lookup_glob", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name FROM fn WHERE name LIKE 'blue%#1_'""")
+def q_lookup_glob(spark, sf_dir):
+    return L.by_glob(S.fn(spark, sf_dir), "blue*#1?").select("lookup_id", "name")
+
+
+@register("lookup_fuzzy", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name, CAST(levenshtein(lower(name), 'smal ring/brand#2') AS INTEGER) AS distance
+FROM fn WHERE levenshtein(lower(name), 'smal ring/brand#2') <= 2""")
+def q_lookup_fuzzy(spark, sf_dir):
+    return L.fuzzy_name(S.fn(spark, sf_dir), "smal ring/brand#2", 2).select("lookup_id", "name", "distance")
+
+
+FILTERS = {"module_name": "ECONOMY", "is_async": True, "start_line": 10, "not_a_field": "x"}
+
+
+@register("filter_search", f"""WITH fn AS ({S.FN_SQL})
+SELECT lookup_id, name, module_name, start_line, CAST(1.0 AS DOUBLE) AS relevance_score,
+       'filter_search' AS search_method, 'exact' AS match_type
+FROM fn WHERE module_name = 'ECONOMY' AND is_async AND start_line >= 10 ORDER BY lookup_id LIMIT 10""")
+def q_filter_search(spark, sf_dir):
+    return L.search_by_filters(S.fn(spark, sf_dir), FILTERS, 10).select(
+        "lookup_id", "name", "module_name", "start_line", "relevance_score", "search_method", "match_type")
+
+
+# ----------------------------------------------------------------- D6, K2, D9
+VEC_TOPK_SQL = f"""
+q AS ({S.VECTOR_QUERIES_SQL}),
+d AS (
+  SELECT q.query_id, e.vec_id AS id,
+         1.0 / (1.0 + list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), q.embedding),
+                                               lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+  FROM q, embeddings e),
+r AS (SELECT query_id, id, score,
+             CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM d)"""
+
+
+@register("vector_topk", f"WITH {VEC_TOPK_SQL} SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
+def q_vector_topk(spark, sf_dir):
+    r = V.vector_topk(S.vectors(spark, sf_dir), S.vector_queries(spark, sf_dir), k=5)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
+
+
+@register("vector_threshold", f"""WITH {VEC_TOPK_SQL}
+SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20 AND score >= 0.7""")
+def q_vector_threshold(spark, sf_dir):
+    r = V.vector_topk(S.vectors(spark, sf_dir), S.vector_queries(spark, sf_dir), k=20)
+    return V.above_threshold(r, 0.7).select("query_id", "id", F.round("score", 6).alias("score"),
+                                            F.col("rank").cast("int"))
+
+
+@register("vector_validity", """
+SELECT is_valid, count(*) AS vectors FROM (
+  SELECT coalesce(embedding IS NOT NULL AND len(embedding) = 64
+                  AND NOT list_bool_or(list_transform(embedding, lambda x: x IS NULL)), false) AS is_valid
+  FROM embeddings) GROUP BY is_valid""")
+def q_vector_validity(spark, sf_dir):
+    v = V.valid_vectors(S.vectors(spark, sf_dir), 64)
+    return v.groupBy("is_valid").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+@register("vector_approx_topk")
+def q_vector_approx_topk(spark, sf_dir):
+    r = V.approx_topk(S.vectors(spark, sf_dir), S.vector_queries(spark, sf_dir), k=5)
+    return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
+
+
+# ------------------------------------------------------------- S3-S7, S19-S23
+def _sq(t: str) -> str:
+    return f"regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+DOC_TEXT_SQL = f"""
+SELECT doc_id,
+  md5(CASE WHEN coalesce(text, '') = '' THEN '' ELSE array_to_string(list_transform(string_split(text, chr(10)),
+      lambda l, i: printf('%4d: %s', i, l)), chr(10)) END) AS numbered_md5,
+  coalesce(list_filter(list_transform(string_split(text, chr(10)), lambda l: {_sq('l')}),
+      lambda l: starts_with(l, 'def ') OR starts_with(l, 'async def '))[1], '') AS signature,
+  md5(CASE WHEN len(string_split(text, chr(10))) <= 20 THEN text
+      ELSE array_to_string(string_split(text, chr(10))[1:20], chr(10)) || chr(10) || '... ('
+           || CAST(len(string_split(text, chr(10))) - 20 AS VARCHAR) || ' more lines)' END) AS snippet_md5,
+  md5(CASE WHEN length(text) <= 2000 THEN text ELSE
+      (CASE WHEN instr(reverse(substr(text, 1, 2000)), chr(10)) > 0
+             AND length(substr(text, 1, 2000)) - instr(reverse(substr(text, 1, 2000)), chr(10)) > 1600
+            THEN substr(text, 1, length(substr(text, 1, 2000)) - instr(reverse(substr(text, 1, 2000)), chr(10)))
+            ELSE substr(text, 1, 2000) END) || chr(10) || '... (truncated)' END) AS truncated_md5,
+  md5(regexp_replace({_sq('text')}, '\\s+', ' ', 'g')) AS collapsed_md5,
+  round(conf, 6) AS confidence,
+  CASE WHEN conf >= 0.8 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS confidence_band,
+  md5(CASE WHEN instr(text, 'ANALYSIS:') > 0 THEN string_split(text, 'ANALYSIS:')[2] ELSE text END) AS analysis_md5,
+  CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview
+FROM (SELECT *, CASE WHEN h + m + lo = 0 THEN 0.5
+                     ELSE least(greatest((h * 1.0 + m * 0.6 + lo * 0.2) / (h + m + lo), 0.0), 1.0) END AS conf
+      FROM (SELECT *, {{H}} AS h, {{M}} AS m, {{LO}} AS lo FROM documents))"""
+
+
+def _count_sql(words: list[str]) -> str:
+    return " + ".join(f"(CASE WHEN instr(lower(text), '{w}') > 0 THEN 1 ELSE 0 END)" for w in words)
+
+
+from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM  # noqa: E402
+
+ORACLE_DOC_TEXT = (DOC_TEXT_SQL.replace("{H}", _count_sql(CONFIDENCE_HIGH))
+                   .replace("{M}", _count_sql(CONFIDENCE_MEDIUM))
+                   .replace("{LO}", _count_sql(CONFIDENCE_LOW)))
+
+
+@register("text_functions", ORACLE_DOC_TEXT)
+def q_text_functions(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    conf = TX.lexicon_confidence("text")
+    return d.select(
+        "doc_id",
+        F.md5(TX.numbered_code("text", F.lit(1))).alias("numbered_md5"),
+        TX.signature("text").alias("signature"),
+        F.md5(TX.snippet("text", 20)).alias("snippet_md5"),
+        F.md5(TX.truncate("text", 2000)).alias("truncated_md5"),
+        F.md5(TX.collapse_whitespace("text")).alias("collapsed_md5"),
+        F.round(conf, 6).alias("confidence"),
+        TX.confidence_band(conf).alias("confidence_band"),
+        F.md5(TX.analysis_section("text")).alias("analysis_md5"),
+        TX.preview("text", 50).alias("preview"),
+    )
