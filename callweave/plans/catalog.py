@@ -483,3 +483,79 @@ def q_text_functions(spark, sf_dir):
         F.md5(TX.analysis_section("text")).alias("analysis_md5"),
         TX.preview("text", 50).alias("preview"),
     )
+
+
+# ------------------------------------------------------- R5, R6, R11, K6-K9
+from callweave.operators import history as H  # noqa: E402
+
+HIST = f"hist AS ({S.HISTORY_SQL})"
+
+
+@register("history_statistics", f"""WITH {HIST}
+SELECT count(*) AS total_analyses, coalesce(round(avg(confidence_score), 3), 0.0) AS average_confidence,
+       min("timestamp") AS created_at, max("timestamp") AS last_updated FROM hist""")
+def q_history_statistics(spark, sf_dir):
+    return H.statistics(S.history(spark, sf_dir))
+
+
+@register("service_usage", f"""WITH {HIST}
+SELECT coalesce(embedding, 'unknown') || '+' || coalesce(llm, 'unknown') AS services, count(*) AS analyses
+FROM hist GROUP BY 1""")
+def q_service_usage(spark, sf_dir):
+    return H.service_usage(S.history(spark, sf_dir))
+
+
+@register("approach_metrics", f"""WITH {HIST}
+SELECT approach, count(*) AS analyses,
+       round(avg(CASE WHEN confidence_score > 0 THEN 1.0 ELSE 0.0 END), 6) AS success_rate,
+       round(avg(processing_seconds), 6) AS mean_seconds, round(avg(confidence_score), 6) AS mean_confidence,
+       round(1.0 - count(DISTINCT query) / count(*), 6) AS cache_hit_rate
+FROM hist GROUP BY approach""")
+def q_approach_metrics(spark, sf_dir):
+    return H.approach_metrics(S.history(spark, sf_dir))
+
+
+@register("recent_analyses", f"""WITH {HIST}
+SELECT id, query, confidence_score FROM hist ORDER BY id DESC LIMIT 10""")
+def q_recent(spark, sf_dir):
+    return H.recent(S.history(spark, sf_dir), 10).select("id", "query", "confidence_score")
+
+
+@register("history_retention", f"""WITH {HIST}
+SELECT count(*) AS kept, min(id) AS oldest_id, max(id) AS newest_id
+FROM (SELECT id FROM hist ORDER BY id DESC LIMIT 1000)""")
+def q_retention(spark, sf_dir):
+    kept = H.retain_newest(S.history(spark, sf_dir), 1000)
+    return kept.agg(F.count(F.lit(1)).alias("kept"), F.min("id").alias("oldest_id"),
+                    F.max("id").alias("newest_id"))
+
+
+@register("history_rotation", f"""WITH {HIST}
+SELECT id, confidence_score FROM hist
+QUALIFY row_number() OVER (ORDER BY id DESC) <= (SELECT CAST(floor(count(*) * 0.5) AS BIGINT) FROM hist)""")
+def q_rotation(spark, sf_dir):
+    return H.rotate(S.history(spark, sf_dir)).select("id", "confidence_score")
+
+
+@register("history_append_ids", f"""WITH {HIST}
+SELECT (SELECT max(id) FROM hist) + row_number() OVER (ORDER BY conv_id, turn) AS id,
+       conv_id, turn FROM conversations WHERE role = 'user'""")
+def q_append_ids(spark, sf_dir):
+    batch = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn")
+    return H.assign_ids(batch, S.history(spark, sf_dir), [F.col("conv_id"), F.col("turn")]) \
+            .select("id", "conv_id", "turn")
+
+
+@register("history_validation", """
+SELECT reject_reason, count(*) AS analyses FROM (
+  SELECT CASE WHEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'empty query'
+              WHEN ((conv_id * 37 + turn) % 23) / 20.0 - 0.05 < 0
+                OR ((conv_id * 37 + turn) % 23) / 20.0 - 0.05 > 1 THEN 'confidence out of range'
+              WHEN CAST(turn AS INTEGER) - 1 < 0 THEN 'negative function count' END AS reject_reason
+  FROM conversations WHERE role = 'user') GROUP BY 1""")
+def q_history_validation(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    batch = c.select(F.col("text").alias("query"),
+                     (((F.col("conv_id") * 37 + F.col("turn")) % 23) / 20.0 - 0.05).alias("confidence_score"),
+                     (F.col("turn").cast("int") - 1).alias("functions_analyzed"))
+    return H.validate(batch).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("analyses"))
