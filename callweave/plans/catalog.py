@@ -559,3 +559,57 @@ def q_history_validation(spark, sf_dir):
                      (((F.col("conv_id") * 37 + F.col("turn")) % 23) / 20.0 - 0.05).alias("confidence_score"),
                      (F.col("turn").cast("int") - 1).alias("functions_analyzed"))
     return H.validate(batch).groupBy("reject_reason").agg(F.count(F.lit(1)).alias("analyses"))
+
+
+# ------------------------------------------------------------------- T1-T3
+from callweave.streaming import metrics as ST  # noqa: E402
+
+
+def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    return S.history_from_events(ST.file_stream(spark, sf_dir, "events.parquet", schema))
+
+
+STREAM_T1_SQL = f"""WITH {HIST},
+w AS (SELECT date_trunc('day', "timestamp") AS window_start, count(*) AS analyses,
+             round(sum(confidence_score), 6) AS sum_confidence,
+             count(*) FILTER (WHERE confidence_score > 0) AS successes
+      FROM hist GROUP BY 1)
+SELECT window_start, window_start + INTERVAL 1 day AS window_end, analyses, sum_confidence, successes
+FROM w WHERE window_start + INTERVAL 1 day <= (SELECT max("timestamp") FROM hist) - INTERVAL 1 hour"""
+
+
+@register("stream_window_metrics", STREAM_T1_SQL)
+def q_stream_window_metrics(spark, sf_dir):
+    sink = ST.run_append(ST.windowed_metrics(history_stream(spark, sf_dir)), "t1")
+    return spark.read.parquet(sink).select(
+        "window_start", "window_end", "analyses", F.round("sum_confidence", 6).alias("sum_confidence"),
+        "successes")
+
+
+STREAM_T2_SQL = f"""WITH {HIST},
+x AS (SELECT date_trunc('day', "timestamp") - k * INTERVAL 1 day AS window_start,
+             embedding || '+' || llm AS services, confidence_score
+      FROM hist, range(0, 7) r(k))
+SELECT window_start, window_start + INTERVAL 7 day AS window_end, services, count(*) AS analyses,
+       round(sum(confidence_score), 6) AS sum_confidence
+FROM x GROUP BY window_start, services
+HAVING window_start + INTERVAL 7 day <= (SELECT max("timestamp") FROM hist) - INTERVAL 1 hour"""
+
+
+@register("stream_sliding_trend", STREAM_T2_SQL)
+def q_stream_sliding_trend(spark, sf_dir):
+    sink = ST.run_append(ST.sliding_trend(history_stream(spark, sf_dir)), "t2")
+    return spark.read.parquet(sink).select(
+        "window_start", "window_end", "services", "analyses",
+        F.round("sum_confidence", 6).alias("sum_confidence"))
+
+
+@register("stream_service_usage", f"""WITH {HIST}
+SELECT embedding || '+' || llm AS services, count(*) AS analyses FROM hist
+WHERE confidence_score BETWEEN 0 AND 1 AND functions_analyzed >= 0 GROUP BY 1""")
+def q_stream_service_usage(spark, sf_dir):
+    from callweave.session import scratch_path
+    root = scratch_path(spark, "t3")
+    ST.history_ingest(history_stream(spark, sf_dir), root + "/table", root + "/rejects", root + "/usage")
+    return spark.read.parquet(root + "/usage")

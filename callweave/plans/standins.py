@@ -214,8 +214,8 @@ SELECT label AS query_id, list(m ORDER BY i) AS embedding FROM (
 
 
 # ----------------------------------------------------------------------- history
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = table(spark, sf_dir, "events")
+def history_from_events(ev: DataFrame) -> DataFrame:
+    """Map event rows (batch or stream) to analysis records."""
     eid = F.col("event_id")
     return ev.select(
         eid.alias("id"),
@@ -233,6 +233,10 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history_from_events(table(spark, sf_dir, "events"))
+
+
 HISTORY_SQL = f"""
 SELECT event_id AS id, CAST(ts AS TIMESTAMP) AS "timestamp",
        'why does ' || event_type || ' fail for user ' || CAST(user_id AS VARCHAR) AS query,
