@@ -112,8 +112,28 @@ def longest_depth(roots: DataFrame, edges: DataFrame, max_rounds: int = 32,
             capped = True
             break
     depth = _union(levels).groupBy("node").agg(F.max("k").alias("depth_level"))
-    return depth.select(F.col("node").alias(id_col), F.col("depth_level").cast("int"),
-                        (F.lit(capped) & (F.col("depth_level") == k)).alias("depth_capped"))
+    out = depth.select(F.col("node").alias(id_col), F.col("depth_level").cast("int"))
+    if not capped:
+        return out.withColumn("depth_capped", F.lit(False))
+    # everything still reachable from the last frontier can be walked deeper
+    unbounded = _closure(frontier, e)
+    return (out.join(unbounded.select(F.col("node").alias(id_col), F.lit(True).alias("depth_capped")),
+                     id_col, "left")
+            .withColumn("depth_capped", F.coalesce("depth_capped", F.lit(False))))
+
+
+def _closure(start: DataFrame, e: DataFrame) -> DataFrame:
+    """Nodes reachable from ``start(node)`` (itself included); ends when nothing is new."""
+    seen = [start]
+    cur = start
+    while True:
+        nxt = (cur.join(e, cur["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
+               .join(_union(seen), "node", "left_anti"))
+        nxt = cut_lineage(nxt)
+        if nxt.isEmpty():
+            return _union(seen).distinct()
+        seen.append(nxt)
+        cur = nxt
 
 
 def build_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
