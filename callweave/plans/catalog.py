@@ -613,3 +613,188 @@ def q_stream_service_usage(spark, sf_dir):
     root = scratch_path(spark, "t3")
     ST.history_ingest(history_stream(spark, sf_dir), root + "/table", root + "/rejects", root + "/usage")
     return spark.read.parquet(root + "/usage")
+
+
+# ------------------------------------------------------------- search: J3-J6
+from callweave.operators import search as SR  # noqa: E402
+
+K1_SQL = f"""
+k1q AS ({_values_sql(RELEVANCE_QUERIES)}),
+k1s AS (
+  SELECT q.query_id, f.lookup_id, f.seq,
+         CAST((CASE WHEN instr(lower(f.function_name), lower(q.query)) > 0 THEN 10 ELSE 0 END)
+            + (CASE WHEN instr(lower(f.module_name), lower(q.query)) > 0 THEN 5 ELSE 0 END)
+            + (CASE WHEN f.has_error_handling AND (instr(lower(q.query), 'error') > 0
+                    OR instr(lower(q.query), 'exception') > 0 OR instr(lower(q.query), 'bug') > 0
+                    OR instr(lower(q.query), 'issue') > 0) THEN 3 ELSE 0 END) AS INTEGER) AS score
+  FROM k1q q, fn_lookup f),
+k1 AS (SELECT * FROM (
+  SELECT query_id, lookup_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seq)
+         AS INTEGER) AS rank FROM k1s WHERE score > 0) WHERE rank <= 5)"""
+
+
+def k1_results(spark, sf_dir):
+    return q_metadata_relevance(spark, sf_dir)
+
+
+def fn_full(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    return G.nested_call_ids(fns, G.resolve_calls(fns))
+
+
+def fn_nodes(fns):
+    return fns.select("lookup_id", "name", "file_name", "module_name", "is_async",
+                      F.coalesce(F.col("error_handling.has_try_catch"), F.lit(False)).alias("has_error_handling"))
+
+
+@register("nested_hydration", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}
+SELECT k.query_id, k.lookup_id, e.dst AS nested_id, f.name AS nested_name, f.file_path AS nested_file_path
+FROM k1 k JOIN fn_edges e ON e.src = k.lookup_id JOIN fn f ON f.lookup_id = e.dst""")
+def q_nested_hydration(spark, sf_dir):
+    h = SR.hydrate_nested(k1_results(spark, sf_dir), fn_full(spark, sf_dir))
+    return h.select("query_id", "lookup_id", "nested_id", "nested_name", "nested_file_path")
+
+
+SEARCH_CTX_SQL = f"""
+hits AS (SELECT DISTINCT lookup_id FROM k1),
+ctx(target, node, hops) AS (
+  SELECT lookup_id, lookup_id, 0 FROM hits
+  UNION SELECT c.target, e.dst, c.hops + 1 FROM ctx c JOIN fn_edges e ON e.src = c.node WHERE c.hops < 2),
+cm AS (SELECT target, node, min(hops) AS hops FROM ctx GROUP BY 1, 2),
+fn_roots AS (SELECT lookup_id FROM fn WHERE lookup_id NOT IN (SELECT dst FROM fn_edges)),
+bp(target, head, path) AS (
+  SELECT lookup_id, lookup_id, [lookup_id] FROM hits
+  UNION ALL SELECT b.target, e.src, list_prepend(e.src, b.path) FROM bp b JOIN fn_edges e ON e.dst = b.head
+  WHERE len(b.path) <= 2 AND NOT list_contains(b.path, e.src)),
+pc AS (SELECT target, count(*) AS call_paths_count FROM bp WHERE head IN (SELECT lookup_id FROM fn_roots)
+       GROUP BY 1),
+summ AS (
+  SELECT c.target, count(*) AS dependency_count, CAST(max(c.hops) AS INTEGER) AS max_hops,
+         array_to_string(list_sort(list_distinct(list(f.file_name))), ',') AS files_involved,
+         array_to_string(list_sort(list_distinct(list(f.module_name))), ',') AS modules_involved,
+         coalesce(bool_or(f.has_error_handling), false) AS has_error_handling,
+         count(*) FILTER (WHERE f.is_async) AS async_functions,
+         count(*) FILTER (WHERE c.hops > 0) AS dependency_ids_count
+  FROM cm c JOIN fn f ON f.lookup_id = c.node GROUP BY c.target),
+sctx AS (
+  SELECT k.query_id, k.lookup_id, k.rank, s.dependency_count, s.max_hops, s.files_involved,
+         s.modules_involved, s.has_error_handling, s.async_functions,
+         coalesce(pc.call_paths_count, 0) AS call_paths_count, s.dependency_ids_count
+  FROM k1 k LEFT JOIN summ s ON s.target = k.lookup_id LEFT JOIN pc ON pc.target = k.lookup_id)"""
+
+
+def search_context(spark, sf_dir):
+    fns = fn_full(spark, sf_dir)
+    edges = G.resolve_calls(fns)
+    e = SR.with_graph_context(k1_results(spark, sf_dir), edges, fn_nodes(fns), max_depth=2)
+    return e.select("query_id", "lookup_id", "rank", "dependency_count", F.col("max_hops").cast("int"),
+                    F.array_join("files_involved", ",").alias("files_involved"),
+                    F.array_join("modules_involved", ",").alias("modules_involved"),
+                    "has_error_handling", "async_functions", "call_paths_count",
+                    F.size("dependency_ids").cast("long").alias("dependency_ids_count"), "graph_depth")
+
+
+@register("search_graph_context", f"""WITH RECURSIVE {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}, {SEARCH_CTX_SQL}
+SELECT * FROM sctx""")
+def q_search_graph_context(spark, sf_dir):
+    return search_context(spark, sf_dir).drop("graph_depth")
+
+
+@register("result_rollup", f"""WITH RECURSIVE {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}, {SEARCH_CTX_SQL}
+SELECT query_id, count(*) AS total_functions,
+       count(*) FILTER (WHERE dependency_count IS NOT NULL) AS functions_with_dependencies,
+       coalesce(max(dependency_count), 0) AS max_depth, coalesce(sum(dependency_count), 0) AS total_dependencies
+FROM sctx GROUP BY query_id""")
+def q_result_rollup(spark, sf_dir):
+    return SR.result_rollup(search_context(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- S18, J6
+def responses(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    eid, uid = F.col("event_id"), F.col("user_id")
+    ids = F.when(F.col("event_type").isin("error", "click"),
+                 F.concat(F.lit("P"), uid.cast("string"), F.lit(", P"), (uid + 1).cast("string"))) \
+           .otherwise(F.lit("None"))
+    fixes = F.when(F.col("value") > 50, F.lit("check input; add retry")).otherwise(F.lit(""))
+    text = F.concat(
+        F.lit("CONFIDENCE_SCORE: "), ((eid * 37) % 101).cast("string"), F.lit("e-2"),
+        F.lit("\nANALYSIS: event "), F.col("event_type"),
+        F.lit("\nADDITIONAL_CONTEXT_NEEDED: "), ids,
+        F.lit("\nSUGGESTED_FIXES: "), fixes,
+        F.when(eid % 3 == 0, F.lit("\nGRAPH_INSIGHTS: hub at user ")).otherwise(F.lit("")),
+        F.when(eid % 3 == 0, uid.cast("string")).otherwise(F.lit("")),
+        F.when(eid % 5 == 0, F.lit("\nCONFIDENCE_SCORE: n/a\nADDITIONAL_CONTEXT_NEEDED: None"))
+         .otherwise(F.lit("")))
+    appr = F.when(eid % 2 == 0, F.lit("function_lookup_table")).otherwise(F.lit("call_graph"))
+    return ev.select(eid.alias("query_id"), text.alias("response"), appr.alias("approach"))
+
+
+RESPONSES_SQL = """
+resp AS (
+  SELECT event_id AS query_id,
+    'CONFIDENCE_SCORE: ' || CAST((event_id * 37) % 101 AS VARCHAR) || 'e-2'
+    || chr(10) || 'ANALYSIS: event ' || event_type
+    || chr(10) || 'ADDITIONAL_CONTEXT_NEEDED: '
+    || CASE WHEN event_type IN ('error', 'click')
+            THEN 'P' || CAST(user_id AS VARCHAR) || ', P' || CAST(user_id + 1 AS VARCHAR) ELSE 'None' END
+    || chr(10) || 'SUGGESTED_FIXES: ' || CASE WHEN value > 50 THEN 'check input; add retry' ELSE '' END
+    || CASE WHEN event_id % 3 = 0 THEN chr(10) || 'GRAPH_INSIGHTS: hub at user ' || CAST(user_id AS VARCHAR)
+            ELSE '' END
+    || CASE WHEN event_id % 5 = 0 THEN chr(10) || 'CONFIDENCE_SCORE: n/a' || chr(10)
+            || 'ADDITIONAL_CONTEXT_NEEDED: None' ELSE '' END AS response,
+    CASE WHEN event_id % 2 = 0 THEN 'function_lookup_table' ELSE 'call_graph' END AS approach
+  FROM events),
+lines AS (SELECT query_id, approach, string_split(response, chr(10)) AS ls FROM resp),
+parsed AS (
+  SELECT query_id, approach,
+    coalesce(list_filter(list_transform(list_filter(ls, lambda l: starts_with(l, 'CONFIDENCE_SCORE:')),
+        lambda l: TRY_CAST(regexp_replace(string_split(l, ':')[2], '^\\s+|\\s+$', '', 'g') AS DOUBLE)),
+        lambda x: x IS NOT NULL)[-1], 0.5) AS confidence,
+    list_filter(list_transform(list_filter(ls, lambda l: starts_with(l, 'ADDITIONAL_CONTEXT_NEEDED:')),
+        lambda l: regexp_replace(substr(l, 27), '^\\s+|\\s+$', '', 'g')),
+        lambda v: v <> '' AND v <> 'None')[-1] AS ctx_text,
+    list_filter(list_transform(list_filter(ls, lambda l: starts_with(l, 'SUGGESTED_FIXES:')),
+        lambda l: regexp_replace(substr(l, 17), '^\\s+|\\s+$', '', 'g')),
+        lambda v: v <> '' AND v <> 'None')[-1] AS fix_text,
+    CASE WHEN approach = 'call_graph' THEN list_transform(list_filter(ls, lambda l: starts_with(l, 'GRAPH_INSIGHTS:')),
+        lambda l: regexp_replace(substr(l, 16), '^\\s+|\\s+$', '', 'g'))[-1] END AS graph_insights
+  FROM lines),
+parsed2 AS (
+  SELECT query_id, confidence, graph_insights,
+    CASE WHEN ctx_text IS NULL THEN CAST([] AS VARCHAR[])
+         ELSE list_transform(string_split(ctx_text, ','), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))
+    END AS context_ids,
+    CASE WHEN fix_text IS NULL THEN CAST([] AS VARCHAR[])
+         ELSE list_transform(string_split(fix_text, ';'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g'))
+    END AS fixes
+  FROM parsed)"""
+
+
+def parsed_responses(spark, sf_dir):
+    r = responses(spark, sf_dir)
+    return r.select("query_id", TX.response_confidence("response").alias("confidence"),
+                    TX.response_context_ids("response").alias("context_ids"),
+                    TX.response_fixes("response").alias("fixes"),
+                    TX.response_graph_insights("response", "approach").alias("graph_insights"))
+
+
+@register("response_parsing", f"""WITH {RESPONSES_SQL}
+SELECT query_id, round(confidence, 6) AS confidence, array_to_string(context_ids, ',') AS context_ids,
+       CAST(len(fixes) AS INTEGER) AS fix_count, fixes[1] AS first_fix, graph_insights FROM parsed2""")
+def q_response_parsing(spark, sf_dir):
+    p = parsed_responses(spark, sf_dir)
+    return p.select("query_id", F.round("confidence", 6).alias("confidence"),
+                    F.array_join("context_ids", ",").alias("context_ids"),
+                    F.size("fixes").alias("fix_count"),
+                    F.try_element_at("fixes", F.lit(1))["description"].alias("first_fix"), "graph_insights")
+
+
+@register("context_requests", f"""WITH {RESPONSES_SQL}, fn AS ({S.FN_SQL})
+SELECT DISTINCT p.query_id, f.lookup_id, f.name, CAST(1.0 AS DOUBLE) AS score,
+       'context_request' AS search_method, 'additional_context' AS match_type
+FROM parsed2 p, unnest(p.context_ids) AS u(id) JOIN fn f ON f.lookup_id = u.id""")
+def q_context_requests(spark, sf_dir):
+    p = parsed_responses(spark, sf_dir)
+    r = SR.context_requests(p, S.fn(spark, sf_dir))
+    return r.select("query_id", "lookup_id", "name", "score", "search_method", "match_type")

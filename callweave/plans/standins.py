@@ -129,6 +129,9 @@ def _fn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
              .when(has_err, F.array(F.lit("KeyError"), F.lit("TypeError")))
              .otherwise(F.array().cast("array<string>")).alias("error_types"),
         ).alias("error_handling"),
+        F.concat(F.lit("def part_"), key.cast("string"), F.lit("(size="), size.cast("string"),
+                 F.lit('):\n    """'), F.col("p_name"), F.lit(" by "), F.col("p_brand"),
+                 F.lit('"""\n    return size * '), (key % 7).cast("string")).alias("code"),
         key.alias("seq"),
     )
 
@@ -154,8 +157,10 @@ def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function records with ``calls`` = sorted distinct called names."""
     calls = (fn_calls(spark, sf_dir).groupBy("lookup_id")
              .agg(F.array_sort(F.collect_set("callee_name")).alias("calls")))
+    from callweave.functions.text import numbered_code
     return (_fn_base(spark, sf_dir).join(calls, "lookup_id", "left")
-            .withColumn("calls", F.coalesce("calls", F.array().cast("array<string>"))))
+            .withColumn("calls", F.coalesce("calls", F.array().cast("array<string>")))
+            .withColumn("code_with_line_numbers", numbered_code("code", "start_line")))
 
 
 FN_SQL = """
@@ -171,6 +176,10 @@ SELECT p_name || '/' || p_brand AS name, 'P' || CAST(p_partkey AS VARCHAR) AS lo
        (p_size % 3 = 0) AS has_error_handling,
        CASE WHEN p_size % 3 = 0 AND p_size % 2 = 0 THEN ['ValueError']
             WHEN p_size % 3 = 0 THEN ['KeyError', 'TypeError'] ELSE CAST([] AS VARCHAR[]) END AS error_types,
+       'def part_' || CAST(p_partkey AS VARCHAR) || '(size=' || CAST(p_size AS VARCHAR) || '):' || chr(10)
+         || '    ' || repeat(chr(34), 3) || p_name || ' by ' || p_brand || repeat(chr(34), 3) || chr(10)
+         || '    return size * '
+         || CAST(p_partkey % 7 AS VARCHAR) AS code,
        p_partkey AS seq
 FROM part"""
 
