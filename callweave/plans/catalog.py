@@ -798,3 +798,242 @@ def q_context_requests(spark, sf_dir):
     p = parsed_responses(spark, sf_dir)
     r = SR.context_requests(p, S.fn(spark, sf_dir))
     return r.select("query_id", "lookup_id", "name", "score", "search_method", "match_type")
+
+
+# ------------------------------------------------------------ K10, U3, K12, U1
+def graph_ranked(spark, sf_dir):
+    """Second search method: functions matching the query in name or module, ranked
+    by number of callers (dependents), then id."""
+    fns = S.fn(spark, sf_dir)
+    deg = G.degrees(fns.select("lookup_id"), G.resolve_calls(fns)).select("lookup_id", "in_degree")
+    cand = L.relevance_scores(L.lookup_table(fns), RELEVANCE_QUERIES) \
+        .where(F.instr(F.lower("function_name"), F.lower("query")) + F.instr(F.lower("module_name"),
+                                                                           F.lower("query")) > 0)
+    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("query_id") \
+        .orderBy(F.desc("in_degree"), F.col("lookup_id"))
+    return (cand.join(deg, "lookup_id").withColumn("rank", F.row_number().over(w))
+            .where(F.col("rank") <= 5).select(F.col("query_id").cast("int"), "lookup_id", "rank"))
+
+
+GRAPH_RANKED_SQL = """
+odeg AS (SELECT dst AS lookup_id, count(*) AS in_degree FROM fn_edges GROUP BY 1),
+gcand AS (
+  SELECT q.query_id, f.lookup_id, coalesce(o.in_degree, 0) AS in_degree
+  FROM k1q q, fn_lookup f LEFT JOIN odeg o ON o.lookup_id = f.lookup_id
+  WHERE instr(lower(f.function_name), lower(q.query)) > 0 OR instr(lower(f.module_name), lower(q.query)) > 0),
+g2 AS (SELECT * FROM (SELECT query_id, lookup_id,
+         row_number() OVER (PARTITION BY query_id ORDER BY in_degree DESC, lookup_id) AS rank FROM gcand)
+       WHERE rank <= 5),
+allr AS (SELECT query_id, lookup_id, rank, 'metadata' AS method FROM k1
+         UNION ALL SELECT query_id, lookup_id, rank, 'graph' FROM g2)"""
+
+
+@register("rrf_fusion", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}, {GRAPH_RANKED_SQL},
+fused AS (SELECT query_id, lookup_id, sum(1.0 / (60 + rank)) AS fused_score,
+                 count(DISTINCT method) AS agreement FROM allr GROUP BY 1, 2)
+SELECT query_id, lookup_id, round(fused_score, 9) AS fused_score, agreement, rank FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, agreement DESC, lookup_id)
+         AS INTEGER) AS rank FROM fused) WHERE rank <= 5""")
+def q_rrf_fusion(spark, sf_dir):
+    f = SR.rrf_fuse({"metadata": k1_results(spark, sf_dir), "graph": graph_ranked(spark, sf_dir)}, limit=5)
+    return f.select("query_id", "lookup_id", F.round("fused_score", 9).alias("fused_score"), "agreement",
+                    F.col("rank").cast("int"))
+
+
+@register("cross_validation", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}, {GRAPH_RANKED_SQL}
+SELECT query_id, lookup_id, count(DISTINCT method) AS methods, count(DISTINCT method) = 2 AS found_by_all,
+       count(DISTINCT method) = 1 AS found_by_one FROM allr GROUP BY 1, 2""")
+def q_cross_validation(spark, sf_dir):
+    return SR.cross_validate({"metadata": k1_results(spark, sf_dir), "graph": graph_ranked(spark, sf_dir)})
+
+
+@register("top3_display", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}
+SELECT k.query_id, k.rank, k.lookup_id, f.name, k.score, f.file_name
+FROM k1 k JOIN fn f USING (lookup_id) WHERE k.rank <= 3""")
+def q_top3_display(spark, sf_dir):
+    return SR.top_display(k1_results(spark, sf_dir), S.fn(spark, sf_dir), 3)
+
+
+@register("context_append", f"""WITH {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL},
+req AS (SELECT k.query_id, e.dst AS id FROM k1 k JOIN fn_edges e ON e.src = k.lookup_id WHERE k.rank = 1),
+extra AS (SELECT r.query_id, f.lookup_id FROM req r JOIN fn f ON f.lookup_id = r.id),
+u AS (SELECT query_id, 'metadata' AS search_method FROM k1
+      UNION ALL SELECT query_id, 'context_request' FROM extra)
+SELECT query_id, search_method, count(*) AS results FROM u GROUP BY 1, 2""")
+def q_context_append(spark, sf_dir):
+    k1 = k1_results(spark, sf_dir).withColumn("search_method", F.lit("metadata"))
+    fns = fn_full(spark, sf_dir)
+    req = (k1.where(F.col("rank") == 1).join(fns.select("lookup_id", "nested_call_ids"), "lookup_id")
+           .select("query_id", F.col("nested_call_ids").alias("context_ids")))
+    extra = SR.context_requests(req, fns.drop("nested_call_ids"))
+    u = SR.append_results(k1, extra.select("query_id", "lookup_id", "search_method"))
+    return u.groupBy("query_id", "search_method").agg(F.count(F.lit(1)).alias("results"))
+
+
+# -------------------------------------------------------------- S10 - S12
+from callweave.functions import prompts as PR  # noqa: E402
+
+FN_TEXT_SQL = f"""
+fcalls AS (SELECT lookup_id, list(callee_name ORDER BY callee_name) AS calls FROM fn_calls GROUP BY 1),
+ft AS (
+  SELECT f.*, coalesce(c.calls, CAST([] AS VARCHAR[])) AS calls,
+         array_to_string(list_transform(string_split(f.code, chr(10)),
+             lambda l, i: printf('%4d: %s', f.start_line + i - 1, l)), chr(10)) AS numbered
+  FROM fn f LEFT JOIN fcalls c USING (lookup_id))"""
+
+
+def _strip_sql(x):
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@register("embedding_texts", f"""WITH {FN_CTES}, {FN_TEXT_SQL}
+SELECT lookup_id,
+  md5(concat_ws(chr(10), 'Function: ' || name, 'File: ' || file_name, 'Repository: ' || repository_name,
+      'Module: ' || module_name,
+      CASE WHEN class_context IS NOT NULL AND class_context <> '' THEN 'Class: ' || class_context END,
+      CASE WHEN is_async THEN 'Type: async function' END,
+      CASE WHEN len(decorators) > 0 THEN 'Decorators: ' || array_to_string(decorators, ', ') END,
+      CASE WHEN len(calls) > 0 THEN 'Calls: ' || array_to_string(calls[1:10], ', ') END,
+      'Code:', numbered)) AS full_md5,
+  md5(concat_ws(chr(10), 'Function: ' || name, 'File: ' || file_name, 'Repository: ' || repository_name,
+      'Module: ' || module_name, 'Code:', numbered)) AS medium_md5,
+  md5('File: ' || file_name || chr(10) || 'Function: ' || name || chr(10) || 'Code:' || chr(10) || numbered)
+      AS short_md5,
+  md5(concat_ws(chr(10), 'Function: ' || name, 'Module: ' || module_name,
+      CASE WHEN class_context IS NOT NULL AND class_context <> '' THEN 'Class: ' || class_context END,
+      CASE WHEN len(calls) > 0 THEN 'Dependencies: ' || array_to_string(calls[1:5], ', ') END,
+      CASE WHEN code <> '' THEN 'Code:' || chr(10) || array_to_string(list_filter(string_split(code, chr(10))[1:20],
+          lambda l: starts_with({_strip_sql('l')}, 'def ') OR starts_with({_strip_sql('l')}, 'async def ')
+                 OR starts_with({_strip_sql('l')}, 'class ') OR starts_with({_strip_sql('l')}, 'import ')
+                 OR starts_with({_strip_sql('l')}, 'from ')
+                 OR coalesce(list_bool_or(list_transform(calls[1:5], lambda c: instr(l, c) > 0)), false)
+                 OR instr({_strip_sql('l')}, 'return') > 0), chr(10)) END)) AS graph_md5
+FROM ft""")
+def q_embedding_texts(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    return fns.select("lookup_id", F.md5(PR.embedding_text(True, "full")).alias("full_md5"),
+                      F.md5(PR.embedding_text(True, "medium")).alias("medium_md5"),
+                      F.md5(PR.embedding_text(True, "short")).alias("short_md5"),
+                      F.md5(PR.graph_embedding_text()).alias("graph_md5"))
+
+
+# ---------------------------------------------------------------- S1 S2 S8
+@register("path_functions", """
+SELECT page_id, string_split(url, '/')[-1] AS file_name,
+       regexp_extract(string_split(url, '/')[-1], '^.+(\\.[^.]+)$', 1) AS extension,
+       string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS repo_name,
+       (starts_with(lower(string_split(url, '/')[-1]), 'test_') OR ends_with(lower(string_split(url, '/')[-1]), '_test.py')
+        OR list_contains(string_split(url, '/'), 'test')) AS is_test,
+       replace(replace(url, '/', '.'), '.py', '') AS module_name
+FROM pages""")
+def q_path_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", TX.file_name("url").alias("file_name"), TX.file_extension("url").alias("extension"),
+                    TX.repo_name("url").alias("repo_name"), TX.is_test_file("url").alias("is_test"),
+                    TX.module_name("url").alias("module_name"))
+
+
+# ------------------------------------------------------------ S16 S17 S24
+QUERY_TEXT_SQL = f"""
+SELECT conv_id, turn,
+  md5(CASE WHEN length({_strip_sql('text')}) = 0 THEN NULL ELSE substr({_strip_sql('text')}, 1, 1000) END) AS cleaned_md5,
+  length(CASE WHEN length({_strip_sql('text')}) = 0 THEN NULL ELSE substr({_strip_sql('text')}, 1, 1000) END) AS cleaned_length,
+  concat_ws(' | ', 'Repository: conv' || CAST(conv_id AS VARCHAR), 'Tech: ' || role,
+            CASE WHEN turn % 3 = 0 THEN 'Priority: high' END) || ' | ' AS prefix_pipe,
+  'Repository: conv' || CAST(conv_id AS VARCHAR) || chr(10) || 'Tech Stack: ' || role || chr(10)
+    || CASE WHEN turn % 3 = 0 THEN 'Priority: high' || chr(10) ELSE '' END AS prefix_lines,
+  CASE WHEN regexp_matches(text, '(?i)(named|called)\\s+''[^'']+''|function\\s+named') THEN 'function_lookup_table'
+       WHEN regexp_matches(text, '(?i)\\b(calls?|callers?|depends?|dependenc\\w*|uses|invok\\w*)\\b') THEN 'call_graph'
+       WHEN regexp_matches(text, '(?i)\\b(similar|like|related|about)\\b') THEN 'vector_search'
+       ELSE 'hybrid' END AS route
+FROM conversations WHERE role = 'user'"""
+
+
+@register("query_text_functions", QUERY_TEXT_SQL)
+def q_query_text_functions(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = c.select("conv_id", "turn", "text",
+                 F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
+                 F.array(F.col("role")).alias("tech_stack"),
+                 F.when(F.col("turn") % 3 == 0, F.lit("high")).alias("priority"))
+    cleaned = TX.clean_query("text")
+    return c.select("conv_id", "turn", F.md5(cleaned).alias("cleaned_md5"),
+                    F.length(cleaned).alias("cleaned_length"),
+                    TX.query_context_prefix("repo_name", "tech_stack", "priority", "pipe").alias("prefix_pipe"),
+                    TX.query_context_prefix("repo_name", "tech_stack", "priority", "lines").alias("prefix_lines"),
+                    TX.route_query("text").alias("route"))
+
+
+# ----------------------------------------------------------- A5, A7, A15
+from callweave.sources import sinks as SK  # noqa: E402
+
+
+@register("upsert_latest", f"""WITH {HIST}
+SELECT user_id, arg_max(id, id) AS id, arg_max(query, id) AS query, arg_max(confidence_score, id) AS confidence_score
+FROM hist GROUP BY user_id""")
+def q_upsert_latest(spark, sf_dir):
+    h = S.history(spark, sf_dir).select("user_id", "id", "query", "confidence_score")
+    return SK.upsert(None, h.withColumn("seq", F.col("id")), key="user_id", seq_col="seq") \
+             .select("user_id", "id", "query", "confidence_score")
+
+
+@register("graph_documents", f"""WITH {FN_CTES},
+od AS (SELECT src AS lookup_id, count(*) AS o FROM fn_edges GROUP BY 1),
+id AS (SELECT dst AS lookup_id, count(*) AS i FROM fn_edges GROUP BY 1)
+SELECT f.lookup_id, CAST(coalesce(o, 0) AS INTEGER) AS dependencies_count,
+       CAST(coalesce(i, 0) AS INTEGER) AS dependents_count, f.has_error_handling
+FROM fn f LEFT JOIN od USING (lookup_id) LEFT JOIN id USING (lookup_id)""")
+def q_graph_documents(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    g = G.degrees(fns.select("lookup_id"), G.resolve_calls(fns)).withColumn("depth_level", F.lit(0))
+    return SK.graph_documents(fns, g).select("lookup_id", "dependencies_count", "dependents_count",
+                                             "has_error_handling")
+
+
+@register("index_stats")
+def q_index_stats(spark, sf_dir):
+    return SK.index_stats(S.vectors(spark, sf_dir))
+
+
+# --------------------------------------------------------- P1, P5, A1/B1/B2, K11
+@register("function_embeddings")
+def q_function_embeddings(spark, sf_dir):
+    fns = S.fn(spark, sf_dir).withColumn("text", PR.embedding_text(True, "full"))
+    e = V.embed_texts(fns, "lookup_id", "text", 256)
+    return e.select("lookup_id", F.size("embedding").alias("dim"),
+                    F.round(F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))
+
+
+@register("issue_analysis")
+def q_issue_analysis(spark, sf_dir):
+    from callweave.operators import pipeline as P
+    fns = fn_full(spark, sf_dir)
+    vecs = V.embed_texts(fns.withColumn("text", PR.embedding_text(True, "full")), "seq", "text", 256) \
+        .withColumnRenamed("seq", "id")
+    conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    queries = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+                          F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
+                          F.array(F.lit("python")).alias("tech_stack"), F.lit("high").alias("priority"))
+    res = P.analyze_issues(queries, fns, vecs)
+    return res.select("query_id", "approach", F.round("confidence_score", 6).alias("confidence_score"),
+                      "functions_analyzed", "rounds", "error")
+
+
+@register("corpus_parse_report")
+def q_corpus_parse_report(spark, sf_dir):
+    from callweave.operators import extract as X
+    from callweave.sources.corpus import corpus_table
+    d = table(spark, sf_dir, "documents")
+    corpus = corpus_table(d.select(F.col("source").alias("repo"),
+                                   F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"),
+                                            F.lit(".py")).alias("path"),
+                                   F.col("text").alias("content")), "/corpus")
+    return X.parse_report(X.extract(corpus))
+
+
+@register("graph_rerank")
+def q_graph_rerank(spark, sf_dir):
+    fns = S.fn(spark, sf_dir)
+    r = SR.graph_rerank(k1_results(spark, sf_dir).withColumn("score", F.col("score").cast("double")),
+                        G.resolve_calls(fns), max_depth=2)
+    return r.select("query_id", "lookup_id", "hops", F.round("graph_score", 6).alias("graph_score"), "rank")
