@@ -33,6 +33,36 @@ def _by_key(df: DataFrame, key: str) -> DataFrame:
     return cut_lineage(df.repartition(n, key))
 
 
+# Largest frontier (rows) that is broadcast to the edge scan; its size is
+# counted every round before the choice is made.
+BROADCAST_FRONTIER_ROWS = 500_000
+
+
+class _Expander:
+    """Joins a frontier to the loop-invariant edge table on ``key``.
+
+    A frontier of at most ``BROADCAST_FRONTIER_ROWS`` rows (counted) is
+    broadcast, so the edges are only scanned. A larger one switches to a
+    copy of the edges hash-partitioned on ``key`` once, so each later round
+    moves only the frontier.
+    """
+
+    def __init__(self, edges: DataFrame, key: str):
+        self.key = key
+        self.plain = edges  # scanned per round; callers pass a materialised table
+        self._part: DataFrame | None = None
+
+    def join(self, frontier: DataFrame, on: str, rows: int) -> DataFrame:
+        if rows <= BROADCAST_FRONTIER_ROWS:
+            return self.plain.join(F.broadcast(frontier), self.plain[self.key] == frontier[on])
+        if self._part is None:
+            self._part = _by_key(self.plain, self.key)
+        return frontier.join(self._part, frontier[on] == self._part[self.key])
+
+    def close(self) -> None:
+        self._part = None
+
+
 # ---------------------------------------------------------------- J1, J2, J8
 def resolve_calls(functions: DataFrame, builtins: list[str] | None = None,
                   id_col: str = "lookup_id", name_col: str = "name",
@@ -95,15 +125,15 @@ def longest_depth(roots: DataFrame, edges: DataFrame, max_rounds: int = 32,
     at ``max_rounds`` and marks the nodes still moving with ``depth_capped``.
     Nodes no root reaches are absent (callers fill 0).
     """
-    e = _by_key(edges.select("src", "dst"), "src")
+    e = _Expander(edges.select("src", "dst"), "src")
     frontier = cut_lineage(roots.select(F.col(id_col).alias("node")).distinct())
+    rows = frontier.count()
     levels = [frontier.withColumn("k", F.lit(0))]
     k, capped = 0, False
-    while True:
-        nxt = (frontier.join(e, frontier["node"] == e["src"])
-               .select(F.col("dst").alias("node")).distinct())
-        nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+    while rows > 0:
+        nxt = cut_lineage(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct())
+        rows = nxt.count()
+        if rows == 0:
             break
         k += 1
         levels.append(nxt.withColumn("k", F.lit(k)))
@@ -114,23 +144,26 @@ def longest_depth(roots: DataFrame, edges: DataFrame, max_rounds: int = 32,
     depth = _union(levels).groupBy("node").agg(F.max("k").alias("depth_level"))
     out = depth.select(F.col("node").alias(id_col), F.col("depth_level").cast("int"))
     if not capped:
+        e.close()
         return out.withColumn("depth_capped", F.lit(False))
     # everything still reachable from the last frontier can be walked deeper
-    unbounded = _closure(frontier, e)
+    unbounded = _closure(frontier, rows, e)
+    e.close()
     return (out.join(unbounded.select(F.col("node").alias(id_col), F.lit(True).alias("depth_capped")),
                      id_col, "left")
             .withColumn("depth_capped", F.coalesce("depth_capped", F.lit(False))))
 
 
-def _closure(start: DataFrame, e: DataFrame) -> DataFrame:
+def _closure(start: DataFrame, rows: int, e: "_Expander") -> DataFrame:
     """Nodes reachable from ``start(node)`` (itself included); ends when nothing is new."""
     seen = [start]
     cur = start
     while True:
-        nxt = (cur.join(e, cur["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
+        nxt = (e.join(cur, "node", rows).select(F.col("dst").alias("node")).distinct()
                .join(_union(seen), "node", "left_anti"))
         nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        rows = nxt.count()
+        if rows == 0:
             return _union(seen).distinct()
         seen.append(nxt)
         cur = nxt
@@ -139,7 +172,7 @@ def _closure(start: DataFrame, e: DataFrame) -> DataFrame:
 def build_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
                 max_rounds: int = 32) -> DataFrame:
     """G1: per-node table with degrees, root/leaf flags, type and depth."""
-    edges = keep_known_endpoints(edges, nodes, id_col)
+    edges = cut_lineage(keep_known_endpoints(edges, nodes, id_col))
     g = cut_lineage(degrees(nodes, edges, id_col))
     depth = longest_depth(g.where("is_root").select(id_col), edges, max_rounds, id_col)
     return (g.join(depth, id_col, "left")
@@ -169,20 +202,25 @@ def reachable(edges: DataFrame, targets: DataFrame, max_depth: int = DEFAULT_CON
     """
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse \
         else edges.select("src", "dst")
-    e = _by_key(e, "src")
+    e = _Expander(e, "src")
     frontier = cut_lineage(targets.select(F.col(id_col).alias("target")).distinct()
                            .withColumn("node", F.col("target")))
+    rows = frontier.count()
     levels = [frontier.withColumn("hops", F.lit(0))]
     for h in range(1, max_depth + 1):
+        if rows == 0:
+            break
         seen = _union(levels).select("target", "node")
-        nxt = (frontier.join(e, frontier["node"] == e["src"])
+        nxt = (e.join(frontier, "node", rows)
                .select("target", F.col("dst").alias("node")).distinct()
                .join(seen, ["target", "node"], "left_anti"))
         nxt = cut_lineage(nxt)
-        if nxt.isEmpty():
+        rows = nxt.count()
+        if rows == 0:
             break
         levels.append(nxt.withColumn("hops", F.lit(h)))
         frontier = nxt
+    e.close()
     return _union(levels).withColumn("hops", F.col("hops").cast("int"))
 
 
@@ -195,22 +233,27 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     ever built; a path is kept once its head is a root. A target that is a
     root yields ``[target]``. Output ``(target, path array<string>, depth)``.
     """
-    rev = _by_key(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
+    rev = _Expander(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
     root_ids = roots.select(F.col(id_col).alias("head")).distinct()
     cur = cut_lineage(targets.select(F.col(id_col).alias("target")).distinct()
                       .select("target", F.col("target").alias("head"),
                               F.array(F.col("target")).alias("path")))
+    rows = cur.count()
     done = [cur.join(root_ids, "head", "left_semi")]
     for _ in range(max_depth):
-        ext = (cur.join(rev, cur["head"] == rev["child"])
+        if rows == 0:
+            break
+        ext = (rev.join(cur, "head", rows)
                .where(~F.array_contains("path", F.col("parent")))
                .select("target", F.col("parent").alias("head"),
                        F.concat(F.array(F.col("parent")), F.col("path")).alias("path")))
         ext = cut_lineage(ext)
-        if ext.isEmpty():
+        rows = ext.count()
+        if rows == 0:
             break
         done.append(ext.join(root_ids, "head", "left_semi"))
         cur = ext
+    rev.close()
     return _union(done).select("target", "path", (F.size("path") - 1).alias("depth"))
 
 
@@ -253,23 +296,41 @@ def context_summary(context: DataFrame, nodes: DataFrame, paths: DataFrame | Non
 
 
 # ---------------------------------------------------------------- G10, G11
-def _undirected(edges: DataFrame) -> DataFrame:
-    return (edges.where(F.col("src") != F.col("dst"))
-            .select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b"))
-            .distinct())
+def _contract(edges: DataFrame) -> DataFrame:
+    """One min-label step: with L(u) = min(u, neighbours of u), the edge set
+    {(L(u), L(v)) : (u, v) in E} plus {(u, L(u))} has exactly the components of E
+    (u-L(u) is an edge or a node; L(u)-u-v-L(v) is a path), and usually far fewer
+    distinct pairs. L is a min-aggregate (combined map-side); its lookups are
+    joins that AQE turns into broadcasts when L is small."""
+    e0 = edges.where(F.col("src") != F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    both = e0.unionByName(e0.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lab = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
+    small = lab.count() <= BROADCAST_FRONTIER_ROWS  # one row per node: broadcast only when counted small
+    hint = F.broadcast if small else (lambda d: d)
+    la = hint(lab.select(F.col("a"), F.col("m").alias("ma")))
+    lb = hint(lab.select(F.col("a").alias("b"), F.col("m").alias("mb")))
+    contracted = (e0.join(la, "a").join(lb, "b")
+                  .where(F.col("ma") != F.col("mb"))
+                  .select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")))
+    links = lab.where(F.col("a") != F.col("m")).select("a", F.col("m").alias("b"))
+    return contracted.unionByName(links).distinct()
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
                          max_rounds: int = 64) -> DataFrame:
-    """Weakly connected components by alternating large-star / small-star
-    (Kiveris et al., SoCC 2014). ``component_id`` = smallest id in the component.
+    """Weakly connected components: one min-label contraction, then
+    alternating large-star / small-star (Kiveris et al., SoCC 2014) to a star
+    forest. ``component_id`` = smallest id in the component.
 
     Edges are kept as ``(a, b)`` with ``a > b``; every step is a min-aggregate
     (combined map-side) and an equi join, so a hub node never has its neighbour
     list gathered in one place. Converged when no parent is also a child.
     """
-    e = cut_lineage(_undirected(edges))
+    e = cut_lineage(_contract(edges))
     for _ in range(max_rounds):
+        parents = e.select(F.col("b").alias("a")).distinct()
+        if e.join(parents, "a", "left_semi").isEmpty():
+            break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: each neighbour above u links to m(u) = min(u, N(u))
         m1 = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -282,9 +343,6 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "look
               .unionByName(m2.select("a", F.col("m").alias("b")))
               .where(F.col("a") != F.col("b")).distinct())
         e = cut_lineage(ss)
-        parents = e.select(F.col("b").alias("a")).distinct()
-        if e.join(parents, "a", "left_semi").isEmpty():
-            break
     else:
         raise RuntimeError("connected components did not converge")
     comp = e.select(F.col("a").alias(id_col), F.col("b").alias("component_id"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from callweave.operators import graph as G
 from callweave.plans import standins as S
+from callweave.session import materialized
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +54,8 @@ dag_graph AS (
 
 
 def dag_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.build_graph(S.dag_nodes(spark, sf_dir), S.dag_edges(spark, sf_dir))
+    return materialized(spark, ("dag_graph", sf_dir),
+                        lambda: G.build_graph(S.dag_nodes(spark, sf_dir), S.dag_edges(spark, sf_dir)))
 
 
 def dag_edges_known(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,12 +183,12 @@ fn_edges AS (SELECT DISTINCT c.lookup_id AS src, f.lookup_id AS dst
 
 
 def fn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.resolve_calls(S.fn(spark, sf_dir))
+    return materialized(spark, ("fn_edges", sf_dir), lambda: G.resolve_calls(S.fn(spark, sf_dir)))
 
 
 @register("name_resolution_edges", f"WITH {FN_CTES} SELECT src, dst FROM fn_edges")
 def q_name_edges(spark, sf_dir):
-    return fn_edges(spark, sf_dir)
+    return G.resolve_calls(S.fn(spark, sf_dir))
 
 
 @register("nested_call_ids", f"""WITH {FN_CTES}
@@ -195,7 +197,7 @@ SELECT f.lookup_id, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS neste
 FROM fn f LEFT JOIN fn_edges e ON e.src = f.lookup_id GROUP BY f.lookup_id""")
 def q_nested_call_ids(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
-    n = G.nested_call_ids(fns, G.resolve_calls(fns))
+    n = G.nested_call_ids(fns, fn_edges(spark, sf_dir))
     return n.select("lookup_id", F.array_join("nested_call_ids", ",").alias("nested_call_ids"),
                     F.size("nested_call_ids").alias("nested_count"))
 
@@ -213,7 +215,7 @@ fn_cc AS (SELECT node AS lookup_id, min(comp) AS component_id FROM fn_reach GROU
 SELECT lookup_id, component_id FROM fn_cc""")
 def q_connected_components(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
-    return G.connected_components(fns.select("lookup_id"), G.resolve_calls(fns))
+    return G.connected_components(fns.select("lookup_id"), fn_edges(spark, sf_dir))
 
 
 @register("mutual_calls", f"""WITH {FN_CTES}
@@ -244,7 +246,7 @@ SELECT round(100.0 * count(*) FILTER (WHERE in_degree + out_degree > 0) / count(
 FROM g""")
 def q_graph_quality(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
-    edges = G.resolve_calls(fns)
+    edges = fn_edges(spark, sf_dir)
     g = G.degrees(fns.select("lookup_id"), edges)
     return G.graph_quality(g, G.connected_components(fns.select("lookup_id"), edges))
 
@@ -272,7 +274,7 @@ LOOKUP_COLS = ["function_name", "lookup_id", "nested_call_ids", "file_name", "re
 
 def fn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fns = S.fn(spark, sf_dir)
-    full = G.nested_call_ids(fns, G.resolve_calls(fns))
+    full = G.nested_call_ids(fns, fn_edges(spark, sf_dir))
     return L.lookup_table(full).join(fns.select("lookup_id", "seq"), "lookup_id")
 
 
@@ -638,8 +640,8 @@ def k1_results(spark, sf_dir):
 
 
 def fn_full(spark, sf_dir):
-    fns = S.fn(spark, sf_dir)
-    return G.nested_call_ids(fns, G.resolve_calls(fns))
+    return materialized(spark, ("fn_full", sf_dir),
+                        lambda: G.nested_call_ids(S.fn(spark, sf_dir), fn_edges(spark, sf_dir)))
 
 
 def fn_nodes(fns):
@@ -685,7 +687,7 @@ sctx AS (
 
 def search_context(spark, sf_dir):
     fns = fn_full(spark, sf_dir)
-    edges = G.resolve_calls(fns)
+    edges = fn_edges(spark, sf_dir)
     e = SR.with_graph_context(k1_results(spark, sf_dir), edges, fn_nodes(fns), max_depth=2)
     return e.select("query_id", "lookup_id", "rank", "dependency_count", F.col("max_hops").cast("int"),
                     F.array_join("files_involved", ",").alias("files_involved"),
@@ -805,7 +807,7 @@ def graph_ranked(spark, sf_dir):
     """Second search method: functions matching the query in name or module, ranked
     by number of callers (dependents), then id."""
     fns = S.fn(spark, sf_dir)
-    deg = G.degrees(fns.select("lookup_id"), G.resolve_calls(fns)).select("lookup_id", "in_degree")
+    deg = G.degrees(fns.select("lookup_id"), fn_edges(spark, sf_dir)).select("lookup_id", "in_degree")
     cand = L.relevance_scores(L.lookup_table(fns), RELEVANCE_QUERIES) \
         .where(F.instr(F.lower("function_name"), F.lower("query")) + F.instr(F.lower("module_name"),
                                                                            F.lower("query")) > 0)
@@ -985,7 +987,7 @@ SELECT f.lookup_id, CAST(coalesce(o, 0) AS INTEGER) AS dependencies_count,
 FROM fn f LEFT JOIN od USING (lookup_id) LEFT JOIN id USING (lookup_id)""")
 def q_graph_documents(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
-    g = G.degrees(fns.select("lookup_id"), G.resolve_calls(fns)).withColumn("depth_level", F.lit(0))
+    g = G.degrees(fns.select("lookup_id"), fn_edges(spark, sf_dir)).withColumn("depth_level", F.lit(0))
     return SK.graph_documents(fns, g).select("lookup_id", "dependencies_count", "dependents_count",
                                              "has_error_handling")
 
@@ -1035,5 +1037,5 @@ def q_corpus_parse_report(spark, sf_dir):
 def q_graph_rerank(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
     r = SR.graph_rerank(k1_results(spark, sf_dir).withColumn("score", F.col("score").cast("double")),
-                        G.resolve_calls(fns), max_depth=2)
+                        fn_edges(spark, sf_dir), max_depth=2)
     return r.select("query_id", "lookup_id", "hops", F.round("graph_score", 6).alias("graph_score"), "rank")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.fixed import APPROACH_GRAPH, APPROACH_LOOKUP
+from callweave.session import materialized
 from callweave.sources.tables import table
 
 
@@ -28,6 +29,10 @@ def _id(prefix: str, c: str):
 
 # --------------------------------------------------------------------------- DAG
 def dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, ("dag_edges", sf_dir), lambda: _dag_edges(spark, sf_dir))
+
+
+def _dag_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     customer = table(spark, sf_dir, "customer")
     supplier = table(spark, sf_dir, "supplier")
@@ -60,6 +65,10 @@ def _node_rows(df: DataFrame, prefix: str, key: str, name, kind: str) -> DataFra
 
 
 def dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialized(spark, ("dag_nodes", sf_dir), lambda: _dag_nodes(spark, sf_dir))
+
+
+def _dag_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: table(spark, sf_dir, n)
     parts = [
         _node_rows(t("region"), "R", "r_regionkey", F.col("r_name"), "region"),
@@ -155,6 +164,10 @@ def fn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Function records with ``calls`` = sorted distinct called names."""
+    return materialized(spark, ("fn", sf_dir), lambda: _fn(spark, sf_dir))
+
+
+def _fn(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = (fn_calls(spark, sf_dir).groupBy("lookup_id")
              .agg(F.array_sort(F.collect_set("callee_name")).alias("calls")))
     from callweave.functions.text import numbered_code

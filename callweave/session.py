@@ -75,3 +75,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` to reliable storage and drop its lineage (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_MATERIALIZED: dict[tuple, str] = {}
+
+
+def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Build a derived table once per session, write it as parquet under the
+    checkpoint root (shared storage) and read it back on every later use."""
+    full = (spark.sparkContext.applicationId,) + tuple(key)
+    path = _MATERIALIZED.get(full)
+    if path is None:
+        path = scratch_path(spark, "table-" + "-".join(str(k).strip("/").replace("/", "_") for k in key))
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[full] = path
+    return spark.read.parquet(path)
