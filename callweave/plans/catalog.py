@@ -1010,8 +1010,8 @@ def q_function_embeddings(spark, sf_dir):
 def q_issue_analysis(spark, sf_dir):
     from callweave.operators import pipeline as P
     fns = fn_full(spark, sf_dir)
-    vecs = V.embed_texts(fns.withColumn("text", PR.embedding_text(True, "full")), "seq", "text", 256) \
-        .withColumnRenamed("seq", "id")
+    vecs = V.embed_texts(fns.withColumn("text", PR.embedding_text(True, "full")), "lookup_id", "text", 256) \
+        .withColumnRenamed("lookup_id", "id")
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
     queries = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
                           F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
