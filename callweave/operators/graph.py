@@ -99,6 +99,23 @@ def keep_known_endpoints(edges: DataFrame, nodes: DataFrame, id_col: str = "look
                  .join(ids, edges["dst"] == ids["_id"], "left_semi"))
 
 
+def external_calls(functions: DataFrame, builtins: list[str] | None = None,
+                   id_col: str = "lookup_id", name_col: str = "name", calls_col: str = "calls") -> DataFrame:
+    """Called names that no function in the corpus defines (built-ins apart):
+    ``(lookup_id, call)``. A left anti join on the name, so it scales like J1."""
+    builtins = BUILTIN_NAMES if builtins is None else builtins
+    called = (functions.select(F.col(id_col), F.explode(F.array_distinct(calls_col)).alias("call"))
+              .where(~F.col("call").isin(builtins)))
+    names = functions.select(F.col(name_col).alias("call")).distinct()
+    return called.join(names, "call", "left_anti").select(id_col, "call")
+
+
+def prune_leaves(edges: DataFrame, graph: DataFrame, id_col: str = "lookup_id") -> DataFrame:
+    """Drop edges that end in a leaf (a function calling nothing)."""
+    leaves = graph.where(F.col("is_leaf")).select(F.col(id_col).alias("dst"))
+    return edges.join(leaves, "dst", "left_anti").select("src", "dst")
+
+
 # ------------------------------------------------------------ G2, J7, G9, G3
 def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
     """G2 + J7 + G9: out/in degree, root and leaf flags, node type (isolated -> root)."""

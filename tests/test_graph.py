@@ -171,3 +171,22 @@ def test_degree_invariant(spark):
     g = G.degrees(_nodes(spark, AUTH_IDS), edges)
     row = g.agg(F.sum("out_degree").alias("o"), F.sum("in_degree").alias("i")).first()
     assert row.o == row.i == len(AUTH_EDGES)
+
+
+def test_external_calls_and_leaf_pruning(spark):
+    fns = _fns(spark, F1 + [("func-5", "orphan", ["requests_get", "len", "validator"])])
+    ext = sorted(map(tuple, G.external_calls(fns).collect()))
+    assert ext == [("func-5", "requests_get")]
+    edges = G.resolve_calls(fns)
+    g = G.degrees(fns.select("lookup_id"), edges)
+    kept = sorted(map(tuple, G.prune_leaves(edges, g).collect()))
+    assert kept == [("func-1", "func-2")]
+
+
+def test_context_functions_order(spark):
+    edges = _edges(spark, AUTH_EDGES)
+    ctx = G.reachable(edges, _nodes(spark, ["auth-002"]), 2)
+    attrs = spark.createDataFrame([(i, f"n{i}") for i in AUTH_IDS], "lookup_id string, name string")
+    rows = G.context_functions(ctx, attrs).orderBy("position").collect()
+    assert rows[0].node == "auth-002" and rows[0].position == 0
+    assert [r.node for r in rows] == ["auth-002", "auth-003", "auth-007", "auth-004", "auth-005", "auth-009"]
