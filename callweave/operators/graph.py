@@ -86,7 +86,8 @@ def resolve_calls(functions: DataFrame, builtins: list[str] | None = None,
 
 def nested_call_ids(functions: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
     """``nested_call_ids`` = sorted callee ids per function (empty when none)."""
-    per_src = (edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("nested_call_ids"))
+    # (src, dst) pairs from resolve_calls are unique, so a list is enough
+    per_src = (edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("nested_call_ids"))
                .withColumnRenamed("src", id_col))
     return (functions.drop("nested_call_ids").join(per_src, id_col, "left")
             .withColumn("nested_call_ids", F.coalesce("nested_call_ids", _empty_strs())))

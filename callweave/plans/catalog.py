@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from callweave.operators import graph as G
 from callweave.plans import standins as S
-from callweave.session import materialized
+from callweave.session import materialized, spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -471,7 +471,7 @@ ORACLE_DOC_TEXT = (DOC_TEXT_SQL.replace("{H}", _count_sql(CONFIDENCE_HIGH))
 
 @register("text_functions", ORACLE_DOC_TEXT)
 def q_text_functions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     conf = TX.lexicon_confidence("text")
     return d.select(
         "doc_id",
@@ -1025,7 +1025,7 @@ def q_issue_analysis(spark, sf_dir):
 def q_corpus_parse_report(spark, sf_dir):
     from callweave.operators import extract as X
     from callweave.sources.corpus import corpus_table
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     corpus = corpus_table(d.select(F.col("source").alias("repo"),
                                    F.concat(F.col("lang"), F.lit("/doc_"), F.col("doc_id").cast("string"),
                                             F.lit(".py")).alias("path"),

@@ -90,3 +90,13 @@ def materialized(spark: SparkSession, key: tuple, build) -> DataFrame:
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[full] = path
     return spark.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Widen an input read as fewer partitions than the cluster has task slots
+    (a small file on a wide cluster) before CPU-heavy per-row work. An input with
+    enough partitions, as any large one has, is returned unchanged (no shuffle)."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
