@@ -36,31 +36,64 @@ def _by_key(df: DataFrame, key: str) -> DataFrame:
 # Largest frontier (rows) that is broadcast to the edge scan; its size is
 # counted every round before the choice is made.
 BROADCAST_FRONTIER_ROWS = 500_000
+# A join key with more edges than this is hot: its edges are salted over
+# HOT_SALTS tasks instead of landing in one partition. There are at most
+# edges / HOT_KEY_EDGES hot keys, so their id set is small by construction.
+HOT_KEY_EDGES = 1_000_000
+HOT_SALTS = 64
 
 
 class _Expander:
     """Joins a frontier to the loop-invariant edge table on ``key``.
 
-    A frontier of at most ``BROADCAST_FRONTIER_ROWS`` rows (counted) is
-    broadcast, so the edges are only scanned. A larger one switches to a
-    copy of the edges hash-partitioned on ``key`` once, so each later round
-    moves only the frontier.
+    * A frontier of at most ``BROADCAST_FRONTIER_ROWS`` rows (counted) is
+      broadcast, so the edges are only scanned, whatever their key skew.
+    * A larger frontier meets a copy of the edges hash-partitioned on ``key``
+      once (later rounds move only the frontier). Keys with more than
+      ``HOT_KEY_EDGES`` edges are kept out of that copy: their edges get a
+      deterministic salt (a hash of the edge), and the frontier rows for them are replicated once per salt,
+      so a key holding a third of all edges is spread over ``HOT_SALTS`` tasks.
     """
 
     def __init__(self, edges: DataFrame, key: str):
         self.key = key
         self.plain = edges  # scanned per round; callers pass a materialised table
         self._part: DataFrame | None = None
+        self._hot: DataFrame | None = None
+        self._hot_edges: DataFrame | None = None
+
+    def _prepare(self) -> None:
+        k = self.key
+        counts = self.plain.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
+        hot = cut_lineage(counts.where(F.col("_n") > HOT_KEY_EDGES).select(k))
+        if hot.isEmpty():
+            self._part = _by_key(self.plain, k)
+            return
+        self._hot = hot  # at most edges / HOT_KEY_EDGES rows
+        self._part = _by_key(self.plain.join(F.broadcast(hot), k, "left_anti"), k)
+        self._hot_edges = cut_lineage(
+            self.plain.join(F.broadcast(hot), k, "left_semi")
+            .withColumn("_salt", F.pmod(F.xxhash64(*self.plain.columns), F.lit(HOT_SALTS)).cast("int")))
 
     def join(self, frontier: DataFrame, on: str, rows: int) -> DataFrame:
         if rows <= BROADCAST_FRONTIER_ROWS:
             return self.plain.join(F.broadcast(frontier), self.plain[self.key] == frontier[on])
         if self._part is None:
-            self._part = _by_key(self.plain, self.key)
-        return frontier.join(self._part, frontier[on] == self._part[self.key])
+            self._prepare()
+        out_cols = frontier.columns + [c for c in self.plain.columns if c not in frontier.columns]
+        cold = frontier.join(self._part, frontier[on] == self._part[self.key]).select(*out_cols)
+        if self._hot is None:
+            return cold
+        hot_ids = self._hot.withColumnRenamed(self.key, on)
+        f_hot = (frontier.join(F.broadcast(hot_ids), on, "left_semi")
+                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))))
+        he = self._hot_edges
+        hot = (f_hot.join(he, (f_hot[on] == he[self.key]) & (f_hot["_salt"] == he["_salt"]))
+               .select(*out_cols))
+        return cold.unionByName(hot)
 
     def close(self) -> None:
-        self._part = None
+        self._part = self._hot = self._hot_edges = None
 
 
 # ---------------------------------------------------------------- J1, J2, J8

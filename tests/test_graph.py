@@ -190,3 +190,20 @@ def test_context_functions_order(spark):
     rows = G.context_functions(ctx, attrs).orderBy("position").collect()
     assert rows[0].node == "auth-002" and rows[0].position == 0
     assert [r.node for r in rows] == ["auth-002", "auth-003", "auth-007", "auth-004", "auth-005", "auth-009"]
+
+
+def test_partitioned_and_salted_paths_agree(spark, monkeypatch):
+    """Force the partitioned path and make one hub key 'hot': results are unchanged."""
+    hub = [("h", f"x{i}") for i in range(30)] + [(f"x{i}", f"y{i % 7}") for i in range(30)]
+    edges = _edges(spark, hub + AUTH_EDGES + [("auth-009", "h")])
+    targets = _nodes(spark, AUTH_IDS + ["h"])
+    roots = _nodes(spark, ["auth-001"])
+    base_ctx = sorted(map(tuple, G.reachable(edges, targets, 3).collect()))
+    base_paths = sorted(tuple(r.path) for r in G.call_paths(edges, roots, targets, 3).collect())
+    monkeypatch.setattr(G, "BROADCAST_FRONTIER_ROWS", 0)
+    monkeypatch.setattr(G, "HOT_KEY_EDGES", 5)
+    monkeypatch.setattr(G, "HOT_SALTS", 4)
+    assert sorted(map(tuple, G.reachable(edges, targets, 3).collect())) == base_ctx
+    assert sorted(tuple(r.path) for r in G.call_paths(edges, roots, targets, 3).collect()) == base_paths
+    g = G.build_graph(_nodes(spark, AUTH_IDS), _edges(spark, AUTH_EDGES))
+    assert {r.lookup_id: r.depth_level for r in g.collect()}["auth-009"] == 3
