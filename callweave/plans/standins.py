@@ -15,7 +15,7 @@ DuckDB twin (the ``*_SQL`` strings) used by the oracle queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.fixed import APPROACH_GRAPH, APPROACH_LOOKUP
@@ -146,18 +146,23 @@ def _fn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(caller_id, callee_name): a part calls the name of the part on the next line of its order."""
-    li = table(spark, sf_dir, "lineitem")
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
-                                                  "l_extendedprice")
-    nxt = (li.select("l_partkey", F.lead("l_partkey").over(w).alias("next_part"))
-             .where(F.col("next_part").isNotNull())
-             .select(F.col("l_partkey").alias("caller"), F.col("next_part").alias("callee"))
-             .distinct())
+    """(caller_id, callee_name): a part calls the name of the part on the next line of its order.
+
+    "Next line" is taken from a distributed sort of all lines (so an order with a
+    very large number of lines is split across range partitions, not held by one
+    window task) and an equi join on position + 1 within the same order.
+    """
+    from callweave.operators.ranking import global_row_number
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+                                                 "l_extendedprice")
+    pos = global_row_number(li, [F.col(c) for c in li.columns], "pos").select("l_orderkey", "l_partkey", "pos")
+    nxt = pos.select(F.col("l_orderkey"), (F.col("pos") - 1).alias("pos"), F.col("l_partkey").alias("callee"))
+    pairs = (pos.join(nxt, ["l_orderkey", "pos"])
+             .select(F.col("l_partkey").alias("caller"), "callee").distinct())
     names = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("callee"),
         F.concat(F.col("p_name"), F.lit("/"), F.col("p_brand")).alias("callee_name"))
-    return (nxt.join(names, "callee")
+    return (pairs.join(names, "callee")
                .select(_id("P", "caller").alias("lookup_id"), "callee_name")
                .distinct())
 
