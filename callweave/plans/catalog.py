@@ -992,7 +992,12 @@ def q_graph_documents(spark, sf_dir):
                                              "has_error_handling")
 
 
-@register("index_stats")
+@register("index_stats", """
+SELECT count(*) AS document_count,
+       coalesce(sum(length(to_json(struct_pack(id := vec_id, label := label))) + 4 * len(embedding)), 0)
+         AS store_size,
+       max(len(embedding)) AS embedding_dimensions
+FROM embeddings""")
 def q_index_stats(spark, sf_dir):
     return SK.index_stats(S.vectors(spark, sf_dir))
 
@@ -1033,9 +1038,32 @@ def q_corpus_parse_report(spark, sf_dir):
     return X.parse_report(X.extract(corpus))
 
 
-@register("graph_rerank")
+@register("graph_rerank", f"""WITH RECURSIVE {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL},
+hits AS (SELECT query_id, lookup_id AS hit, CAST(score AS DOUBLE) AS score FROM k1),
+hitset AS (SELECT DISTINCT hit FROM hits),
+rctx(target, node, hops) AS (
+  SELECT hit, hit, 0 FROM hitset
+  UNION SELECT c.target, e.dst, c.hops + 1 FROM rctx c JOIN fn_edges e ON e.src = c.node WHERE c.hops < 2),
+rcm AS (SELECT target, node, min(hops) AS hops FROM rctx GROUP BY 1, 2),
+cand AS (SELECT h.query_id, m.node AS lookup_id, m.hops,
+                h.score * power(0.8, m.hops) * power(0.9, greatest(m.hops - 1, 0)) AS base
+         FROM hits h JOIN rcm m ON m.target = h.hit),
+best AS (SELECT query_id, lookup_id, max(base) AS base, min(hops) AS hops FROM cand GROUP BY 1, 2),
+und AS (SELECT src AS a, dst AS b FROM fn_edges UNION ALL SELECT dst, src FROM fn_edges),
+linked AS (SELECT DISTINCT h.query_id, u.a AS lookup_id FROM hits h JOIN und u ON u.b = h.hit),
+scored AS (SELECT b.query_id, b.lookup_id, b.hops,
+                  round(b.base * CASE WHEN l.lookup_id IS NOT NULL THEN 1.2 ELSE 1.0 END, 9) AS graph_score
+           FROM best b LEFT JOIN linked l ON l.query_id = b.query_id AND l.lookup_id = b.lookup_id),
+ctxk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY graph_score DESC, lookup_id)
+                        AS r FROM scored WHERE hops > 0) WHERE r <= 10),
+kept AS (SELECT query_id, lookup_id, hops, graph_score FROM scored WHERE hops = 0
+         UNION ALL SELECT query_id, lookup_id, hops, graph_score FROM ctxk)
+SELECT query_id, lookup_id, CAST(hops AS INTEGER) AS hops, round(graph_score, 6) AS graph_score,
+       CAST(row_number() OVER (PARTITION BY query_id ORDER BY graph_score DESC, lookup_id) AS INTEGER) AS rank
+FROM kept""")
 def q_graph_rerank(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
     r = SR.graph_rerank(k1_results(spark, sf_dir).withColumn("score", F.col("score").cast("double")),
                         fn_edges(spark, sf_dir), max_depth=2)
-    return r.select("query_id", "lookup_id", "hops", F.round("graph_score", 6).alias("graph_score"), "rank")
+    return r.select("query_id", "lookup_id", F.col("hops").cast("int"), F.round("graph_score", 6).alias("graph_score"),
+                    F.col("rank").cast("int"))
