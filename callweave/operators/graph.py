@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from callweave.fixed import BUILTIN_NAMES, DEFAULT_CONTEXT_DEPTH
 from callweave.operators.ranking import global_dense_rank
-from callweave.session import cut_lineage
+from callweave.session import cut_and_count, cut_lineage
 
 
 def _empty_strs():
@@ -177,13 +177,12 @@ def longest_depth(roots: DataFrame, edges: DataFrame, max_rounds: int = 32,
     Nodes no root reaches are absent (callers fill 0).
     """
     e = _Expander(edges.select("src", "dst"), "src")
-    frontier = cut_lineage(roots.select(F.col(id_col).alias("node")).distinct())
-    rows = frontier.count()
+    frontier, rows = cut_and_count(roots.select(F.col(id_col).alias("node")).distinct(), "depth")
     levels = [frontier.withColumn("k", F.lit(0))]
     k, capped = 0, False
     while rows > 0:
-        nxt = cut_lineage(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct())
-        rows = nxt.count()
+        nxt, rows = cut_and_count(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct(),
+                                  "depth")
         if rows == 0:
             break
         k += 1
@@ -210,10 +209,8 @@ def _closure(start: DataFrame, rows: int, e: "_Expander") -> DataFrame:
     seen = [start]
     cur = start
     while True:
-        nxt = (e.join(cur, "node", rows).select(F.col("dst").alias("node")).distinct()
-               .join(_union(seen), "node", "left_anti"))
-        nxt = cut_lineage(nxt)
-        rows = nxt.count()
+        nxt, rows = cut_and_count(e.join(cur, "node", rows).select(F.col("dst").alias("node")).distinct()
+                                  .join(_union(seen), "node", "left_anti"), "closure")
         if rows == 0:
             return _union(seen).distinct()
         seen.append(nxt)
@@ -223,8 +220,8 @@ def _closure(start: DataFrame, rows: int, e: "_Expander") -> DataFrame:
 def build_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
                 max_rounds: int = 32) -> DataFrame:
     """G1: per-node table with degrees, root/leaf flags, type and depth."""
-    edges = cut_lineage(keep_known_endpoints(edges, nodes, id_col))
-    g = cut_lineage(degrees(nodes, edges, id_col))
+    edges, _ = cut_and_count(keep_known_endpoints(edges, nodes, id_col), "edges")
+    g, _ = cut_and_count(degrees(nodes, edges, id_col), "degrees")
     depth = longest_depth(g.where("is_root").select(id_col), edges, max_rounds, id_col)
     return (g.join(depth, id_col, "left")
              .withColumn("depth_level", F.coalesce("depth_level", F.lit(0)).cast("int"))
@@ -254,19 +251,16 @@ def reachable(edges: DataFrame, targets: DataFrame, max_depth: int = DEFAULT_CON
     e = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")) if reverse \
         else edges.select("src", "dst")
     e = _Expander(e, "src")
-    frontier = cut_lineage(targets.select(F.col(id_col).alias("target")).distinct()
-                           .withColumn("node", F.col("target")))
-    rows = frontier.count()
+    frontier, rows = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct()
+                                   .withColumn("node", F.col("target")), "reach")
     levels = [frontier.withColumn("hops", F.lit(0))]
     for h in range(1, max_depth + 1):
         if rows == 0:
             break
         seen = _union(levels).select("target", "node")
-        nxt = (e.join(frontier, "node", rows)
-               .select("target", F.col("dst").alias("node")).distinct()
-               .join(seen, ["target", "node"], "left_anti"))
-        nxt = cut_lineage(nxt)
-        rows = nxt.count()
+        nxt, rows = cut_and_count(e.join(frontier, "node", rows)
+                                  .select("target", F.col("dst").alias("node")).distinct()
+                                  .join(seen, ["target", "node"], "left_anti"), "reach")
         if rows == 0:
             break
         levels.append(nxt.withColumn("hops", F.lit(h)))
@@ -286,10 +280,9 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     """
     rev = _Expander(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
     root_ids = roots.select(F.col(id_col).alias("head")).distinct()
-    cur = cut_lineage(targets.select(F.col(id_col).alias("target")).distinct()
-                      .select("target", F.col("target").alias("head"),
-                              F.array(F.col("target")).alias("path")))
-    rows = cur.count()
+    cur, rows = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct()
+                              .select("target", F.col("target").alias("head"),
+                                      F.array(F.col("target")).alias("path")), "paths")
     done = [cur.join(root_ids, "head", "left_semi")]
     for _ in range(max_depth):
         if rows == 0:
@@ -298,8 +291,7 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
                .where(~F.array_contains("path", F.col("parent")))
                .select("target", F.col("parent").alias("head"),
                        F.concat(F.array(F.col("parent")), F.col("path")).alias("path")))
-        ext = cut_lineage(ext)
-        rows = ext.count()
+        ext, rows = cut_and_count(ext, "paths")
         if rows == 0:
             break
         done.append(ext.join(root_ids, "head", "left_semi"))
@@ -355,8 +347,8 @@ def _contract(edges: DataFrame) -> DataFrame:
     joins that AQE turns into broadcasts when L is small."""
     e0 = edges.where(F.col("src") != F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = e0.unionByName(e0.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lab = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-    small = lab.count() <= BROADCAST_FRONTIER_ROWS  # one row per node: broadcast only when counted small
+    lab, n_lab = cut_and_count(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "labels")
+    small = n_lab <= BROADCAST_FRONTIER_ROWS  # one row per node: broadcast only when counted small
     hint = F.broadcast if small else (lambda d: d)
     la = hint(lab.select(F.col("a"), F.col("m").alias("ma")))
     lb = hint(lab.select(F.col("a").alias("b"), F.col("m").alias("mb")))
@@ -377,7 +369,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "look
     (combined map-side) and an equi join, so a hub node never has its neighbour
     list gathered in one place. Converged when no parent is also a child.
     """
-    e = cut_lineage(_contract(edges))
+    e, _ = cut_and_count(_contract(edges), "stars")
     for _ in range(max_rounds):
         parents = e.select(F.col("b").alias("a")).distinct()
         if e.join(parents, "a", "left_semi").isEmpty():
@@ -393,7 +385,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "look
         ss = (ls.join(m2, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
               .unionByName(m2.select("a", F.col("m").alias("b")))
               .where(F.col("a") != F.col("b")).distinct())
-        e = cut_lineage(ss)
+        e, _ = cut_and_count(ss, "stars")
     else:
         raise RuntimeError("connected components did not converge")
     comp = e.select(F.col("a").alias(id_col), F.col("b").alias("component_id"))
@@ -411,16 +403,14 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
 def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Nodes left after repeatedly removing nodes without callers or callees
     among the remaining edges: the cycles and everything that lies between them."""
-    e = cut_lineage(edges.select("src", "dst").distinct())
-    size = e.count()
+    e, size = cut_and_count(edges.select("src", "dst").distinct(), "core")
     for _ in range(max_rounds):
         srcs = e.select(F.col("src").alias("n")).distinct()
         dsts = e.select(F.col("dst").alias("n")).distinct()
         alive = srcs.join(dsts, "n", "left_semi")
         nxt = (e.join(alive.withColumnRenamed("n", "src"), "src", "left_semi")
                 .join(alive.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-        nxt = cut_lineage(nxt)
-        n = nxt.count()
+        nxt, n = cut_and_count(nxt, "core")
         if n == size:
             break
         e, size = nxt, n

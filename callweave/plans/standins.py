@@ -15,7 +15,7 @@ DuckDB twin (the ``*_SQL`` strings) used by the oracle queries.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.fixed import APPROACH_GRAPH, APPROACH_LOOKUP
@@ -145,24 +145,39 @@ def _fn_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+HOT_ORDER_LINES = 100_000  # an order with more lines than this is paired by position
+
+
 def fn_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(caller_id, callee_name): a part calls the name of the part on the next line of its order.
 
-    "Next line" is taken from a distributed sort of all lines (so an order with a
-    very large number of lines is split across range partitions, not held by one
-    window task) and an equi join on position + 1 within the same order.
+    Ordinary orders pair lines with ``lead`` over a window per order. Orders with
+    more than ``HOT_ORDER_LINES`` lines (counted first; at most lines / bound of
+    them) are paired through a distributed sort and an equi join on position + 1,
+    so no single task holds a huge order.
     """
     from callweave.operators.ranking import global_row_number
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                                  "l_extendedprice")
-    pos = global_row_number(li, [F.col(c) for c in li.columns], "pos").select("l_orderkey", "l_partkey", "pos")
-    nxt = pos.select(F.col("l_orderkey"), (F.col("pos") - 1).alias("pos"), F.col("l_partkey").alias("callee"))
-    pairs = (pos.join(nxt, ["l_orderkey", "pos"])
-             .select(F.col("l_partkey").alias("caller"), "callee").distinct())
+    order = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    sizes = li.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))  # combined map-side
+    hot = sizes.where(F.col("_n") > HOT_ORDER_LINES).select("l_orderkey")
+    n_hot = hot.count()
+    hot = F.broadcast(hot) if n_hot <= 1_000_000 else hot  # broadcast only under a counted bound
+    cold = li.join(hot, "l_orderkey", "left_anti") if n_hot else li
+    w = Window.partitionBy("l_orderkey").orderBy(*order)
+    pairs = (cold.select(F.col("l_partkey").alias("caller"), F.lead("l_partkey").over(w).alias("callee"))
+             .where(F.col("callee").isNotNull()))
+    if n_hot:
+        big = li.join(hot, "l_orderkey", "left_semi")
+        pos = global_row_number(big, [F.col("l_orderkey")] + [F.col(c) for c in order], "pos")
+        nxt = pos.select("l_orderkey", (F.col("pos") - 1).alias("pos"), F.col("l_partkey").alias("callee"))
+        pairs = pairs.unionByName(pos.join(nxt, ["l_orderkey", "pos"])
+                                  .select(F.col("l_partkey").alias("caller"), "callee"))
     names = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("callee"),
         F.concat(F.col("p_name"), F.lit("/"), F.col("p_brand")).alias("callee_name"))
-    return (pairs.join(names, "callee")
+    return (pairs.distinct().join(names, "callee")
                .select(_id("P", "caller").alias("lookup_id"), "callee_name")
                .distinct())
 

@@ -100,3 +100,9 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() < slots:
         return df.repartition(slots)
     return df
+
+
+def cut_and_count(df: DataFrame, name: str = "round") -> tuple[DataFrame, int]:
+    """Checkpoint ``df`` (reliable storage, lineage cut) and count its rows."""
+    out = cut_lineage(df)
+    return out, out.count()

@@ -207,3 +207,12 @@ def test_partitioned_and_salted_paths_agree(spark, monkeypatch):
     assert sorted(tuple(r.path) for r in G.call_paths(edges, roots, targets, 3).collect()) == base_paths
     g = G.build_graph(_nodes(spark, AUTH_IDS), _edges(spark, AUTH_EDGES))
     assert {r.lookup_id: r.depth_level for r in g.collect()}["auth-009"] == 3
+
+
+def test_fn_calls_hot_orders_same_pairs(spark, monkeypatch):
+    """Pairing lines of huge orders by position gives the same calls as the window."""
+    from callweave.plans import standins as S
+    from tests.conftest import SF001
+    base = sorted(map(tuple, S.fn_calls(spark, SF001).collect()))
+    monkeypatch.setattr(S, "HOT_ORDER_LINES", 2)
+    assert sorted(map(tuple, S.fn_calls(spark, SF001).collect())) == base
