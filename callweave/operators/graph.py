@@ -153,11 +153,13 @@ def prune_leaves(edges: DataFrame, graph: DataFrame, id_col: str = "lookup_id")
 # ------------------------------------------------------------ G2, J7, G9, G3
 def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
     """G2 + J7 + G9: out/in degree, root and leaf flags, node type (isolated -> root)."""
-    out_d = edges.groupBy("src").agg(F.count(F.lit(1)).alias("out_degree")) \
-                 .withColumnRenamed("src", id_col)
-    in_d = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("in_degree")) \
-                .withColumnRenamed("dst", id_col)
-    g = (nodes.join(out_d, id_col, "left").join(in_d, id_col, "left")
+    # one pass: each edge counts once for its source and once for its target
+    ends = edges.select(F.explode(F.array(
+        F.struct(F.col("src").alias("n"), F.lit(1).alias("o"), F.lit(0).alias("i")),
+        F.struct(F.col("dst").alias("n"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+    deg = (ends.groupBy(F.col("e.n").alias(id_col))
+           .agg(F.sum("e.o").alias("out_degree"), F.sum("e.i").alias("in_degree")))
+    g = (nodes.join(deg, id_col, "left")
          .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)).cast("int"))
          .withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("int")))
     return (g.withColumn("is_root", F.col("in_degree") == 0)

@@ -11,6 +11,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -103,6 +104,17 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def cut_and_count(df: DataFrame, name: str = "round") -> tuple[DataFrame, int]:
-    """Checkpoint ``df`` (reliable storage, lineage cut) and count its rows."""
-    out = cut_lineage(df)
-    return out, out.count()
+    """Checkpoint ``df`` to reliable storage and count it in one action.
+
+    ``df`` is cached for the duration of the action so the checkpoint writer
+    reads the cached rows instead of recomputing them; the cache is released
+    once the checkpoint files exist, and the returned frame reads only them.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        out = cached.checkpoint(eager=False)
+        n = out.count()
+    finally:
+        cached.unpersist()
+    return out, n
