@@ -272,31 +272,61 @@ def reachable(edges: DataFrame, targets: DataFrame, max_depth: int = DEFAULT_CON
 
 
 # ----------------------------------------------------------------------- G7
+def root_distance(edges: DataFrame, roots: DataFrame, max_depth: int,
+                  id_col: str = "lookup_id") -> tuple[DataFrame, int]:
+    """``(node, dist)``: fewest edges from any root to each node, up to ``max_depth``
+    (a multi-source breadth-first search whose frontier holds distinct nodes),
+    and its row count."""
+    e = _Expander(edges.select("src", "dst"), "src")
+    frontier, rows = cut_and_count(roots.select(F.col(id_col).alias("node")).distinct(), "rootdist")
+    levels, total = [frontier.withColumn("dist", F.lit(0))], rows
+    for h in range(1, max_depth + 1):
+        if rows == 0:
+            break
+        seen = _union(levels).select("node")
+        nxt, rows = cut_and_count(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct()
+                                  .join(seen, "node", "left_anti"), "rootdist")
+        if rows:
+            levels.append(nxt.withColumn("dist", F.lit(h)))
+            total += rows
+        frontier = nxt
+    e.close()
+    return _union(levels).withColumn("dist", F.col("dist").cast("int")), total
+
+
 def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
                max_depth: int = DEFAULT_CONTEXT_DEPTH, id_col: str = "lookup_id") -> DataFrame:
     """Simple paths root -> target with at most ``max_depth`` edges (Q11).
 
     Walked backwards from the targets, so only paths that end at a target are
-    ever built; a path is kept once its head is a root. A target that is a
-    root yields ``[target]``. Output ``(target, path array<string>, depth)``.
+    built; a path is kept once its head is a root. A target that is a root
+    yields ``[target]``. Partial paths are pruned exactly: a head more than the
+    remaining number of hops away from every root (``root_distance``) cannot
+    complete, so it is dropped before it is extended.
+    Output ``(target, path array<string>, depth)``.
     """
+    dist, n_dist = root_distance(edges, roots, max_depth, id_col)
+    dist = dist.select(F.col("node").alias("head"), "dist")
+    if n_dist <= BROADCAST_FRONTIER_ROWS:  # counted: one row per node near a root
+        dist = F.broadcast(dist)
     rev = _Expander(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
-    root_ids = roots.select(F.col(id_col).alias("head")).distinct()
-    cur, rows = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct()
-                              .select("target", F.col("target").alias("head"),
-                                      F.array(F.col("target")).alias("path")), "paths")
-    done = [cur.join(root_ids, "head", "left_semi")]
-    for _ in range(max_depth):
+    start = (targets.select(F.col(id_col).alias("target")).distinct()
+             .select("target", F.col("target").alias("head"), F.array(F.col("target")).alias("path")))
+    cur, rows = cut_and_count(start.join(dist, "head").where(F.col("dist") <= max_depth).drop("dist"), "paths")
+    done = [cur.join(dist.where(F.col("dist") == 0).select("head"), "head", "left_semi")]
+    for r in range(1, max_depth + 1):
         if rows == 0:
             break
         ext = (rev.join(cur, "head", rows)
                .where(~F.array_contains("path", F.col("parent")))
                .select("target", F.col("parent").alias("head"),
-                       F.concat(F.array(F.col("parent")), F.col("path")).alias("path")))
-        ext, rows = cut_and_count(ext, "paths")
-        if rows == 0:
+                       F.concat(F.array(F.col("parent")), F.col("path")).alias("path"))
+               .join(dist, "head").where(F.col("dist") <= max_depth - r))
+        if r == max_depth:  # only complete paths are left to keep
+            done.append(ext.where(F.col("dist") == 0).drop("dist"))
             break
-        done.append(ext.join(root_ids, "head", "left_semi"))
+        ext, rows = cut_and_count(ext.drop("dist"), "paths")
+        done.append(ext.join(dist.where(F.col("dist") == 0).select("head"), "head", "left_semi"))
         cur = ext
     rev.close()
     return _union(done).select("target", "path", (F.size("path") - 1).alias("depth"))
@@ -442,7 +472,8 @@ def graph_quality(graph: DataFrame, components: DataFrame | None = None) -> Data
         F.round(F.avg(F.col("in_degree") + F.col("out_degree")), 6).alias("avg_degree"),
     )
     if components is not None:
-        q = q.crossJoin(components.agg(F.countDistinct("component_id").alias("components")))
+        n = components.agg(F.countDistinct("component_id")).first()[0]  # one number
+        q = q.withColumn("components", F.lit(n).cast("long"))
     return q
 
 

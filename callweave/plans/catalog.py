@@ -59,7 +59,8 @@ def dag_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dag_edges_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.keep_known_endpoints(S.dag_edges(spark, sf_dir), S.dag_nodes(spark, sf_dir))
+    return materialized(spark, ("dag_edges_known", sf_dir),
+                        lambda: G.keep_known_endpoints(S.dag_edges(spark, sf_dir), S.dag_nodes(spark, sf_dir)))
 
 
 # ------------------------------------------------------- G1-G4, G9, J7, R2
@@ -87,8 +88,8 @@ def q_depth_histogram(spark, sf_dir):
 
 
 def dag_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = S.dag_nodes(spark, sf_dir)
-    return G.degrees(nodes, G.keep_known_endpoints(S.dag_edges(spark, sf_dir), nodes))
+    return materialized(spark, ("dag_degrees", sf_dir),
+                        lambda: G.degrees(S.dag_nodes(spark, sf_dir), dag_edges_known(spark, sf_dir)))
 
 
 # ------------------------------------------------------------ G5, G6, R3
