@@ -216,3 +216,71 @@ def test_fn_calls_hot_orders_same_pairs(spark, monkeypatch):
     base = sorted(map(tuple, S.fn_calls(spark, SF001).collect()))
     monkeypatch.setattr(S, "HOT_ORDER_LINES", 2)
     assert sorted(map(tuple, S.fn_calls(spark, SF001).collect())) == base
+
+
+def _py_reach(adj, t, d):
+    dist, frontier = {t: 0}, [t]
+    for h in range(1, d + 1):
+        nxt = []
+        for u in frontier:
+            for v in adj.get(u, ()):
+                if v not in dist:
+                    dist[v] = h
+                    nxt.append(v)
+        frontier = nxt
+    return dist
+
+
+def _py_paths(adj, roots, t, d):
+    out = []
+
+    def walk(u, path):
+        if len(path) - 1 > d:
+            return
+        if u == t:
+            out.append(list(path))
+            return
+        for v in adj.get(u, ()):
+            if v not in path:
+                walk(v, path + [v])
+    for r in roots:
+        walk(r, [r])
+    return out
+
+
+def _py_depth(adj, roots, ids):
+    depth = {}
+
+    def rec(u, k):
+        if k > depth.get(u, -1):
+            depth[u] = k
+            for v in adj.get(u, ()):
+                rec(v, k + 1)
+    for r in roots:
+        rec(r, 0)
+    return {i: depth.get(i, 0) for i in ids}
+
+
+@pytest.mark.parametrize("seed", [11, 12])
+def test_random_dag_against_python(spark, seed):
+    rnd = random.Random(seed)
+    ids = [f"v{i:02d}" for i in range(25)]
+    pairs = sorted({(ids[a], ids[b]) for a, b in ((rnd.randrange(25), rnd.randrange(25)) for _ in range(45)) if a < b})
+    adj = {}
+    for a, b in pairs:
+        adj.setdefault(a, []).append(b)
+    edges, nodes = _edges(spark, pairs), _nodes(spark, ids)
+    g = G.build_graph(nodes, edges)
+    has_in = {b for _, b in pairs}
+    roots = [i for i in ids if i not in has_in]
+    assert {r.lookup_id: r.depth_level for r in g.collect()} == _py_depth(adj, roots, ids)
+    ctx = G.reachable(edges, nodes, 3).collect()
+    got = {}
+    for r in ctx:
+        got.setdefault(r.target, {})[r.node] = r.hops
+    assert got == {t: _py_reach(adj, t, 3) for t in ids}
+    paths = sorted(tuple(r.path) for r in G.call_paths(edges, _nodes(spark, roots), nodes, 3).collect())
+    want = sorted(tuple(p) for t in ids for p in _py_paths(adj, roots, t, 3))
+    assert paths == want
+    for p in paths:  # properties: endpoints, no repeats, bounded length
+        assert p[0] in roots and len(set(p)) == len(p) and len(p) <= 4
