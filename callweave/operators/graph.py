@@ -391,9 +391,9 @@ def _contract(edges: DataFrame) -> DataFrame:
     return contracted.unionByName(links).distinct()
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
-                         max_rounds: int = 64) -> DataFrame:
-    """Weakly connected components: one min-label contraction, then
+def _components_core(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
+                     max_rounds: int = 64) -> DataFrame:
+    """G10 core: weakly connected components: one min-label contraction, then
     alternating large-star / small-star (Kiveris et al., SoCC 2014) to a star
     forest. ``component_id`` = smallest id in the component.
 
@@ -432,7 +432,7 @@ def mutual_pairs(edges: DataFrame) -> DataFrame:
     return fwd.join(back, ["a", "b"], "left_semi")
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def _cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Nodes left after repeatedly removing nodes without callers or callees
     among the remaining edges: the cycles and everything that lies between them."""
     e, size = cut_and_count(edges.select("src", "dst").distinct(), "core")
@@ -449,6 +449,56 @@ def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     return e.select(F.col("src").alias("lookup_id")).distinct()
 
 
+def _hash_codec(edges: DataFrame, extra_ids: DataFrame | None = None) -> DataFrame | None:
+    """``(id, h)`` with ``h = xxhash64(id)`` for every id in the edges (and ``extra_ids``),
+    or None when two ids share a hash. Long keys halve the shuffle and hashing
+    cost of every later round; the check keeps the result exact."""
+    ids = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    if extra_ids is not None:
+        ids = ids.unionByName(extra_ids.select(F.col(extra_ids.columns[0]).alias("id")))
+    codec, n = cut_and_count(ids.distinct().withColumn("h", F.xxhash64("id")), "codec")
+    if codec.select("h").distinct().count() != n:
+        return None
+    return codec
+
+
+def _hashed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+
+
+def connected_components(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
+                         max_rounds: int = 64) -> DataFrame:
+    """Weakly connected components; ``component_id`` = smallest id in the component.
+
+    Runs on 64-bit hashes of the ids when they are collision-free on this graph
+    (checked), then maps back: each component is labelled with its smallest
+    original id. Otherwise it runs on the ids themselves.
+    """
+    edges = edges.select("src", "dst")
+    codec = _hash_codec(edges, nodes.select(id_col))
+    if codec is None:
+        return _components_core(nodes, edges, id_col, max_rounds)
+    comp = _components_core(codec.select(F.col("h").alias(id_col)), _hashed(edges), id_col, max_rounds)
+    named = comp.join(codec.withColumnRenamed("h", id_col), id_col).select(
+        F.col("id").alias(id_col), F.col("component_id").alias("_c"))
+    label = named.groupBy("_c").agg(F.min(id_col).alias("component_id"))
+    return (named.join(label, "_c").join(nodes.select(id_col), id_col, "left_semi")
+            .select(id_col, "component_id"))
+
+
+def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """Nodes left after repeatedly removing nodes without callers or callees
+    among the remaining edges: the cycles and everything that lies between them.
+    Runs on checked 64-bit hashes of the ids when collision-free."""
+    edges = edges.select("src", "dst")
+    codec = _hash_codec(edges)
+    if codec is None:
+        return _cyclic_core(edges, max_rounds)
+    core = _cyclic_core(_hashed(edges), max_rounds)
+    return core.join(codec.withColumnRenamed("h", "lookup_id"), "lookup_id") \
+               .select(F.col("id").alias("lookup_id"))
+
+
 # --------------------------------------------------------------- G13, R10
 def critical_functions(graph: DataFrame, edges: DataFrame, max_depth: int = DEFAULT_CONTEXT_DEPTH,
                        id_col: str = "lookup_id") -> DataFrame:
