@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callweave.operators import graph as G
@@ -342,15 +342,6 @@ def q_metadata_relevance(spark, sf_dir):
 
 
 # ------------------------------------------------------------ D1-D4, D7, D8
-POINT_IDS = ["P1", "P42", "P7", "P999999999"]
-
-
-@register("lookup_by_id", f"""WITH fn AS ({S.FN_SQL})
-SELECT lookup_id, name, file_path FROM fn WHERE lookup_id IN ({', '.join(repr(i) for i in POINT_IDS)})""")
-def q_lookup_by_id(spark, sf_dir):
-    return L.by_ids(S.fn(spark, sf_dir), POINT_IDS).select("lookup_id", "name", "file_path")
-
-
 @register("lookup_by_name", f"""WITH fn AS ({S.FN_SQL})
 SELECT lookup_id, name, module_name FROM fn WHERE name = 'small ring/Brand#2'""")
 def q_lookup_by_name(spark, sf_dir):
@@ -803,6 +794,16 @@ def q_context_requests(spark, sf_dir):
     return r.select("query_id", "lookup_id", "name", "score", "search_method", "match_type")
 
 
+@register("lookup_by_id", f"""WITH {RESPONSES_SQL}, fn AS ({S.FN_SQL})
+SELECT lookup_id, name, file_path FROM fn
+WHERE lookup_id IN (SELECT u.id FROM parsed2 p, unnest(p.context_ids) AS u(id))""")
+def q_lookup_by_id(spark, sf_dir):
+    """D1 in batch form: every function whose id an analysis response asked for
+    (ids that do not exist return nothing)."""
+    ids = parsed_responses(spark, sf_dir).select(F.explode("context_ids").alias("lookup_id"))
+    return L.by_ids(S.fn(spark, sf_dir), ids).select("lookup_id", "name", "file_path")
+
+
 # ------------------------------------------------------------ K10, U3, K12, U1
 def graph_ranked(spark, sf_dir):
     """Second search method: functions matching the query in name or module, ranked
@@ -812,8 +813,7 @@ def graph_ranked(spark, sf_dir):
     cand = L.relevance_scores(L.lookup_table(fns), RELEVANCE_QUERIES) \
         .where(F.instr(F.lower("function_name"), F.lower("query")) + F.instr(F.lower("module_name"),
                                                                            F.lower("query")) > 0)
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.partitionBy("query_id") \
-        .orderBy(F.desc("in_degree"), F.col("lookup_id"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("in_degree"), F.col("lookup_id"))
     return (cand.join(deg, "lookup_id").withColumn("rank", F.row_number().over(w))
             .where(F.col("rank") <= 5).select(F.col("query_id").cast("int"), "lookup_id", "rank"))
 
