@@ -12,9 +12,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM
+from callweave.functions import prompts as PR
+from callweave.functions import text as TX
 from callweave.operators import graph as G
+from callweave.operators import history as H
+from callweave.operators import lookup as L
+from callweave.operators import search as SR
+from callweave.operators import vector as V
 from callweave.plans import standins as S
 from callweave.session import materialized, spread
+from callweave.sources import sinks as SK
+from callweave.sources.tables import table
+from callweave.streaming import metrics as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -253,10 +263,6 @@ def q_graph_quality(spark, sf_dir):
 
 
 # ----------------------------------------------------- S9, R1, R8, R12, K1
-from callweave.operators import lookup as L  # noqa: E402
-from callweave.operators import vector as V  # noqa: E402
-from callweave.functions import text as TX  # noqa: E402
-from callweave.sources.tables import table  # noqa: E402
 
 FN_LOOKUP_SQL = """
 fn_ncalls AS (SELECT lookup_id, count(*) AS calls_count FROM fn_calls GROUP BY 1),
@@ -454,8 +460,6 @@ def _count_sql(words: list[str]) -> str:
     return " + ".join(f"(CASE WHEN instr(lower(text), '{w}') > 0 THEN 1 ELSE 0 END)" for w in words)
 
 
-from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM  # noqa: E402
-
 ORACLE_DOC_TEXT = (DOC_TEXT_SQL.replace("{H}", _count_sql(CONFIDENCE_HIGH))
                    .replace("{M}", _count_sql(CONFIDENCE_MEDIUM))
                    .replace("{LO}", _count_sql(CONFIDENCE_LOW)))
@@ -480,7 +484,6 @@ def q_text_functions(spark, sf_dir):
 
 
 # ------------------------------------------------------- R5, R6, R11, K6-K9
-from callweave.operators import history as H  # noqa: E402
 
 HIST = f"hist AS ({S.HISTORY_SQL})"
 
@@ -556,7 +559,6 @@ def q_history_validation(spark, sf_dir):
 
 
 # ------------------------------------------------------------------- T1-T3
-from callweave.streaming import metrics as ST  # noqa: E402
 
 
 def history_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -610,7 +612,6 @@ def q_stream_service_usage(spark, sf_dir):
 
 
 # ------------------------------------------------------------- search: J3-J6
-from callweave.operators import search as SR  # noqa: E402
 
 K1_SQL = f"""
 k1q AS ({_values_sql(RELEVANCE_QUERIES)}),
@@ -874,7 +875,6 @@ def q_context_append(spark, sf_dir):
 
 
 # -------------------------------------------------------------- S10 - S12
-from callweave.functions import prompts as PR  # noqa: E402
 
 FN_TEXT_SQL = f"""
 fcalls AS (SELECT lookup_id, list(callee_name ORDER BY callee_name) AS calls FROM fn_calls GROUP BY 1),
@@ -968,7 +968,6 @@ def q_query_text_functions(spark, sf_dir):
 
 
 # ----------------------------------------------------------- A5, A7, A15
-from callweave.sources import sinks as SK  # noqa: E402
 
 
 @register("upsert_latest", f"""WITH {HIST}
