@@ -119,3 +119,29 @@ def cut_and_count(df: DataFrame, name: str = "round") -> tuple[DataFrame, int]:
     finally:
         cached.unpersist()
     return out, n
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``callweave`` importable in executor Python workers (once per application):
+    the package is zipped on the driver and added with ``SparkContext.addPyFile``,
+    which distributes it to every executor."""
+    import zipfile
+
+    import callweave
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(callweave.__file__))
+    root = os.path.dirname(pkg)
+    zpath = os.path.join(tempfile.mkdtemp(prefix="callweave-py-"), "callweave.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(sc.applicationId)
