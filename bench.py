@@ -28,7 +28,8 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     names = sys.argv[1].split(",") if len(sys.argv) > 1 else HEADLINE
-    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=int(cpus) * 2)
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", cpus))
+    spark = build_session(master=f"local[{cpus}]", shuffle_partitions=parts)
     t0 = time.time()
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up, not counted
     warm = time.time() - t0

@@ -19,7 +19,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
                   app: str = "callweave") -> SparkSession:
     cpus = os.environ.get("BENCH_CPUS", "8")
     master = master or f"local[{cpus}]"
-    parts = shuffle_partitions or int(cpus) * 2
+    parts = shuffle_partitions or int(cpus)
     builder = (
         SparkSession.builder.master(master).appName(app)
         .config("spark.ui.enabled", "false")
