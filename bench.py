@@ -33,15 +33,21 @@ def main() -> None:
     t0 = time.time()
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up, not counted
     warm = time.time() - t0
-    times = {}
+    times, errors = {}, {}
     for name in names:
         t = time.time()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - t, 3)
+        try:
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - t, 3)
+        except Exception as e:  # record and go on: one failure must not hide the others
+            errors[name] = repr(e)[:300]
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
-                      "cpus": int(cpus), "warmup_sec": round(warm, 3)}))
+    out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
+           "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
+           "cpus": int(cpus), "warmup_sec": round(warm, 3)}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
 
 
 if __name__ == "__main__":
