@@ -294,6 +294,36 @@ def root_distance(edges: DataFrame, roots: DataFrame, max_depth: int,
     return _union(levels).withColumn("dist", F.col("dist").cast("int")), total
 
 
+FORWARD_MIN_TARGETS = 10_000  # above this, and ten times the roots, paths are walked forward
+FORWARD_TARGET_RATIO = 10
+
+
+def _forward_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, n_roots: int, n_targets: int,
+                   max_depth: int) -> DataFrame:
+    """All simple paths from the roots with at most ``max_depth`` edges, kept where
+    they end at a target. With most nodes as targets nearly every path built is
+    an answer, so no distance pre-pass is needed."""
+    fwd = _Expander(edges.select("src", "dst"), "src")
+    tg = targets.withColumnRenamed("target", "head")
+    if n_targets <= BROADCAST_FRONTIER_ROWS:
+        tg = F.broadcast(tg)
+    cur, rows = cut_and_count(roots.select("head", F.array(F.col("head")).alias("path")), "fpaths")
+    done = [cur.join(tg, "head", "left_semi")]
+    for r in range(1, max_depth + 1):
+        if rows == 0:
+            break
+        ext = (fwd.join(cur, "head", rows).where(~F.array_contains("path", F.col("dst")))
+               .select(F.col("dst").alias("head"), F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
+        if r == max_depth:
+            done.append(ext.join(tg, "head", "left_semi"))
+            break
+        ext, rows = cut_and_count(ext, "fpaths")
+        done.append(ext.join(tg, "head", "left_semi"))
+        cur = ext
+    fwd.close()
+    return _union(done).select(F.col("head").alias("target"), "path", (F.size("path") - 1).alias("depth"))
+
+
 def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
                max_depth: int = DEFAULT_CONTEXT_DEPTH, id_col: str = "lookup_id") -> DataFrame:
     """Simple paths root -> target with at most ``max_depth`` edges (Q11).
@@ -302,9 +332,16 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     built; a path is kept once its head is a root. A target that is a root
     yields ``[target]``. Partial paths are pruned exactly: a head more than the
     remaining number of hops away from every root (``root_distance``) cannot
-    complete, so it is dropped before it is extended.
+    complete, so it is dropped before it is extended. When the targets are many
+    (over ``FORWARD_MIN_TARGETS`` and ten times the roots, both counted) the
+    paths are walked forward from the roots instead; the result is the same.
     Output ``(target, path array<string>, depth)``.
     """
+    tgt, n_t = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct(), "targets")
+    rts, n_r = cut_and_count(roots.select(F.col(id_col).alias("head")).distinct(), "roots")
+    if n_t > FORWARD_MIN_TARGETS and n_t >= FORWARD_TARGET_RATIO * n_r:
+        return _forward_paths(edges, rts, tgt, n_r, n_t, max_depth)
+    targets = tgt.withColumnRenamed("target", id_col)
     dist, n_dist = root_distance(edges, roots, max_depth, id_col)
     dist = dist.select(F.col("node").alias("head"), "dist")
     if n_dist <= BROADCAST_FRONTIER_ROWS:  # counted: one row per node near a root

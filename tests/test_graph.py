@@ -284,3 +284,16 @@ def test_random_dag_against_python(spark, seed):
     assert paths == want
     for p in paths:  # properties: endpoints, no repeats, bounded length
         assert p[0] in roots and len(set(p)) == len(p) and len(p) <= 4
+
+
+def test_forward_and_backward_paths_agree(spark, monkeypatch):
+    rnd = random.Random(5)
+    ids = [f"w{i:02d}" for i in range(30)]
+    pairs = sorted({(ids[a], ids[b]) for a, b in ((rnd.randrange(30), rnd.randrange(30)) for _ in range(70)) if a != b})
+    edges, nodes = _edges(spark, pairs), _nodes(spark, ids)
+    roots = _nodes(spark, sorted({a for a, _ in pairs} - {b for _, b in pairs}) or ids[:2])
+    back = sorted(tuple(r.path) for r in G.call_paths(edges, roots, nodes, 3).collect())
+    monkeypatch.setattr(G, "FORWARD_MIN_TARGETS", -1)
+    monkeypatch.setattr(G, "FORWARD_TARGET_RATIO", 0)
+    fwd = sorted(tuple(r.path) for r in G.call_paths(edges, roots, nodes, 3).collect())
+    assert fwd == back and len(back) > 0
