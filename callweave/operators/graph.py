@@ -339,6 +339,9 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     """
     tgt, n_t = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct(), "targets")
     rts, n_r = cut_and_count(roots.select(F.col(id_col).alias("head")).distinct(), "roots")
+    if n_t == 0 or n_r == 0:  # no target or no root: no path
+        spark = edges.sparkSession
+        return spark.createDataFrame([], "target string, path array<string>, depth int")
     if n_t > FORWARD_MIN_TARGETS and n_t >= FORWARD_TARGET_RATIO * n_r:
         return _forward_paths(edges, rts, tgt, n_r, n_t, max_depth)
     targets = tgt.withColumnRenamed("target", id_col)
