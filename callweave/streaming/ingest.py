@@ -3,8 +3,9 @@
 New source files are picked up by a ``binaryFile`` file stream, extracted in
 the same ``mapInPandas`` pass as the batch job, and merged into the function
 table with the keyed upsert (last write per ``lookup_id`` wins). Each
-micro-batch writes a new table version folder and records it in a small
-pointer file, so a retried batch never leaves a half-written table behind.
+micro-batch rewrites only the hash buckets it touches (dynamic partition
+overwrite, committed by Spark's commit protocol), so the cost of a batch follows
+the batch, not the table.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.operators import extract as X
-from callweave.session import scratch_path
+from callweave.session import cut_lineage, scratch_path
 from callweave.sources.corpus import scan_filter
 from callweave.sources.sinks import upsert
 
@@ -35,32 +36,38 @@ def corpus_stream(spark: SparkSession, repo_path: str) -> DataFrame:
     return scan_filter(df)
 
 
+BUCKETS = 64  # the function table is partitioned by a hash bucket of lookup_id
+
+
 def current_table(spark: SparkSession, table_root: str) -> DataFrame | None:
-    pointer = os.path.join(table_root, "_current")
-    if not os.path.exists(pointer):
+    if not os.path.isdir(table_root) or not any(n.startswith("bucket=") for n in os.listdir(table_root)):
         return None
-    with open(pointer, encoding="utf-8") as f:
-        return spark.read.parquet(f.read().strip())
+    return spark.read.parquet(table_root)
 
 
 def ingest_functions(spark: SparkSession, repo_path: str, table_root: str,
                      checkpoint: str | None = None) -> DataFrame | None:
     """Run the ingest over all files available now; returns the current table.
 
-    The pointer file is a local-folder convenience for a single driver; on a
-    cluster keep ``table_root`` on shared storage the driver can write."""
+    Each micro-batch touches only the buckets its functions hash to: those
+    partitions are read (a semi join on the partition column, so only they are
+    scanned), merged with the keyed upsert, and rewritten with dynamic partition
+    overwrite; every other partition stays as it is."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-state")
-    os.makedirs(table_root, exist_ok=True)
 
     def merge(batch: DataFrame, batch_id: int):
         raw = X.extract(batch.drop("seq"))
-        fns = X.functions_from(raw).join(
-            batch.select(F.concat_ws("/", "repo_root", "path").alias("file_path"), "seq"), "file_path")
-        merged = upsert(current_table(spark, table_root), fns, key="lookup_id", seq_col="seq")
-        target = os.path.join(table_root, f"v{batch_id:08d}")
-        merged.write.mode("overwrite").parquet(target)
-        with open(os.path.join(table_root, "_current"), "w", encoding="utf-8") as f:
-            f.write(target)
+        fns = (X.functions_from(raw)
+               .join(batch.select(F.concat_ws("/", "repo_root", "path").alias("file_path"), "seq"), "file_path")
+               .withColumn("bucket", F.pmod(F.xxhash64("lookup_id"), F.lit(BUCKETS)).cast("int")))
+        fns = cut_lineage(fns)
+        touched = fns.select("bucket").distinct()  # at most BUCKETS rows
+        current = current_table(spark, table_root)
+        if current is not None:
+            current = current.join(F.broadcast(touched), "bucket", "left_semi")
+        merged = cut_lineage(upsert(current, fns, key="lookup_id", seq_col="seq"))  # no read of the target left
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("bucket").parquet(table_root))
 
     q = (corpus_stream(spark, repo_path).writeStream.foreachBatch(merge)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
