@@ -1,10 +1,11 @@
 """Call-graph operators over an edge table ``edges(src string, dst string)``.
 
-Iterative operators run one distributed frontier per round; the edge table is
-hash-partitioned on its join key once and reused every round, so only the
-frontier moves. Each round is cut with ``checkpoint()`` (reliable storage), and
-the loop stops on an empty frontier or the hop limit. No adjacency list is ever
-collected to the driver or into one task.
+Iterative operators run one distributed frontier per round. A frontier under a
+counted bound is broadcast to the edge scan; a larger one meets a copy of the
+edges hash-partitioned on the join key once (hot keys salted), so later rounds
+move only the frontier. Each round is cut with ``checkpoint()`` into
+``spark.checkpoint.dir`` and counted; loops stop on an empty frontier or the hop
+limit. No adjacency list is ever collected to the driver or into one task.
 """
 
 from __future__ import annotations
@@ -486,6 +487,8 @@ def _cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
         if n == size:
             break
         e, size = nxt, n
+    else:  # never hand back a half-peeled graph
+        raise RuntimeError(f"cyclic core did not settle in {max_rounds} rounds")
     return e.select(F.col("src").alias("lookup_id")).distinct()
 
 
