@@ -84,7 +84,7 @@ def q_graph_nodes(spark, sf_dir):
 @register("graph_statistics", f"""WITH RECURSIVE {DAG_CTES}
 SELECT count(*) AS total_nodes, count(*) FILTER (WHERE is_root) AS root_nodes,
        count(*) FILTER (WHERE is_leaf) AS leaf_nodes, coalesce(max(depth_level), 0) AS max_depth,
-       coalesce(sum(out_degree), 0) AS total_edges,
+       CAST(coalesce(sum(out_degree), 0) AS BIGINT) AS total_edges,
        round(coalesce(avg(out_degree), 0.0), 6) AS avg_calls_per_function
 FROM dag_graph""")
 def q_graph_statistics(spark, sf_dir):
@@ -698,7 +698,8 @@ def q_search_graph_context(spark, sf_dir):
 @register("result_rollup", f"""WITH RECURSIVE {FN_CTES}, {FN_LOOKUP_SQL}, {K1_SQL}, {SEARCH_CTX_SQL}
 SELECT query_id, count(*) AS total_functions,
        count(*) FILTER (WHERE dependency_count IS NOT NULL) AS functions_with_dependencies,
-       coalesce(max(dependency_count), 0) AS max_depth, coalesce(sum(dependency_count), 0) AS total_dependencies
+       coalesce(max(dependency_count), 0) AS max_depth,
+       CAST(coalesce(sum(dependency_count), 0) AS BIGINT) AS total_dependencies
 FROM sctx GROUP BY query_id""")
 def q_result_rollup(spark, sf_dir):
     return SR.result_rollup(search_context(spark, sf_dir))
@@ -940,7 +941,8 @@ def q_path_functions(spark, sf_dir):
 QUERY_TEXT_SQL = f"""
 SELECT conv_id, turn,
   md5(CASE WHEN length({_strip_sql('text')}) = 0 THEN NULL ELSE substr({_strip_sql('text')}, 1, 1000) END) AS cleaned_md5,
-  length(CASE WHEN length({_strip_sql('text')}) = 0 THEN NULL ELSE substr({_strip_sql('text')}, 1, 1000) END) AS cleaned_length,
+  CAST(length(CASE WHEN length({_strip_sql('text')}) = 0 THEN NULL ELSE substr({_strip_sql('text')}, 1, 1000) END)
+       AS INTEGER) AS cleaned_length,
   concat_ws(' | ', 'Repository: conv' || CAST(conv_id AS VARCHAR), 'Tech: ' || role,
             CASE WHEN turn % 3 = 0 THEN 'Priority: high' END) || ' | ' AS prefix_pipe,
   'Repository: conv' || CAST(conv_id AS VARCHAR) || chr(10) || 'Tech Stack: ' || role || chr(10)
@@ -994,9 +996,9 @@ def q_graph_documents(spark, sf_dir):
 
 @register("index_stats", """
 SELECT count(*) AS document_count,
-       coalesce(sum(length(to_json(struct_pack(id := vec_id, label := label))) + 4 * len(embedding)), 0)
-         AS store_size,
-       max(len(embedding)) AS embedding_dimensions
+       CAST(coalesce(sum(length(to_json(struct_pack(id := vec_id, label := label))) + 4 * len(embedding)), 0)
+            AS BIGINT) AS store_size,
+       CAST(max(len(embedding)) AS INTEGER) AS embedding_dimensions
 FROM embeddings""")
 def q_index_stats(spark, sf_dir):
     return SK.index_stats(S.vectors(spark, sf_dir))
