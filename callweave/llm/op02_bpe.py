@@ -31,7 +31,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     spec = vocabulary(spark, tokenizer_path)
     kept = docs.drop(ids_col)
     at = kept.columns.index(text_col)
-    schema = StructType(kept.schema.fields).add(ids_col, ArrayType(IntegerType()))
+    schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = word_tokenizer(spec.value)
@@ -49,7 +49,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
     spec = vocabulary(spark, tokenizer_path)
     kept = encoded.drop(text_col)
     at = kept.columns.index(ids_col)
-    schema = StructType(kept.schema.fields).add(text_col, "string")
+    schema = StructType([*kept.schema.fields]).add(text_col, "string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = word_tokenizer(spec.value)

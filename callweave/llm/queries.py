@@ -4,18 +4,41 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from callweave.llm import op02_bpe, op06_token_counts, op07_mixing, op10_chat
+from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op05_toxicity, op06_token_counts, op07_mixing, op10_chat
 from callweave.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: the rules given by hand: host, path, verdict
+URL_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+             ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page is labelled by the row of its id in ``labels``: block if of bad quality or toxic."""
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.when((F.col("quality") == 0) | (F.col("toxic") == 1), "block").otherwise("allow").alias("label"))
+    labelled = pages.select("page_id", "url").join(labels, F.col("page_id") == F.col("doc_id")).select("url", "label")
+    return op01_url_filters.filter_urls(pages, labelled, URL_RULES)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op02_bpe.round_trip_digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = op03_quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op05_toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op06_token_counts.count_tokens(table(spark, sf_dir, "documents"), BYTE_BPE)
 
@@ -34,5 +57,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat.read_back(op10_chat.format_conversations(op10_chat.events_of_turns(turns.unionByName(own))))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe_round_trip, op6_token_counts, op7_source_mix, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op5_toxicity, op6_token_counts, op7_source_mix, op10_chat_format)}
 ORACLE: dict[str, str] = {}
