@@ -466,6 +466,12 @@ def _components_core(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_i
             .withColumn("component_id", F.coalesce("component_id", F.col(id_col))))
 
 
+def star_components(nodes: DataFrame, edges: DataFrame, id_col: str) -> DataFrame:
+    """Weakly connected components of integer ids (no hashing step); every row of ``nodes``
+    once with ``component_id``, the smallest id of its component."""
+    return _components_core(nodes, edges, id_col)
+
+
 def mutual_pairs(edges: DataFrame) -> DataFrame:
     """Pairs calling each other, reported once as ``(a, b)`` with ``a < b``."""
     fwd = edges.where(F.col("src") < F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
