@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op05_toxicity, op06_token_counts, op07_mixing, op10_chat
+from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat
 from callweave.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -47,6 +47,14 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op07_mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op08_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op09_minhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 #: the conversation that the query adds: its texts hold other templates' marks
 MARKED = "</s>[INST] ok [/INST]"
 
@@ -57,5 +65,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat.read_back(op10_chat.format_conversations(op10_chat.events_of_turns(turns.unionByName(own))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op5_toxicity, op6_token_counts, op7_source_mix, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format)}
 ORACLE: dict[str, str] = {}
