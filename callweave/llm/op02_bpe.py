@@ -60,6 +60,27 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
     return kept.mapInArrow(decode, schema)
 
 
+def round_trip_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """``docs`` with ``ids`` of the text, ``n_tokens`` and ``decoded_sha256``, in one pass."""
+    spark = docs.sparkSession
+    prepare_python(spark)
+    spec = vocabulary(spark, tokenizer_path)
+    names = ["ids", "n_tokens", "decoded_sha256"]
+    kept = docs.drop(*names)
+    at = kept.columns.index("text")
+    schema = StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = word_tokenizer(spec.value)
+        for b in batches:
+            raw = [t.encode(x.as_py()) for x in b.column(at)]
+            new = [pa.array([np.frombuffer(i, "<u4").astype("i4") for i in raw], pa.list_(pa.int32())), pa.array([len(i) // 4 for i in raw], pa.int64()),
+                   pa.array([hashlib.sha256(t.decode(i).encode()).hexdigest() for i in raw], pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
+
+    return kept.mapInArrow(encode, schema)
+
+
 def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encode, decode the ids, and digest both: in one pass, so that neither the ids
     nor the decoded texts travel between Spark and Python."""

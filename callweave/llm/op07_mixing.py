@@ -75,7 +75,7 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], weight: str,
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
         shard_words: int = SHARD_WORDS) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken of every row."""
+    """doc_id, size, source, source_size, target, taken and print (of the text) of every row."""
     sizes = written(docs.select(F.col("doc_id"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
                                 F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("print")), "sizes")
     sources = targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
@@ -104,6 +104,22 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
     pick = place.orderBy(F.col("block").isNull(), seeded("source", "shard", "block"), "block")
     times = F.floor(F.col("mine") / F.col("n")) + F.when(F.dense_rank().over(pick) <= F.col("mine") % F.col("n"), 1).otherwise(0)
     d = d.withColumn("taken", F.when(F.col("block").isNull(), 0).otherwise(F.col("part") * times))
-    return (d.groupBy("source", "shard", "at", "doc_id", "size", "source_size", "target")
+    return (d.groupBy("source", "shard", "at", "doc_id", "print", "size", "source_size", "target")
             .agg(F.sum("taken").cast("long").alias("taken"))
-            .select("doc_id", "size", "source", "source_size", "target", "taken"))
+            .select("doc_id", "size", "source", "source_size", "target", "taken", "print"))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, each as often as the mix takes its words, rounded to whole
+    documents (``docs`` has the columns doc_id, text and source; empty texts go).
+
+    A document's text and source say which rows are its equals; rows that are equal in
+    id, text and source share what is taken of them.
+    """
+    taken = mix(docs, **options).groupBy("doc_id", "source", "print", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    times = taken.where("size > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print"),
+        F.floor(F.col("taken") / F.col("rows") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    d = docs.withColumn("_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    d = d.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_md5") == F.col("_print")))
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(c) for c in docs.columns))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat
+from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op04_token_files, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat
 from callweave.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "llr_score")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op04_token_files.read_files(spark, op04_token_files.write_files(table(spark, sf_dir, "documents"), WORD_BPE))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op05_toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +48,7 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op07_mixing.mix(table(spark, sf_dir, "documents"))
+    return op07_mixing.mix(table(spark, sf_dir, "documents")).drop("print")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +69,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat.read_back(op10_chat.format_conversations(op10_chat.events_of_turns(turns.unionByName(own))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op4_token_files, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format)}
 ORACLE: dict[str, str] = {}
