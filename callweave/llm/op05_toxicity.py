@@ -164,7 +164,7 @@ class Scorer:
 
 
 #: prior of the weights: rare without a hit, an abusive hit tells most
-PRIOR = [-3.0, 4.0, 1.5, 1.5, 0.5, 0.0]
+PRIOR = [-3.0, 4.0, 1.5, 4.0, 1.5, 0.0]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> list[float]:
@@ -187,7 +187,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     ``terms`` and by the sample."""
     spark = docs.sparkSession
     prepare_python(spark)
-    some = labelled_sample(docs, labels, sample)
+    some = labelled_sample(docs, labels, sample).where("text IS NOT NULL")
     words, stems = learn_lexicon(some, terms)
     first = spark.sparkContext.broadcast((words, stems, set(), None))
     cache: dict[int, Scorer] = {}
@@ -195,10 +195,15 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     def near(text: str | None) -> set[str]:
         return cache.setdefault(0, Scorer(*first.value)).near(text)
 
-    # misspellings that clean documents use as often as toxic ones are words of the language
-    clean = _counted(some, near).where(F.col("clean") > 0).where((F.col("toxic") < 3 * F.col("clean"))).orderBy(F.desc("clean"), "key").limit(terms * 5)
-    harmless = {r["key"] for r in clean.collect()}  # at most 5 * terms words
-    second = spark.sparkContext.broadcast((words, stems, harmless, None))
+    def misspellings(rows: DataFrame) -> set[str]:
+        """Words near a term that clean documents use too, so words of the language: the most used."""
+        found = _counted(rows, near).where((F.col("clean") > 0) & (F.col("toxic") < 3 * F.col("clean"))).orderBy(F.desc("clean"), "key")
+        return {r["key"] for r in found.limit(5 * terms).collect()}  # at most 5 * terms words
+
+    # the weights are fitted on one half, with the misspellings of the other half known: so a
+    # misspelling that was never seen counts as much as it tells
+    half = F.xxhash64("text") % 2 == 0
+    second = spark.sparkContext.broadcast((words, stems, misspellings(some.where(half)), None))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*second.value)
@@ -206,10 +211,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
             f = [s.features(x.as_py()) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f, pa.list_(pa.float64()))], ["toxic", "f"])
 
-    rows = some.mapInArrow(features, "toxic int, f array<double>").groupBy("toxic", "f").count().collect()  # of at most 2 * sample rows
+    rows = some.where(~half).mapInArrow(features, "toxic int, f array<double>").groupBy("toxic", "f").count().collect()  # of at most 2 * sample rows
     x = np.array([r["f"] for r in rows for _ in range(r["count"])], float).reshape(-1, len(PRIOR))
     y = np.array([r["toxic"] for r in rows for _ in range(r["count"])], float)
-    return spark.sparkContext.broadcast((words, stems, harmless, fit_weights(x, y)))
+    return spark.sparkContext.broadcast((words, stems, misspellings(some), fit_weights(x, y)))
 
 
 def with_scores(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:

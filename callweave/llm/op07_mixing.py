@@ -13,9 +13,10 @@
    the q mod n blocks of the lowest seeded hash once more. A document takes what
    its blocks take of it.
 
-The allocation starts from the rounded quotas and moves the seats that are over or
-missing: a party t of total T gains or loses at most t * (D + n) / T + 1 of D seats
-among n parties, so only so many quotients are made for each (linear in n).
+The allocation starts from the rounded shares of n/2 seats less, which n parties cannot
+exceed, and gives the D <= n seats that are left to the highest quotients: a party of
+weight t of T wins at most t * (D + n) / T + 1 of them, so only so many quotients are
+made for each (linear in n).
 
 Native: DataFrame functions only. Defined results: a null text has size 0, takes 0;
 a null source is a source of its own; repeated rows take part each (equal rows are
@@ -48,7 +49,8 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     s = s.withColumn("total", share * F.sum("source_size").over(every))
     s = s.withColumn("level", (F.col("total") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest))
     # the first source, by room, that the level of the rest does not fill sets the level for all
-    level = F.min(F.when(F.col("level") <= F.col("room"), F.struct("room", "level"))).over(every)["level"]
+    s = s.withColumn("nth", F.row_number().over(by_room))
+    level = F.min(F.when(F.col("level") <= F.col("room"), F.struct("nth", "level"))).over(every)["level"]
     return s.select("source", "source_size", "weight", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("weight")).alias("target"))
 
 
@@ -57,20 +59,17 @@ def apportion(parties: DataFrame, group: list[str], key: list[str], weight: str,
     quotients weight / (2k + 1); equal quotients go to the lower ``key``."""
     g = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     p = parties.withColumn("_t", F.sum(weight).over(g)).withColumn("_n", F.count(F.lit(1)).over(g))
-    p = p.withColumn("_first", F.when(F.col("_t") > 0, F.floor(F.col(weight) * F.col(seats) / F.col("_t") + 0.5)).otherwise(0).cast("long"))
+    some = F.greatest(F.lit(0), F.col(seats) - F.col("_n") / 2)  # rounded up at most by half a seat a party
+    p = p.withColumn("_first", F.when(F.col("_t") > 0, F.floor(F.col(weight) * some / F.col("_t") + 0.5)).otherwise(0).cast("long"))
     p = p.withColumn("_d", F.when(F.col("_t") > 0, F.col(seats) - F.sum("_first").over(g)).otherwise(0).cast("long"))
-    reach = (F.ceil(F.col(weight) * (F.abs("_d") + F.col("_n")) / F.col("_t")) + 1).cast("long")
-    turns = F.when((F.col("_d") == 0) | (F.col(weight) <= 0), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), reach))
-    p = p.withColumn("_k", F.explode(turns))
-    seat = F.when(F.col("_d") > 0, F.col("_first") + F.col("_k")).otherwise(F.col("_first") - 1 - F.col("_k"))
-    open_ = (F.col(weight) > 0) & (F.col("_d") != 0) & (seat >= 0)
-    quotient = F.col(weight) / (2 * seat + 1)
-    # seats to add: the highest quotients; seats to give back: the lowest
-    order = g.orderBy(F.desc(open_), F.when(F.col("_d") > 0, -quotient).otherwise(quotient), *(F.asc_nulls_last(k) for k in key))
-    p = p.withColumn("_moved", F.when(open_ & (F.row_number().over(order) <= F.abs("_d")), F.signum("_d")).otherwise(0).cast("long"))
-    kept = [c for c in parties.columns]
+    reach = (F.ceil(F.col(weight) * (F.col("_d") + F.col("_n")) / F.col("_t")) + 1).cast("long")
+    none = F.array(F.lit(0).cast("long"))
+    p = p.withColumn("_k", F.explode(F.when((F.col("_d") == 0) | (F.col(weight) <= 0), none).otherwise(F.sequence(F.lit(0).cast("long"), reach))))
+    order = g.orderBy(F.desc(F.col(weight) / (2 * (F.col("_first") + F.col("_k")) + 1)), *(F.asc_nulls_last(k) for k in key))
+    won = (F.col(weight) > 0) & (F.row_number().over(order) <= F.col("_d"))
+    p = p.withColumn("_won", F.when(won, 1).otherwise(0).cast("long"))
     # the explode left every party in its group's partition
-    return p.groupBy(*kept, "_first").agg(F.sum("_moved").alias("_m")).withColumn(name, F.col("_first") + F.col("_m")).drop("_first", "_m")
+    return p.groupBy(*parties.columns, "_first").agg(F.sum("_won").alias("_m")).withColumn(name, F.col("_first") + F.col("_m")).drop("_first", "_m")
 
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, block: int = BLOCK,
@@ -120,6 +119,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     times = taken.where("size > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print"),
         F.floor(F.col("taken") / F.col("rows") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    d = docs.withColumn("_md5", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    d = d.join(times, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_md5") == F.col("_print")))
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(c) for c in docs.columns))
+    d = docs.select(F.struct("*").alias("_doc"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_md5"))  # no name can clash
+    d = d.join(times, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_md5") == F.col("_print")))
+    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
