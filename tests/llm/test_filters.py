@@ -92,7 +92,7 @@ def base(text):
 
 
 QUALITY_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-REPEATS = ["a b c", "a b c d", "a a a", "a a a a", "a a a a a a", "a b c x a b c", "a b c a b c a b c", "x\ny\nx\n \n \nx", "a b c\u00a0d a b c", "p q r s t " * 30]
+REPEATS = ["a b c", "a b c d", "a a a", "a a a a", "a a a a a a", "a b c x a b c", "a b c a b c a b c", "x\ny\nx\n \n \nx", "a b c\u00a0d a b c", "p q r s t " * 30, " ".join(f"u{i % 60}" for i in range(150))]
 
 
 def no_labels(spark):
@@ -135,7 +135,7 @@ def test_score_is_the_mean_log_ratio(spark):
     sample = q.labelled_sample(labels)
     got = {r.doc_id: r.llr_score for r in q.with_score(q.with_words(docs), q.llr_model(docs, sample, n), n).collect()}
     grams = docs.selectExpr("doc_id", "explode(split(text, ' ')) AS w").where("w != ''").selectExpr(
-        "doc_id", f"explode(array(pmod(xxhash64(w), {n}), pmod(xxhash64(concat('...', right(w, 3))), {n}))) AS b").collect()
+        "doc_id", f"explode(array(pmod(xxhash64(w), {n}), pmod(xxhash64(right(w, 3), 3), {n}))) AS b").collect()
     raw, good = Counter(g.b for g in grams), Counter(g.b for g in grams if g.doc_id < 5)
     ratio = {b: math.log((good[b] + .5) / (sum(good.values()) + .5 * n)) - math.log((raw[b] + .5) / (sum(raw.values()) + .5 * n)) for b in range(n)}
     for i in range(len(texts)):

@@ -1,0 +1,99 @@
+"""The pipeline against a brute-force version of each stage on a small corpus."""
+
+import hashlib
+import os
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as p
+from tests.llm.test_dedup import classes
+from tests.llm.test_filters import base
+from tests.llm.test_mixing import want_targets
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def corpus():
+    r = random.Random(11)
+    vocabulary = [a + b + c for a in ("ta", "ro", "mi", "lu") for b in ("ken", "dor", "sil") for c in ("a", "eth", "on", "ing")]
+    text = lambda n: " ".join(r.choice(vocabulary) + r.choice(["", "s", "ed", "er"]) for _ in range(n))
+    rows, labels = [], []
+    for i in range(420):
+        t, kind = text(r.randrange(60, 200)), i % 7
+        if kind == 1:
+            t = " ".join(f"{w}%%%" for w in t.split())  # junk
+        elif kind == 2:
+            ws = t.split()
+            ws[5], ws[30] = "blockhead", "numbskull"
+            t = " ".join(ws)
+        elif kind == 3 and i > 20:
+            ws = rows[i - 3][1].split()  # a near copy of a clean document
+            t = " ".join([*ws[:-1], "changed"])
+        elif kind == 4 and i % 3 == 0:
+            t = "short text"
+        rows.append((i, t, "en", None if i % 50 == 0 else f"s{i % 4}", len(t)))
+        if i % 2:
+            labels.append((i, int(kind != 1), int(kind == 2)))
+    return rows, labels
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("corpus"))
+    rows, labels = corpus()
+    spark.createDataFrame(rows, SCHEMA).write.parquet(os.path.join(d, "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(os.path.join(d, "labels.parquet"))
+    return d
+
+
+def test_stages(spark, folder, word_library):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r[0]: r for r in corpus()[0]}
+    kept = {i for i, r in rows.items() if not base(r[1])[-1] and i % 7 != 1}
+    steps = dict(p.STAGES)
+    docs = steps["quality rules"](spark, docs, folder)
+    assert docs.columns == p.COLUMNS and {d.doc_id for d in docs.collect()} == kept
+    docs = p.written(docs, "t")
+    docs = p.written(steps["toxicity"](spark, docs, folder), "t")
+    kept = {i for i in kept if i % 7 != 2}
+    assert docs.columns == p.COLUMNS and {d.doc_id for d in docs.collect()} == kept
+    docs = p.written(steps["near-dedup"](spark, docs, folder), "t")
+    order = sorted(kept)
+    top = classes([rows[i][1] for i in order])
+    kept = {order[c] for c in top}
+    assert docs.columns == p.COLUMNS and sorted(d.doc_id for d in docs.collect()) == sorted(kept)
+    docs = p.written(steps["mixing"](spark, docs, folder), "t")
+    assert docs.columns == p.COLUMNS
+    times, taken, sizes = Counter(d.doc_id for d in docs.collect()), Counter(), Counter()
+    for i in kept:
+        n = len(rows[i][1].split())
+        sizes[rows[i][3]] += n
+        taken[rows[i][3]] += n * times[i]
+    want = want_targets(dict(sizes))
+    assert set(times) <= kept and max(times.values()) <= 2
+    for s in sizes:
+        assert taken[s] == pytest.approx(want[s], rel=0.25)
+    out = steps["bpe"](spark, docs, folder).collect()
+    assert Counter(r.doc_id for r in out) == times
+    for r in out:
+        ids = word_library.encode(rows[r.doc_id][1], add_special_tokens=False).ids
+        assert r.ids == ids and r.n_tokens == len(ids) and r.text == rows[r.doc_id][1]
+        assert r.decoded_sha256 == hashlib.sha256(word_library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_run(spark, folder):
+    a, b = ([tuple(r[:1]) + (r.n_tokens,) for r in p.run(spark, folder).collect()] for _ in range(2))
+    assert sorted(a) == sorted(b) and a  # reruns agree
+    assert p.ORACLE_SQL is None and len(p.STAGES) == 5
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)] * 3, [(None, "a b", None, "s", 1), (2, "", "en", "s", 0)]], ids=("empty", "nulls", "odd"))
+def test_stages_of_odd_tables(spark, folder, rows):
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS kept", "2 AS score")
+    for name, stage in p.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == p.COLUMNS
+        assert stage(spark, docs, folder).count() <= 2 * len(rows)
+    assert p.encoding(spark, docs, folder).count() == len(rows)
