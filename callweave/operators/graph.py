@@ -1,9 +1,7 @@
 """Call-graph operators over an edge table ``edges(src string, dst string)``.
 
-Iterative operators run one distributed frontier per round. A frontier under a
-counted bound is broadcast to the edge scan; a larger one meets a copy of the
-edges hash-partitioned on the join key once (hot keys salted), so later rounds
-move only the frontier. Each round is cut with ``checkpoint()`` into
+Iterative operators run one distributed frontier per round, which meets edges that
+were salted and hash-partitioned once, so later rounds move only the frontier. Each round is cut with ``checkpoint()`` into
 ``spark.checkpoint.dir`` and counted; loops stop on an empty frontier or the hop
 limit. No adjacency list is ever collected to the driver or into one task.
 """
@@ -12,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,73 +27,32 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def _by_key(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition on ``key`` once and keep that layout across rounds."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut_lineage(df.repartition(n, key))
-
-
-# Largest frontier (rows) that is broadcast to the edge scan; its size is
-# counted every round before the choice is made.
-BROADCAST_FRONTIER_ROWS = 500_000
-# A join key with more edges than this is hot: its edges are salted over
-# HOT_SALTS tasks instead of landing in one partition. There are at most
-# edges / HOT_KEY_EDGES hot keys, so their id set is small by construction.
-HOT_KEY_EDGES = 1_000_000
-HOT_SALTS = 64
+# A frontier key is spread over this many tasks (its edges are dealt by a hash of the edge).
+SALTS = 8
 
 
 class _Expander:
     """Joins a frontier to the loop-invariant edge table on ``key``.
 
-    * A frontier of at most ``BROADCAST_FRONTIER_ROWS`` rows (counted) is
-      broadcast, so the edges are only scanned, whatever their key skew.
-    * A larger frontier meets a copy of the edges hash-partitioned on ``key``
-      once (later rounds move only the frontier). Keys with more than
-      ``HOT_KEY_EDGES`` edges are kept out of that copy: their edges get a
-      deterministic salt (a hash of the edge), and the frontier rows for them are replicated once per salt,
-      so a key holding a third of all edges is spread over ``HOT_SALTS`` tasks.
+    The edges are salted and hash-partitioned once and kept (``persist``, so a lost part is
+    made again from its source): later rounds move only the frontier, each row of it once
+    per salt. A key's edges lie in ``SALTS`` partitions, whatever their number, and Spark
+    broadcasts a frontier that its size statistics call small.
     """
 
     def __init__(self, edges: DataFrame, key: str):
-        self.key = key
-        self.plain = edges  # scanned per round; callers pass a materialised table
-        self._part: DataFrame | None = None
-        self._hot: DataFrame | None = None
-        self._hot_edges: DataFrame | None = None
-
-    def _prepare(self) -> None:
-        k = self.key
-        counts = self.plain.groupBy(k).agg(F.count(F.lit(1)).alias("_n"))
-        hot = cut_lineage(counts.where(F.col("_n") > HOT_KEY_EDGES).select(k))
-        if hot.isEmpty():
-            self._part = _by_key(self.plain, k)
-            return
-        self._hot = hot  # at most edges / HOT_KEY_EDGES rows
-        self._part = _by_key(self.plain.join(F.broadcast(hot), k, "left_anti"), k)
-        self._hot_edges = cut_lineage(
-            self.plain.join(F.broadcast(hot), k, "left_semi")
-            .withColumn("_salt", F.pmod(F.xxhash64(*self.plain.columns), F.lit(HOT_SALTS)).cast("int")))
-
-    def join(self, frontier: DataFrame, on: str, rows: int) -> DataFrame:
-        if rows <= BROADCAST_FRONTIER_ROWS:
-            return self.plain.join(F.broadcast(frontier), self.plain[self.key] == frontier[on])
-        if self._part is None:
-            self._prepare()
-        out_cols = frontier.columns + [c for c in self.plain.columns if c not in frontier.columns]
-        cold = frontier.join(self._part, frontier[on] == self._part[self.key]).select(*out_cols)
-        if self._hot is None:
-            return cold
-        hot_ids = self._hot.withColumnRenamed(self.key, on)
-        f_hot = (frontier.join(F.broadcast(hot_ids), on, "left_semi")
-                 .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(HOT_SALTS - 1)))))
-        he = self._hot_edges
-        hot = (f_hot.join(he, (f_hot[on] == he[self.key]) & (f_hot["_salt"] == he["_salt"]))
-               .select(*out_cols))
-        return cold.unionByName(hot)
+        n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        salt = F.pmod(F.xxhash64(*edges.columns), F.lit(SALTS)).cast("int")
+        self.key, self.columns = key, edges.columns
+        self.laid = edges.withColumn("_salt", salt).repartition(n, key, "_salt").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def join(self, frontier: DataFrame, on: str) -> DataFrame:
+        f = frontier.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        both = f.join(self.laid, (f[on] == self.laid[self.key]) & (f["_s"] == self.laid["_salt"]))
+        return both.select(*frontier.columns, *(c for c in self.columns if c not in frontier.columns))
 
     def close(self) -> None:
-        self._part = self._hot = self._hot_edges = None
+        self.laid.unpersist()
 
 
 # ---------------------------------------------------------------- J1, J2, J8
@@ -169,63 +127,74 @@ def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> Da
                          .when(F.col("is_leaf"), "leaf").otherwise("intermediate")))
 
 
-def longest_depth(roots: DataFrame, edges: DataFrame, max_rounds: int = 32,
-                  id_col: str = "lookup_id") -> DataFrame:
-    """``depth_level`` = longest walk from any root (Q9).
+def longest_depth(roots: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
+    """``depth_level`` = longest walk from any root (Q9), without a depth limit.
 
-    The frontier holds distinct nodes per level, so shared sub-paths are not
-    re-walked (the recursion it replaces is exponential on them). On a graph
-    whose cycles are reachable from a root the walk never dies out: it stops
-    at ``max_rounds`` and marks the nodes still moving with ``depth_capped``.
-    Nodes no root reaches are absent (callers fill 0).
+    Nodes are peeled in topological order: a node is final when its last caller is,
+    and its edges are used once, in the round after. Between rounds only the *open*
+    nodes (some callers final, some not) are kept, as the number of callers that are
+    still missing and the depth so far. What is never peeled is on or behind a cycle:
+    its longest walk is unbounded, so it is flagged ``depth_capped`` and carries the
+    depth that its final callers give (0 without one). Callers that no root reaches
+    (cycles of their own) hold nothing back. Nodes no root reaches are absent.
     """
-    e = _Expander(edges.select("src", "dst"), "src")
-    frontier, rows = cut_and_count(roots.select(F.col(id_col).alias("node")).distinct(), "depth")
-    levels = [frontier.withColumn("k", F.lit(0))]
-    k, capped = 0, False
-    while rows > 0:
-        nxt, rows = cut_and_count(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct(),
-                                  "depth")
-        if rows == 0:
-            break
-        k += 1
-        levels.append(nxt.withColumn("k", F.lit(k)))
-        frontier = nxt
-        if k >= max_rounds:
-            capped = True
-            break
-    depth = _union(levels).groupBy("node").agg(F.max("k").alias("depth_level"))
-    out = depth.select(F.col("node").alias(id_col), F.col("depth_level").cast("int"))
-    if not capped:
-        e.close()
-        return out.withColumn("depth_capped", F.lit(False))
-    # everything still reachable from the last frontier can be walked deeper
-    unbounded = _closure(frontier, rows, e)
-    e.close()
-    return (out.join(unbounded.select(F.col("node").alias(id_col), F.lit(True).alias("depth_capped")),
-                     id_col, "left")
-            .withColumn("depth_capped", F.coalesce("depth_capped", F.lit(False))))
-
-
-def _closure(start: DataFrame, rows: int, e: "_Expander") -> DataFrame:
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    start = cut_lineage(roots.select(F.col(id_col).alias("node")).distinct())
+    done, opened = _peel(start, e)
+    reached = None
+    if not opened.isEmpty():  # a cycle, or a caller that no root reaches: count the callers inside only
+        reached = _closure(start, e)
+        done, opened = _peel(start, e.join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
+    out = done.select(F.col("node").alias(id_col), F.col("depth").cast("int").alias("depth_level"), F.lit(False).alias("depth_capped"))
+    if reached is None:
+        return out
+    rest = reached.join(done.select("node"), "node", "left_anti").join(opened.select("node", "depth"), "node", "left")
+    return out.unionByName(rest.select(F.col("node").alias(id_col), F.coalesce("depth", F.lit(0)).cast("int").alias("depth_level"),
+                                       F.lit(True).alias("depth_capped")))
+
+
+def _peel(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Topological peeling from ``start(node)``: (final nodes with their longest walk,
+    nodes that still miss callers with the depth so far)."""
+    need = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
+    walk = _Expander(edges.join(need, "dst").select("src", "dst", "need"), "src")
+    final = cut_lineage(start.join(need.withColumnRenamed("dst", "node"), "node", "left_anti")
+                        .select("node", F.lit(0).cast("long").alias("need"), F.lit(0).alias("depth")))
+    done, opened = [final], final.where("need > 0")
+    while True:
+        met = walk.join(final.select("node", "depth"), "node").select(
+            F.col("dst").alias("node"), "need", (F.col("depth") + 1).alias("depth"), F.lit(1).cast("long").alias("used"))
+        # callers are counted down, so an open row's need is what is still missing
+        state = (met.unionByName(opened.withColumn("used", F.lit(0).cast("long"))).groupBy("node")
+                 .agg((F.min("need") - F.sum("used")).alias("need"), F.max("depth").cast("int").alias("depth")))
+        state, rows = cut_and_count(state, "depth")
+        final, opened = state.where("need = 0"), state.where("need > 0")
+        if rows == 0 or final.isEmpty():
+            walk.close()
+            return _union(done).select("node", "depth"), opened
+        done.append(final)
+
+
+def _closure(start: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes reachable from ``start(node)`` (itself included); ends when nothing is new."""
-    seen = [start]
-    cur = start
+    e = _Expander(edges.select("src", "dst"), "src")
+    seen, cur = [start], start
     while True:
-        nxt, rows = cut_and_count(e.join(cur, "node", rows).select(F.col("dst").alias("node")).distinct()
+        # one round behind is not enough to rule out an old node, so all levels are asked, in one semi join
+        nxt, rows = cut_and_count(e.join(cur, "node").select(F.col("dst").alias("node")).distinct()
                                   .join(_union(seen), "node", "left_anti"), "closure")
         if rows == 0:
-            return _union(seen).distinct()
+            e.close()
+            return cut_lineage(_union(seen))
         seen.append(nxt)
         cur = nxt
 
 
-def build_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id",
-                max_rounds: int = 32) -> DataFrame:
+def build_graph(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
     """G1: per-node table with degrees, root/leaf flags, type and depth."""
     edges, _ = cut_and_count(keep_known_endpoints(edges, nodes, id_col), "edges")
     g, _ = cut_and_count(degrees(nodes, edges, id_col), "degrees")
-    depth = longest_depth(g.where("is_root").select(id_col), edges, max_rounds, id_col)
+    depth = longest_depth(g.where("is_root").select(id_col), edges, id_col)
     return (g.join(depth, id_col, "left")
              .withColumn("depth_level", F.coalesce("depth_level", F.lit(0)).cast("int"))
              .withColumn("depth_capped", F.coalesce("depth_capped", F.lit(False))))
@@ -261,7 +230,7 @@ def reachable(edges: DataFrame, targets: DataFrame, max_depth: int = DEFAULT_CON
         if rows == 0:
             break
         seen = _union(levels).select("target", "node")
-        nxt, rows = cut_and_count(e.join(frontier, "node", rows)
+        nxt, rows = cut_and_count(e.join(frontier, "node")
                                   .select("target", F.col("dst").alias("node")).distinct()
                                   .join(seen, ["target", "node"], "left_anti"), "reach")
         if rows == 0:
@@ -285,7 +254,7 @@ def root_distance(edges: DataFrame, roots: DataFrame, max_depth: int,
         if rows == 0:
             break
         seen = _union(levels).select("node")
-        nxt, rows = cut_and_count(e.join(frontier, "node", rows).select(F.col("dst").alias("node")).distinct()
+        nxt, rows = cut_and_count(e.join(frontier, "node").select(F.col("dst").alias("node")).distinct()
                                   .join(seen, "node", "left_anti"), "rootdist")
         if rows:
             levels.append(nxt.withColumn("dist", F.lit(h)))
@@ -295,36 +264,6 @@ def root_distance(edges: DataFrame, roots: DataFrame, max_depth: int,
     return _union(levels).withColumn("dist", F.col("dist").cast("int")), total
 
 
-FORWARD_MIN_TARGETS = 10_000  # above this, and ten times the roots, paths are walked forward
-FORWARD_TARGET_RATIO = 10
-
-
-def _forward_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame, n_roots: int, n_targets: int,
-                   max_depth: int) -> DataFrame:
-    """All simple paths from the roots with at most ``max_depth`` edges, kept where
-    they end at a target. With most nodes as targets nearly every path built is
-    an answer, so no distance pre-pass is needed."""
-    fwd = _Expander(edges.select("src", "dst"), "src")
-    tg = targets.withColumnRenamed("target", "head")
-    if n_targets <= BROADCAST_FRONTIER_ROWS:
-        tg = F.broadcast(tg)
-    cur, rows = cut_and_count(roots.select("head", F.array(F.col("head")).alias("path")), "fpaths")
-    done = [cur.join(tg, "head", "left_semi")]
-    for r in range(1, max_depth + 1):
-        if rows == 0:
-            break
-        ext = (fwd.join(cur, "head", rows).where(~F.array_contains("path", F.col("dst")))
-               .select(F.col("dst").alias("head"), F.concat(F.col("path"), F.array(F.col("dst"))).alias("path")))
-        if r == max_depth:
-            done.append(ext.join(tg, "head", "left_semi"))
-            break
-        ext, rows = cut_and_count(ext, "fpaths")
-        done.append(ext.join(tg, "head", "left_semi"))
-        cur = ext
-    fwd.close()
-    return _union(done).select(F.col("head").alias("target"), "path", (F.size("path") - 1).alias("depth"))
-
-
 def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
                max_depth: int = DEFAULT_CONTEXT_DEPTH, id_col: str = "lookup_id") -> DataFrame:
     """Simple paths root -> target with at most ``max_depth`` edges (Q11).
@@ -333,23 +272,16 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     built; a path is kept once its head is a root. A target that is a root
     yields ``[target]``. Partial paths are pruned exactly: a head more than the
     remaining number of hops away from every root (``root_distance``) cannot
-    complete, so it is dropped before it is extended. When the targets are many
-    (over ``FORWARD_MIN_TARGETS`` and ten times the roots, both counted) the
-    paths are walked forward from the roots instead; the result is the same.
+    complete, so it is dropped before it is extended.
     Output ``(target, path array<string>, depth)``.
     """
     tgt, n_t = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct(), "targets")
-    rts, n_r = cut_and_count(roots.select(F.col(id_col).alias("head")).distinct(), "roots")
-    if n_t == 0 or n_r == 0:  # no target or no root: no path
+    if n_t == 0 or roots.isEmpty():  # no target or no root: no path
         spark = edges.sparkSession
         return spark.createDataFrame([], "target string, path array<string>, depth int")
-    if n_t > FORWARD_MIN_TARGETS and n_t >= FORWARD_TARGET_RATIO * n_r:
-        return _forward_paths(edges, rts, tgt, n_r, n_t, max_depth)
     targets = tgt.withColumnRenamed("target", id_col)
-    dist, n_dist = root_distance(edges, roots, max_depth, id_col)
+    dist, _ = root_distance(edges, roots, max_depth, id_col)
     dist = dist.select(F.col("node").alias("head"), "dist")
-    if n_dist <= BROADCAST_FRONTIER_ROWS:  # counted: one row per node near a root
-        dist = F.broadcast(dist)
     rev = _Expander(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
     start = (targets.select(F.col(id_col).alias("target")).distinct()
              .select("target", F.col("target").alias("head"), F.array(F.col("target")).alias("path")))
@@ -358,7 +290,7 @@ def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
     for r in range(1, max_depth + 1):
         if rows == 0:
             break
-        ext = (rev.join(cur, "head", rows)
+        ext = (rev.join(cur, "head")
                .where(~F.array_contains("path", F.col("parent")))
                .select("target", F.col("parent").alias("head"),
                        F.concat(F.array(F.col("parent")), F.col("path")).alias("path"))
@@ -420,11 +352,9 @@ def _contract(edges: DataFrame) -> DataFrame:
     joins that AQE turns into broadcasts when L is small."""
     e0 = edges.where(F.col("src") != F.col("dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     both = e0.unionByName(e0.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lab, n_lab = cut_and_count(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "labels")
-    small = n_lab <= BROADCAST_FRONTIER_ROWS  # one row per node: broadcast only when counted small
-    hint = F.broadcast if small else (lambda d: d)
-    la = hint(lab.select(F.col("a"), F.col("m").alias("ma")))
-    lb = hint(lab.select(F.col("a").alias("b"), F.col("m").alias("mb")))
+    lab, _ = cut_and_count(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")), "labels")
+    la = lab.select(F.col("a"), F.col("m").alias("ma"))
+    lb = lab.select(F.col("a").alias("b"), F.col("m").alias("mb"))
     contracted = (e0.join(la, "a").join(lb, "b")
                   .where(F.col("ma") != F.col("mb"))
                   .select(F.greatest("ma", "mb").alias("a"), F.least("ma", "mb").alias("b")))
