@@ -62,6 +62,7 @@ MARK_CONTEXT = "ADDITIONAL_CONTEXT_NEEDED:"
 MARK_FIXES = "SUGGESTED_FIXES:"
 MARK_GRAPH = "GRAPH_INSIGHTS:"
 MARK_ANALYSIS = "ANALYSIS:"
+MARK_ISSUES = "ISSUES_FOUND:"
 
 # FIXED VALUES: graph-weighted re-rank factors (depth weight, related boost,
 # path-length penalty, most context functions).
@@ -74,3 +75,10 @@ RERANK_MAX_CONTEXT = 10
 APPROACH_LOOKUP = "function_lookup_table"
 APPROACH_GRAPH = "call_graph"
 APPROACHES = [APPROACH_LOOKUP, APPROACH_GRAPH]
+
+# FIXED VALUE: white space as Python's str.strip takes it, as a character class that means
+# the same to Java's and to RE2's regular expressions.
+SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+# FIXED VALUES: excluded directories of the second list (settings), added to the first on request.
+MORE_EXCLUDED_DIRS = ["node_modules"]

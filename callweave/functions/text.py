@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from callweave.fixed import (
     APPROACH_GRAPH, APPROACH_LOOKUP, CONFIDENCE_DEFAULT, CONFIDENCE_HIGH, CONFIDENCE_LOW,
     CONFIDENCE_MEDIUM, CONFIDENCE_WEIGHTS, MARK_ANALYSIS, MARK_CONFIDENCE, MARK_CONTEXT,
-    MARK_FIXES, MARK_GRAPH, MAX_QUERY_LENGTH, TRUNCATION_MARKER,
+    MARK_FIXES, MARK_GRAPH, MAX_QUERY_LENGTH, SPACE_CLASS, TRUNCATION_MARKER,
 )
 
 NL = "\n"
@@ -29,7 +29,7 @@ def _lines(text) -> Column:
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.regexp_replace(x, f"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
 
 
 # ------------------------------------------------------------- S1, S2, S8
@@ -96,7 +96,7 @@ def truncate(content, max_length: int) -> Column:
 
 def collapse_whitespace(text) -> Column:
     """Strip, then every whitespace run becomes one space."""
-    return F.regexp_replace(_strip(_c(text)), r"\s+", " ")
+    return F.regexp_replace(_strip(_c(text)), f"{SPACE_CLASS}+", " ")
 
 
 # ------------------------------------------------------------- S16, S17

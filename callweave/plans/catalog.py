@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM
+from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, SPACE_CLASS
 from callweave.functions import prompts as PR
 from callweave.functions import text as TX
 from callweave.operators import graph as G
@@ -33,8 +33,8 @@ ORACLE: dict[str, str] = {}
 def register(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = sql
+        if sql is not None:  # \s is ASCII in RE2: strip and collapse as the operators do
+            ORACLE[name] = sql.replace(r"^\s+|\s+$", f"^{SPACE_CLASS}+|{SPACE_CLASS}+$").replace(r"'\s+'", f"'{SPACE_CLASS}+'")
         return fn
     return deco
 
@@ -403,12 +403,21 @@ def q_vector_topk(spark, sf_dir):
     return r.select("query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int"))
 
 
-@register("vector_threshold", f"""WITH {VEC_TOPK_SQL}
-SELECT query_id, id, round(score, 6) AS score, rank FROM r WHERE rank <= 20 AND score >= 0.7""")
+# the label means lie near every vector a little: at this cosine a tenth or so of the pairs remain
+MATCH_COSINE = 0.25
+
+
+@register("vector_threshold", f"""WITH q AS ({S.VECTOR_QUERIES_SQL}),
+d AS (SELECT q.query_id, e.vec_id AS id,
+             list_sum(list_transform(list_zip(CAST(e.embedding AS DOUBLE[]), q.embedding), lambda p: p[1] * p[2]))
+             / sqrt(list_sum(list_transform(CAST(e.embedding AS DOUBLE[]), lambda x: x * x))
+                    * list_sum(list_transform(q.embedding, lambda x: x * x))) AS score
+      FROM q, embeddings e)
+SELECT query_id, id, round(score, 6) AS score FROM d WHERE score >= {MATCH_COSINE}""")
 def q_vector_threshold(spark, sf_dir):
-    r = V.vector_topk(S.vectors(spark, sf_dir), S.vector_queries(spark, sf_dir), k=20)
-    return V.above_threshold(r, 0.7).select("query_id", "id", F.round("score", 6).alias("score"),
-                                            F.col("rank").cast("int"))
+    """D9 over all vectors: every match, without a top-k before the threshold."""
+    r = V.vector_matches(S.vectors(spark, sf_dir), S.vector_queries(spark, sf_dir), MATCH_COSINE, metric="cosine")
+    return r.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @register("vector_validity", """
@@ -1069,3 +1078,6 @@ def q_graph_rerank(spark, sf_dir):
                         fn_edges(spark, sf_dir), max_depth=2)
     return r.select("query_id", "lookup_id", F.col("hops").cast("int"), F.round("graph_score", 6).alias("graph_score"),
                     F.col("rank").cast("int"))
+
+
+from callweave.plans import corpus_queries  # noqa: E402,F401 - registers the queries over source code

@@ -1,71 +1,73 @@
 """T4: incremental function ingest.
 
-New source files are picked up by a ``binaryFile`` file stream, extracted in
-the same ``mapInPandas`` pass as the batch job, and merged into the function
-table with the keyed upsert (last write per ``lookup_id`` wins). Each
-micro-batch rewrites only the hash buckets it touches (dynamic partition
-overwrite, committed by Spark's commit protocol), so the cost of a batch follows
-the batch, not the table.
+New and edited source files are picked up by a ``binaryFile`` file stream, extracted in
+the same ``mapInPandas`` pass as the batch job, and replace what the table holds of the
+same file, so an edit leaves no stale function behind. The table is partitioned by a
+hash bucket of the file; a micro-batch reads and rewrites only the buckets of its files
+(dynamic partition overwrite, committed by Spark's commit protocol). The number of
+buckets is the table's own: give a new table as many as its expected size asks for.
+
+Paths may be local or URIs of any file system that Spark reads.
 """
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.operators import extract as X
 from callweave.session import cut_lineage, scratch_path
-from callweave.sources.corpus import scan_filter
-from callweave.sources.sinks import upsert
+from callweave.sources.corpus import corpus_files, corpus_root, hadoop_path, scan_filter
+
+BUCKETS = 64
 
 
 def corpus_stream(spark: SparkSession, repo_path: str) -> DataFrame:
-    root = os.path.abspath(repo_path).rstrip("/")
     schema = "path string, modificationTime timestamp, length long, content binary"
     raw = (spark.readStream.schema(schema).format("binaryFile").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.py").load(root))
-    full = F.regexp_replace(F.col("path"), r"^file:(//)?", "")
-    text = F.col("content").cast("string")
-    df = raw.select(F.lit(os.path.basename(root)).alias("repo"),
-                    F.substring(full, len(root) + 2, 1 << 30).alias("path"),
-                    F.when(F.is_valid_utf8(text), text).alias("content"),
-                    F.is_valid_utf8(text).alias("readable"), F.lit(root).alias("repo_root"),
-                    F.col("modificationTime").cast("long").alias("seq"))
-    return scan_filter(df)
+           .option("pathGlobFilter", "*.py").load(repo_path))
+    df = corpus_files(raw, *corpus_root(spark, repo_path))
+    return scan_filter(df.select("repo", "path", "content", "readable", "repo_root",
+                                 F.unix_micros("modificationTime").alias("seq")))
 
 
-BUCKETS = 64  # the function table is partitioned by a hash bucket of lookup_id
+def _stored(spark: SparkSession, table_root: str) -> DataFrame | None:
+    """The table with its file marks, or None before the first batch."""
+    fs, p = hadoop_path(spark, table_root.rstrip("/") + "/bucket=*")
+    found = fs.globStatus(p)
+    return spark.read.parquet(table_root) if found is not None and len(found) else None
 
 
 def current_table(spark: SparkSession, table_root: str) -> DataFrame | None:
-    if not os.path.isdir(table_root) or not any(n.startswith("bucket=") for n in os.listdir(table_root)):
-        return None
-    return spark.read.parquet(table_root)
-
-
-def ingest_functions(spark: SparkSession, repo_path: str, table_root: str,
-                     checkpoint: str | None = None) -> DataFrame | None:
-    """Run the ingest over all files available now; returns the current table.
-
-    Each micro-batch touches only the buckets its functions hash to: those
-    partitions are read (a semi join on the partition column, so only they are
-    scanned), merged with the keyed upsert, and rewritten with dynamic partition
-    overwrite; every other partition stays as it is."""
+    stored = _stored(spark, table_root)
+    return None if stored is None else stored.where(F.col("lookup_id").isNotNull())
+
+
+def replace_files(stored: DataFrame | None, functions: DataFrame, files: DataFrame, buckets: int) -> DataFrame:
+    """The buckets of ``files(file_path, seq)`` after the batch. Every file has a mark (a row
+    without ``lookup_id``), so a bucket whose files lost all functions is rewritten too. A
+    file that the table holds in a later version keeps that one."""
+    bucket = F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+    files = files.groupBy("file_path").agg(F.max("seq").alias("seq")).withColumn("bucket", bucket)
+    if stored is None:
+        return functions.join(files, "file_path", "right")
+    stored = stored.join(files.select("bucket").distinct(), "bucket", "left_semi")
+    newer = stored.groupBy("file_path").agg(F.max("seq").alias("_have"))
+    files = cut_lineage(files.join(newer, "file_path", "left").where(F.coalesce(F.col("_have") <= F.col("seq"), F.lit(True))).drop("_have"))
+    new = functions.join(files, "file_path", "right")  # a file without functions: its mark alone
+    return stored.join(files, "file_path", "left_anti").unionByName(new)
+
+
+def ingest_functions(spark: SparkSession, repo_path: str, table_root: str, checkpoint: str | None = None,
+                     buckets: int = BUCKETS) -> DataFrame | None:
+    """Run the ingest over all files available now; returns the current table."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-state")
 
     def merge(batch: DataFrame, batch_id: int):
-        raw = X.extract(batch.drop("seq"))
-        fns = (X.functions_from(raw)
-               .join(batch.select(F.concat_ws("/", "repo_root", "path").alias("file_path"), "seq"), "file_path")
-               .withColumn("bucket", F.pmod(F.xxhash64("lookup_id"), F.lit(BUCKETS)).cast("int")))
-        fns = cut_lineage(fns)
-        touched = fns.select("bucket").distinct()  # at most BUCKETS rows
-        current = current_table(spark, table_root)
-        if current is not None:
-            current = current.join(F.broadcast(touched), "bucket", "left_semi")
-        merged = cut_lineage(upsert(current, fns, key="lookup_id", seq_col="seq"))  # no read of the target left
+        batch = cut_lineage(batch)
+        files = batch.select(F.concat_ws("/", "repo_root", "path").alias("file_path"), "seq")
+        functions = X.functions_from(X.extract(batch.drop("seq")))
+        merged = cut_lineage(replace_files(_stored(spark, table_root), functions, files, buckets))  # no read of the target left
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(table_root))
 

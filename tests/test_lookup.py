@@ -112,10 +112,20 @@ def test_bulk_store_and_report(spark, fns, tmp_path):
     from callweave.operators.pipeline import processing_report
     withv = fns.withColumn("embedding", F.when(F.col("seq") < 3, F.array_repeat(F.lit(0.5).cast("float"), 4)))
     counts = SK.bulk_store(withv, 4, str(tmp_path / "store")).first()
-    # seq 2 has no code, seq 3 no vector: both skipped, not failed
-    assert (counts.success, counts.failed, counts.skipped) == (2, 0, 2)
+    # seq 3 has no vector: skipped, not failed; a row without code is valid
+    assert (counts.success, counts.failed, counts.skipped) == (3, 0, 1)
     rep = processing_report(SK.bulk_store(withv, 4)).first()
-    assert rep.total_functions == 4 and rep.success_rate == 50.0 and rep.low_success
+    assert rep.total_functions == 4 and rep.success_rate == 75.0 and rep.low_success
+
+
+def test_bulk_store_rules(spark, tmp_path):
+    rows = [("a", "f", "code", [1.0, 2.0]), (None, "f", "code", [1.0, 2.0]), ("b", None, "code", [1.0, 2.0]), ("c", "", "code", [1.0, 2.0]),
+            ("d", "g", None, [1.0, 2.0]), ("e", "g", "", [1.0]), ("f", "g", "x", None)]
+    df = spark.createDataFrame(rows, "lookup_id string, name string, code string, embedding array<float>")
+    counts = SK.bulk_store(df, 2, str(tmp_path / "s")).first()
+    assert (counts.success, counts.skipped) == (2, 5)
+    assert [tuple(e) for e in counts.errors] == [("no lookup_id", 1), ("no name", 2), ("vector of another size", 2)]
+    assert sorted(r.lookup_id for r in spark.read.parquet(str(tmp_path / "s")).collect()) == ["a", "d"]
 
 
 def test_upsert(spark):

@@ -154,3 +154,9 @@ def test_embedding_texts(spark):
                       "Decorators: d1\nCalls: g, h\nCode:\n   1: def f():")
     assert r.g == "Function: f\nModule: m\nClass: C\nDependencies: g, h\nCode:\ndef f():\n    g()\n    return h()"
     assert r.s == "Function: f\nCode:\n   1: def f():"
+
+
+def test_unicode_spaces(spark):
+    odd = "\u00a0\u3000\x1c a\u2003\u2003b\u0085c \u202f"
+    r = spark.createDataFrame([(odd,)], "t string").select(TX.collapse_whitespace("t").alias("c"), TX.clean_query("t").alias("q")).first()
+    assert r.c == " ".join(odd.split()) and r.q == odd.strip()
