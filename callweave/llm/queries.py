@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from callweave.llm import oracles
 from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op04_token_files, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat
 from callweave.sources.tables import table
 
@@ -70,4 +71,5 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op4_token_files, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_source_mix": oracles.MIX, "op8_embedding_dedup": oracles.EMBEDDINGS, "op9_minhash_dedup": oracles.MINHASH,
+                          "op10_chat_format": oracles.CHAT}
