@@ -82,3 +82,9 @@ SPACE_CLASS = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{
 
 # FIXED VALUES: excluded directories of the second list (settings), added to the first on request.
 MORE_EXCLUDED_DIRS = ["node_modules"]
+
+# FIXED VALUES: lines of the analysis context (nested functions; graph context). {} is filled in.
+NESTED_HEAD = "\nNested Function Dependencies for {}:"
+NESTED_LINE = "  - {} ({})"
+GRAPH_HEAD = "\nCall Graph Context for {}:"
+GRAPH_LINES = ["  - Dependencies: {}", "  - Graph Depth: {}", "  - Files Involved: {}", "  - Has Error Handling: {}"]

@@ -1032,7 +1032,7 @@ def q_issue_analysis(spark, sf_dir):
     queries = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
                           F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
                           F.array(F.lit("python")).alias("tech_stack"), F.lit("high").alias("priority"))
-    res = P.analyze_issues(queries, fns, vecs)
+    res = P.analyze_issues(queries, fns, vecs, ask=3)
     return res.select("query_id", "approach", F.round("confidence_score", 6).alias("confidence_score"),
                       "functions_analyzed", "rounds", "error")
 
