@@ -12,15 +12,19 @@ from callweave.session import scratch_path, ship_package
 #: the white space that separates words: space, tab, line feed, vertical tab, form feed, return
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
-#: rows of one Arrow batch; texts can be long, so far fewer than Spark's default
-ARROW_ROWS = 500
+#: bytes of one Arrow batch: texts can be long
+ARROW_BYTES, BATCH = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def prepare_python(spark: SparkSession) -> None:
-    """Ship the package to the executors' Python workers and keep Arrow batches small."""
+    """Ship the package to the executors' Python workers and bound the size of Arrow batches."""
     ship_package(spark)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    try:
+        now = int(spark.conf.get(BATCH))
+    except ValueError:  # written with a unit
+        return
+    if not 0 < now <= ARROW_BYTES:
+        spark.conf.set(BATCH, str(ARROW_BYTES))
 
 
 def words(text: Column) -> Column:

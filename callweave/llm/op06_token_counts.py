@@ -1,14 +1,14 @@
 """Token counts of whole documents (operator 6) without making ids.
 
-1. Every task counts the pre-tokens of its documents; Spark sums the counts, so
-   each distinct pre-token of the corpus is one row.
-2. The pieces of each distinct pre-token are counted once, by the prefix
-   dynamic programme, and written as a table (pre-token, uses, pieces).
-3. The ``common`` most used pre-tokens (a parameter, so a few MB whatever the
-   input) are broadcast: their part of a document's sum is made where the document
-   is read. All other pre-tokens go through a shuffled join of (document,
-   pre-token, frequency) rows with the table, summed per document. Both parts use
-   the same table; ``common`` only keeps hot keys out of the shuffle.
+1. Every document becomes rows (document, pre-token, frequency).
+2. The rows are partitioned and sorted by pre-token; each distinct pre-token's pieces
+   are counted once, by the prefix dynamic programme, and joined to its rows.
+3. Frequency times pieces is summed per document.
+
+Hot keys: pre-tokens that most documents use would each fill one partition. The most
+used ones of a sample (``sample`` documents; ``common`` pre-tokens, so a few MB whatever
+the input) are counted beforehand and broadcast, and their part of a document's sum is
+made where the document is read. Which pre-tokens these are moves work, never results.
 
 Defined results: a null text has 0 bytes and 0 tokens; repeated rows are counted
 each; rows with a null doc_id are kept. A special token's string in a text counts
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from tokenizers import Tokenizer
 from callweave.llm.bpe import MEMORY, SPACE, prefix_bpe, byte_letters
 from callweave.llm.common import prepare_python, vocabulary, written
 
-COMMON = 131_072
+COMMON, SAMPLE = 131_072, 20_000
 TOKEN_LIMIT = 512
 
 #: fixed value: the byte-level pattern of the vocabulary, with the white space spelt out
@@ -50,25 +51,16 @@ class PreTokens:
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.pattern, self.rare, self.odd = regex.compile(PIECES), regex.compile("[԰-\U0010ffff]"), regex.compile("[\x1c-\x1f]")
         self.library, self.letters = Tokenizer.from_str(spec).pre_tokenizer, byte_letters()
-        self.chunks: dict[str, tuple | None] = {}
+        #: white space other than the space and the line feed (and what Python also takes for it)
+        self.gaps = regex.compile("[\t\x0b-\r\x1c-\x1f" + SPACE[4:] + "]")
 
     def split(self, text: str) -> list[str]:
         if self.rare.search(text):  # the library's own tables of letters and digits
             return [x for x, _ in self.library.pre_tokenize_str(text)]
+        if text.isascii() and text.isprintable():
+            return [x.replace(" ", "Ġ") for x in self.pattern.findall(text)]
         return [x.encode().decode("latin-1").translate(self.letters) for x in self.pattern.findall(text)]
 
-    def chunk(self, c: str) -> tuple | None:
-        """The pre-tokens of a space and ``c``, if no neighbour can change them: ``c`` has a
-        letter or sign at both ends (else None)."""
-        if c in self.chunks:
-            return self.chunks[c]
-        if len(self.chunks) >= MEMORY:
-            self.chunks.clear()
-        whole = None if not c or c[0].isspace() or c[-1].isspace() else tuple(self.split(" " + c))
-        if len(c) <= 64:
-            self.chunks[c] = whole
-        return whole
-
     def parts(self, text: str | None) -> tuple[int, list[str]]:
         """Special tokens in a text, and the texts between them."""
         if not text:
@@ -78,20 +70,14 @@ class PreTokens:
         between = self.cut.split(text)
         return len(between) - 1, [x for x in between if x]
 
-    def count(self, text: str, into: Counter) -> Counter:
+    def chunks(self, text: str) -> tuple[list[str], list[str]] | None:
+        """A text's first chunk (as pre-tokens) and its other chunks, if it parts at single
+        spaces with a letter or sign on both sides: no neighbour changes the pre-tokens of such a
+        chunk and the space before it. Else None."""
+        if "  " in text or " \n" in text or "\n " in text or text[0] in " \n" or text[-1] in " \n" or self.gaps.search(text):
+            return None
         first, *rest = text.split(" ")
-        if first and not first[-1].isspace():
-            chunks = Counter(rest)
-            found = [(self.chunk(c), n) for c, n in chunks.items()]
-            if all(x is not None for x, _ in found):
-                for x in self.split(first):
-                    into[x] += 1
-                for whole, n in found:
-                    for x in whole:
-                        into[x] += n
-                return into
-        into.update(self.split(text))
-        return into
+        return self.split(first), rest
 
 
 @lru_cache(2)
@@ -99,77 +85,100 @@ def pre_tokens(spec: str) -> PreTokens:
     return PreTokens(spec)
 
 
-def piece_table(texts: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
-    """(piece, uses, pieces): one row for each distinct pre-token of all texts."""
-    spark = texts.sparkSession
-    prepare_python(spark)
-    spec = vocabulary(spark, tokenizer_path)
-
-    def rows(counts: Counter) -> Iterator[pa.RecordBatch]:
-        keys, uses = list(counts), list(counts.values())
-        for i in range(0, len(keys), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i:i + 50_000], pa.string()), pa.array(uses[i:i + 50_000], pa.int64())], ["piece", "uses"])
+def common_pieces(docs: DataFrame, spec, sample: int, common: int) -> dict[str, int]:
+    """Pieces of the most used pre-tokens of some ``sample`` documents: at most ``common``."""
+    n = docs.count()
+    some = docs.select("text").sample(False, min(1.0, sample / max(n, 1)), 7)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, counts = pre_tokens(spec.value), Counter()
+        p = pre_tokens(spec.value)
         for b in batches:
+            counts: Counter = Counter()
             for x in b.column(0):
                 for part in p.parts(x.as_py())[1]:
-                    p.count(part, counts)
-                if len(counts) >= MEMORY:
-                    yield from rows(counts)
-                    counts = Counter()
-        yield from rows(counts)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = prefix_bpe(spec.value)
-        for b in batches:
-            n = [len(bpe.encode_letters(x)) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(n, pa.int64())], ["piece", "uses", "pieces"])
-
-    uses = (texts.select(F.col(text_col).cast("string")).mapInArrow(frequencies, "piece string, uses long")
-            .groupBy("piece").agg(F.sum("uses").alias("uses")))
-    return written(uses.mapInArrow(pieces, "piece string, uses long, pieces long"), "pieces")
-
-
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = TOKEN_LIMIT, common: int = COMMON) -> DataFrame:
+                    counts.update(p.split(part))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["piece", "uses"])
+
+    uses = some.mapInArrow(frequencies, "piece string, uses long").groupBy("piece").agg(F.sum("uses").alias("uses"))
+    uses = written(uses.where("uses > 1"), "common-pieces")
+    # the classes of use (by quarter powers of two) that fit together
+    level = F.floor(4 * F.log2("uses")).cast("int")
+    cut, total = 1 << 30, 0
+    for r in sorted(uses.groupBy(level.alias("level")).count().collect(), reverse=True):  # some 250 rows
+        total += r["count"]
+        if total > common:
+            break
+        cut = r["level"]
+    bpe = prefix_bpe(spec.value)
+    return {r[0]: len(bpe.encode_letters(r[0])) for r in uses.where(level >= cut).select("piece").collect()}
+
+
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = TOKEN_LIMIT, common: int = COMMON, sample: int = SAMPLE) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     spark = docs.sparkSession
-    table = piece_table(docs, tokenizer_path)
+    prepare_python(spark)
     spec = vocabulary(spark, tokenizer_path)
-    top = table.orderBy(F.desc("uses"), "piece").limit(common).select("piece", "pieces").collect()  # at most `common` rows
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in top})
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    known = spark.sparkContext.broadcast(common_pieces(texts, spec, sample, common))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document (its own key, bytes, tokens of the common pre-tokens) and one
         for each other pre-token of it."""
         p, get = pre_tokens(spec.value), known.value.get
+        seen: dict[str, tuple[int, list[str]]] = {}
+
+        def of(pieces: list[str]) -> tuple[int, list[str]]:
+            """Tokens of the common pre-tokens, and the others."""
+            return sum(get(x, 0) for x in pieces), [x for x in pieces if x not in known.value]
+
         for b in batches:
             row, doc, key, n, size = [], [], [], [], []
             for r, d, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 text = x.as_py()
                 tokens, parts = p.parts(text)
-                counts: Counter = Counter()
+                others, uses = [], []
                 for part in parts:
-                    p.count(part, counts)
-                others = []
-                for piece, uses in counts.items():
-                    if (k := get(piece)) is None:
-                        others.append((piece, uses))
-                    else:
-                        tokens += k * uses
+                    found = p.chunks(part)
+                    more, rare = of(found[0] if found else p.split(part))
+                    tokens += more
+                    others += rare
+                    uses += [1] * len(rare)
+                    for c, times in Counter(found[1]).items() if found else ():
+                        if c not in seen:
+                            if len(seen) >= MEMORY:
+                                seen.clear()
+                            seen[c] = of(p.split(" " + c))
+                        more, rare = seen[c]
+                        tokens += more * times
+                        if rare:
+                            others += rare
+                            uses += [times] * len(rare)
                 row += [r] * (1 + len(others))
                 doc += [d] * (1 + len(others))
-                key += [f" {r}", *(o[0] for o in others)]  # no pre-token in letters holds a space
-                n += [tokens, *(o[1] for o in others)]
-                size += [len(text.encode()) if text else 0, *([None] * len(others))]
+                key.append(f" {r}")  # no pre-token in letters holds a space
+                key += others
+                n.append(tokens)
+                n += uses
+                size.append(len(text.encode()) if text else 0)
+                size += [None] * len(others)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(row, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.string()), pa.array(n, pa.int64()), pa.array(size, pa.int64())],
                 ["row", "doc_id", "piece", "n", "n_bytes"])
 
-    rows = (docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-            .mapInArrow(documents, "row long, doc_id long, piece string, n long, n_bytes long"))
-    return (rows.join(table.select("piece", "pieces"), "piece", "left")
-            .groupBy("row", "doc_id")
-            .agg(F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tokens of each row, of batches sorted by pre-token: each is counted once."""
+        bpe, last, pieces = prefix_bpe(spec.value), None, 0
+        for b in batches:
+            key = b.column(2).dictionary_encode()
+            count = []
+            for x in key.dictionary.to_pylist():
+                if x != last:
+                    last, pieces = x, 1 if x[0] == " " else len(bpe.encode_letters(x))
+                count.append(pieces)
+            n = pc.multiply(b.column(3), pa.array(count, pa.int64()).take(key.indices))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n, b.column(4)], ["row", "doc_id", "n", "n_bytes"])
+
+    rows = texts.mapInArrow(documents, "row long, doc_id long, piece string, n long, n_bytes long")
+    rows = rows.repartition("piece").sortWithinPartitions("piece").mapInArrow(joined, "row long, doc_id long, n long, n_bytes long")
+    return (rows.groupBy("row", "doc_id").agg(F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens"))
             .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
