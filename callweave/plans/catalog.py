@@ -216,10 +216,11 @@ def q_nested_call_ids(spark, sf_dir):
 # ------------------------------------------------------------ G10, G11, R10
 FN_CC_SQL = """
 fn_und AS (SELECT src AS a, dst AS b FROM fn_edges UNION SELECT dst, src FROM fn_edges),
-fn_reach(node, comp) AS (
+fn_label(node, comp) USING KEY (node) AS (  -- smaller labels spread over the edges of changed nodes
   SELECT lookup_id, lookup_id FROM fn
-  UNION SELECT u.b, r.comp FROM fn_reach r JOIN fn_und u ON u.a = r.node),
-fn_cc AS (SELECT node AS lookup_id, min(comp) AS component_id FROM fn_reach GROUP BY 1)"""
+  UNION SELECT n.node, min(l.comp) FROM fn_label l JOIN fn_und u ON u.a = l.node JOIN recurring.fn_label n ON n.node = u.b
+  WHERE l.comp < n.comp GROUP BY n.node),
+fn_cc AS (SELECT node AS lookup_id, comp AS component_id FROM fn_label)"""
 
 
 @register("connected_components", f"""WITH RECURSIVE {FN_CTES}, {FN_CC_SQL}
