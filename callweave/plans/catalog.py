@@ -20,6 +20,7 @@ from callweave.operators import history as H
 from callweave.operators import lookup as L
 from callweave.operators import search as SR
 from callweave.operators import vector as V
+from callweave.plans import marked as MK
 from callweave.plans import standins as S
 from callweave.session import materialized, spread
 from callweave.sources import sinks as SK
@@ -459,11 +460,12 @@ SELECT doc_id,
   md5(regexp_replace({_sq('text')}, '\\s+', ' ', 'g')) AS collapsed_md5,
   round(conf, 6) AS confidence,
   CASE WHEN conf >= 0.8 THEN 'high' WHEN conf >= 0.6 THEN 'medium' ELSE 'low' END AS confidence_band,
+  CASE WHEN conf > 0.8 THEN 'High' WHEN conf > 0.5 THEN 'Medium' ELSE 'Low' END AS relevance_band,
   md5(CASE WHEN instr(text, 'ANALYSIS:') > 0 THEN string_split(text, 'ANALYSIS:')[2] ELSE text END) AS analysis_md5,
   CASE WHEN length(text) > 50 THEN substr(text, 1, 50) || '...' ELSE text END AS preview
 FROM (SELECT *, CASE WHEN h + m + lo = 0 THEN 0.5
                      ELSE least(greatest((h * 1.0 + m * 0.6 + lo * 0.2) / (h + m + lo), 0.0), 1.0) END AS conf
-      FROM (SELECT *, {{H}} AS h, {{M}} AS m, {{LO}} AS lo FROM documents))"""
+      FROM (SELECT *, {{H}} AS h, {{M}} AS m, {{LO}} AS lo FROM {MK.DOCUMENTS_SQL} d))"""
 
 
 def _count_sql(words: list[str]) -> str:
@@ -477,7 +479,7 @@ ORACLE_DOC_TEXT = (DOC_TEXT_SQL.replace("{H}", _count_sql(CONFIDENCE_HIGH))
 
 @register("text_functions", ORACLE_DOC_TEXT)
 def q_text_functions(spark, sf_dir):
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    d = spread(MK.documents(spark, sf_dir).select("doc_id", "text"))
     conf = TX.lexicon_confidence("text")
     return d.select(
         "doc_id",
@@ -487,7 +489,7 @@ def q_text_functions(spark, sf_dir):
         F.md5(TX.truncate("text", 2000)).alias("truncated_md5"),
         F.md5(TX.collapse_whitespace("text")).alias("collapsed_md5"),
         F.round(conf, 6).alias("confidence"),
-        TX.confidence_band(conf).alias("confidence_band"),
+        TX.confidence_band(conf).alias("confidence_band"), TX.relevance_band(conf).alias("relevance_band"),
         F.md5(TX.analysis_section("text")).alias("analysis_md5"),
         TX.preview("text", 50).alias("preview"),
     )
@@ -546,22 +548,22 @@ def q_rotation(spark, sf_dir):
 
 @register("history_append_ids", f"""WITH {HIST}
 SELECT (SELECT max(id) FROM hist) + row_number() OVER (ORDER BY conv_id, turn) AS id,
-       conv_id, turn FROM conversations WHERE role = 'user'""")
+       conv_id, turn FROM conversations""")
 def q_append_ids(spark, sf_dir):
-    batch = table(spark, sf_dir, "conversations").where(F.col("role") == "user").select("conv_id", "turn")
+    batch = table(spark, sf_dir, "conversations").select("conv_id", "turn")
     return H.assign_ids(batch, S.history(spark, sf_dir), [F.col("conv_id"), F.col("turn")]) \
             .select("id", "conv_id", "turn")
 
 
-@register("history_validation", """
+@register("history_validation", f"""
 SELECT reject_reason, count(*) AS analyses FROM (
   SELECT CASE WHEN regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') = '' THEN 'empty query'
               WHEN ((conv_id * 37 + turn) % 23) / 20.0 - 0.05 < 0
                 OR ((conv_id * 37 + turn) % 23) / 20.0 - 0.05 > 1 THEN 'confidence out of range'
               WHEN CAST(turn AS INTEGER) - 1 < 0 THEN 'negative function count' END AS reject_reason
-  FROM conversations WHERE role = 'user') GROUP BY 1""")
+  FROM {MK.CONVERSATIONS_SQL} c) GROUP BY 1""")
 def q_history_validation(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = MK.conversations(spark, sf_dir)
     batch = c.select(F.col("text").alias("query"),
                      (((F.col("conv_id") * 37 + F.col("turn")) % 23) / 20.0 - 0.05).alias("confidence_score"),
                      (F.col("turn").cast("int") - 1).alias("functions_analyzed"))
@@ -932,16 +934,16 @@ def q_embedding_texts(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- S1 S2 S8
-@register("path_functions", """
+@register("path_functions", f"""
 SELECT page_id, string_split(url, '/')[-1] AS file_name,
        regexp_extract(string_split(url, '/')[-1], '^.+(\\.[^.]+)$', 1) AS extension,
        string_split(regexp_replace(url, '/+$', ''), '/')[-1] AS repo_name,
        (starts_with(lower(string_split(url, '/')[-1]), 'test_') OR ends_with(lower(string_split(url, '/')[-1]), '_test.py')
         OR list_contains(string_split(url, '/'), 'test')) AS is_test,
        replace(replace(url, '/', '.'), '.py', '') AS module_name
-FROM pages""")
+FROM {MK.PAGES_SQL} p""")
 def q_path_functions(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
+    p = MK.pages(spark, sf_dir)
     return p.select("page_id", TX.file_name("url").alias("file_name"), TX.file_extension("url").alias("extension"),
                     TX.repo_name("url").alias("repo_name"), TX.is_test_file("url").alias("is_test"),
                     TX.module_name("url").alias("module_name"))
@@ -961,12 +963,12 @@ SELECT conv_id, turn,
        WHEN regexp_matches(text, '(?i)\\b(calls?|callers?|depends?|dependenc\\w*|uses|invok\\w*)\\b') THEN 'call_graph'
        WHEN regexp_matches(text, '(?i)\\b(similar|like|related|about)\\b') THEN 'vector_search'
        ELSE 'hybrid' END AS route
-FROM conversations WHERE role = 'user'"""
+FROM {MK.CONVERSATIONS_SQL} c"""
 
 
 @register("query_text_functions", QUERY_TEXT_SQL)
 def q_query_text_functions(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
+    c = MK.conversations(spark, sf_dir)
     c = c.select("conv_id", "turn", "text",
                  F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
                  F.array(F.col("role")).alias("tech_stack"),
