@@ -1083,4 +1083,4 @@ def q_graph_rerank(spark, sf_dir):
                     F.col("rank").cast("int"))
 
 
-from callweave.plans import corpus_queries  # noqa: E402,F401 - registers the queries over source code
+from callweave.plans import corpus_queries, sink_queries  # noqa: E402,F401 - these register more queries
