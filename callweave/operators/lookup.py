@@ -21,8 +21,8 @@ def _has_error_handling():
 
 
 # ------------------------------------------------------------------- S9
-def lookup_table(functions: DataFrame) -> DataFrame:
-    """The 12-column lookup projection (id lists joined with ',')."""
+def lookup_table(functions: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 12-column lookup projection (id lists joined with ','), and the columns to ``keep``."""
     nested = F.col("nested_call_ids") if "nested_call_ids" in functions.columns \
         else F.array().cast("array<string>")
     return functions.select(
@@ -32,7 +32,7 @@ def lookup_table(functions: DataFrame) -> DataFrame:
         "repository_name", "module_name", "start_line", "end_line", "is_async",
         F.coalesce("class_context", F.lit("")).alias("class_context"),
         F.size("calls").alias("calls_count"),
-        _has_error_handling().alias("has_error_handling"),
+        _has_error_handling().alias("has_error_handling"), *keep,
     )
 
 

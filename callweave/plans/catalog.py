@@ -284,7 +284,7 @@ LOOKUP_COLS = ["function_name", "lookup_id", "nested_call_ids", "file_name", "re
 def fn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fns = S.fn(spark, sf_dir)
     full = G.nested_call_ids(fns, fn_edges(spark, sf_dir))
-    return L.lookup_table(full).join(fns.select("lookup_id", "seq"), "lookup_id")
+    return L.lookup_table(full, keep=("seq",))
 
 
 @register("lookup_table", f"WITH {FN_CTES}, {FN_LOOKUP_SQL} SELECT {', '.join(LOOKUP_COLS)} FROM fn_lookup")
