@@ -38,6 +38,8 @@ SAMPLE, TERMS, THRESHOLD = 10_000, 4_000, 0.3
 MIN_LOG_ODDS, MIN_EVIDENCE = 3.0, 14.0
 SHORTEST, STEMS = 4, (4, 5, 6, 7, 8)
 WINDOW = 80
+#: words remembered by a task: a full memory is emptied (bounded memory, same results)
+MEMORY = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -129,34 +131,42 @@ class Scorer:
 
     def __init__(self, words: list[str], stems: list[str], harmless: set[str], weights: list[float] | None = None):
         self.lexicon, self.harmless, self.weights = FuzzyLexicon(words, stems), harmless, weights
-        self.known: dict[str, tuple[int, str] | None] = {}
-
-    def look(self, word: str) -> tuple[int, str] | None:
-        if word in self.known:
-            return self.known[word]
-        found = self.lexicon.find(word) if len(word) >= SHORTEST - 1 and word not in self.harmless else None
-        if len(self.known) >= 500_000:
-            self.known.clear()
-        self.known[word] = found
+        self.plain: set[str] = set()  # words that are no hit, and below, those that are
+        self.hits: dict[str, tuple[int, str]] = {}
+
+    def met(self, words: set[str]) -> set[str]:
+        """Those of the words that are near a term."""
+        new = words - self.plain
+        found = {w for w in new if w in self.hits}
+        for w in new - found:
+            hit = self.lexicon.find(w) if len(w) >= SHORTEST - 1 and w not in self.harmless else None
+            if hit:
+                self.hits[w] = hit
+                found.add(w)
+            else:
+                self.plain.add(w)
+        if len(self.plain) + len(self.hits) >= MEMORY:
+            self.plain.clear()
+            self.hits = {w: self.hits[w] for w in found}
         return found
 
     def near(self, text: str | None) -> set[str]:
         """Words of a text that are a misspelling of a term."""
-        return {w for w in set(words_of(text)) if (x := self.look(w)) and x[0] > 0}
+        return {w for w in self.met(set(words_of(text))) if self.hits[w][0] > 0}
 
     def features(self, text: str | None) -> list[float]:
-        """1, and the capped numbers of hits: exact, misspelled, each as abuse and as quotation."""
-        hits = [0, 0, 0, 0]
+        """1, and the numbers of hits (log): exact, misspelled, each as abuse and as quotation;
+        and the share of all of them."""
+        n = [0, 0, 0, 0]
         low = text.lower() if text else ""
         ws = _WORD.findall(low)
-        met = {w for w in set(ws) if self.look(w)}
+        met = self.met(set(ws))
         if met:
             for m in _WORD.finditer(low):
                 if m[0] in met:
                     before, after = low[max(0, m.start() - WINDOW):m.start()], low[m.end():m.end() + WINDOW]
-                    kind = 2 * (self.look(m[0])[0] > 0) + is_quoted(before, after)
-                    hits[kind] += 1
-        return [1.0, *(math.log1p(h) for h in hits), math.log1p(sum(hits)) / math.log(2 + len(ws))]
+                    n[2 * (self.hits[m[0]][0] > 0) + is_quoted(before, after)] += 1
+        return [1.0, *(math.log1p(x) for x in n), math.log1p(sum(n)) / math.log(2 + len(ws))]
 
     def score(self, text: str | None) -> float:
         z = sum(a * b for a, b in zip(self.weights, self.features(text)))
@@ -190,10 +200,12 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     some = labelled_sample(docs, labels, sample).where("text IS NOT NULL")
     words, stems = learn_lexicon(some, terms)
     first = spark.sparkContext.broadcast((words, stems, set(), None))
-    cache: dict[int, Scorer] = {}
+    made: list[Scorer] = []  # one a task
 
     def near(text: str | None) -> set[str]:
-        return cache.setdefault(0, Scorer(*first.value)).near(text)
+        if not made:
+            made.append(Scorer(*first.value))
+        return made[0].near(text)
 
     def misspellings(rows: DataFrame) -> set[str]:
         """Words near a term that clean documents use too, so words of the language: the most used."""
@@ -221,10 +233,8 @@ def with_scores(docs: DataFrame, model, text_col: str = "text", score_col: str =
     """``docs`` and the score of each text."""
     kept = docs.drop(score_col)
     at = kept.columns.index(text_col)
-    cache: dict[int, Scorer] = {}
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = cache.setdefault(0, Scorer(*model.value))
+        s = Scorer(*model.value)
         for b in batches:
             out = pa.array([s.score(x.as_py()) for x in b.column(at)], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, score_col])
