@@ -31,7 +31,8 @@ null texts); repeated rows form one class; of a class the row with the smallest
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,13 +47,19 @@ from callweave.operators.graph import star_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, NEAR, TILE = 32, 5, 0.55, 1_024
+#: shingles that one round of numpy works on: few enough for a core's cache
+GROUP = 1 << 17
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+#: what str.split() takes for white space, too
+_OTHERS = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _U, MASK = np.uint64, (1 << 64) - 1
 
 
 def words_of(text: str | None) -> list[str]:
     """Words between ASCII white space."""
-    return [w for w in text.translate(_SPACES).split(" ") if w] if text else []
+    if not text:
+        return []
+    return [w for w in text.translate(_SPACES).split(" ") if w] if _OTHERS.search(text) else text.split()
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -109,32 +116,39 @@ def sketches(texts: DataFrame, bands: int, rows: int) -> DataFrame:
         h = seen[w] = xxhash.xxh64_intdigest(w)
         return h
 
+    def made(prints: list[bytes], found: list[np.ndarray]) -> pa.RecordBatch:
+        n = len(prints)
+        if not n:
+            keys, sigs = [], []
+        else:
+            doc, element = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate(found)
+            order = np.lexsort((element, doc))
+            doc, element = doc[order], element[order]
+            first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])])
+            weight = np.diff(np.r_[first, len(doc)]).astype(float)
+            winner = probminhash(doc[first], element[first], weight, n, bands * rows)
+            h = np.broadcast_to(np.arange(bands, dtype=_U), (n, bands)).copy()
+            by_band = winner.reshape(n, bands, rows)
+            for k in range(rows):
+                h = mixed(h * _U(0x9E3779B97F4A7C15) + by_band[:, :, k])
+            sigs = [s.tobytes() for s in (mixed(winner) >> _U(56)).astype("u1")]
+            keys = list(h.view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["print", "sig", "bands"])
+
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prints, found, size = [], [], 0
         for b in batches:
-            prints, found = [], []
             for p, x in zip(b.column(0).to_pylist(), b.column(1)):
                 ws = words_of(x.as_py())
                 if ws:
                     get = seen.get
                     prints.append(p)
                     found.append(shingle_hashes(np.array([get(w) or word_hash(w) for w in ws], _U)))
-            n = len(prints)
-            if n:
-                doc, element = np.repeat(np.arange(n), [len(f) for f in found]), np.concatenate(found)
-                order = np.lexsort((element, doc))
-                doc, element = doc[order], element[order]
-                first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (element[1:] != element[:-1])])
-                weight = np.diff(np.r_[first, len(doc)]).astype(float)
-                winner = probminhash(doc[first], element[first], weight, n, bands * rows)
-                h = np.broadcast_to(np.arange(bands, dtype=_U), (n, bands)).copy()
-                by_band = winner.reshape(n, bands, rows)
-                for k in range(rows):
-                    h = mixed(h * _U(0x9E3779B97F4A7C15) + by_band[:, :, k])
-                sig = (mixed(winner) >> _U(56)).astype("u1")
-                keys, sigs = list(h.view(np.int64)), [s.tobytes() for s in sig]
-            else:
-                keys, sigs = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["print", "sig", "bands"])
+                    size += len(found[-1])
+                if size >= GROUP:
+                    yield made(prints, found)
+                    prints, found, size = [], [], 0
+        yield made(prints, found)
 
     return texts.mapInArrow(sketch, "print binary, sig binary, bands array<long>")
 
@@ -299,7 +313,8 @@ def classes_of_texts(docs: DataFrame, text_col: str = "text", similarity: float
     edges = written(cluster_edges(sketched, near, tile), "cluster-edges")
     ends = edges.select("src").union(edges.select("dst")).distinct().withColumnRenamed("src", "print")
     clusters = written(star_components(ends, edges, "print"), "clusters").withColumnRenamed("component_id", "cluster")
-    members = written(texts.join(clusters, "print").groupBy("print", "cluster").agg(F.first("text").alias("text")), "cluster-texts")
+    # merged at every size: a broadcast of the members would not stay small
+    members = written(texts.join(clusters.hint("merge"), "print").groupBy("print", "cluster").agg(F.first("text").alias("text")), "cluster-texts")
     links = written(text_links(members, similarity, tile).distinct(), "text-links")
     ends = links.select("src").union(links.select("dst")).distinct().withColumnRenamed("src", "print")
     return written(star_components(ends, links, "print"), "text-classes").withColumnRenamed("component_id", "class")
@@ -322,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept: one of each class, with its own columns."""
     kept = near_duplicates(docs, id_col, text_col, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("print").alias("_kept"))
-    d = docs.withColumn("_print", print_of(F.col(text_col)))
-    d = d.join(kept, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_kept")), "left_semi")
-    same = Window.partitionBy(id_col, "_print").orderBy(F.lit(0))
-    return d.withColumn("_row", F.row_number().over(same)).where("_row = 1").select(*docs.columns)
+    d = docs.select(F.struct("*").alias("_doc"), F.col(id_col).alias("_mine"), print_of(F.col(text_col)).alias("_print"))  # no name can clash
+    d = d.join(kept, F.col("_mine").eqNullSafe(F.col("_id")) & (F.col("_print") == F.col("_kept")), "left_semi")
+    same = Window.partitionBy("_mine", "_print").orderBy(F.lit(0))
+    return d.withColumn("_row", F.row_number().over(same)).where("_row = 1").select("_doc.*")
