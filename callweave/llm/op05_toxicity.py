@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from callweave.llm.common import prepare_python, written
+from callweave.llm.common import prepare_python, words, written
 from callweave.llm.lexicon import FuzzyLexicon
 
 SAMPLE, TERMS, THRESHOLD = 10_000, 4_000, 0.3
@@ -65,7 +65,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     each = each.groupBy("_id").agg(F.max("toxic").alias("toxic")).join(ids, "_id", "left_semi")
     some = lambda t: each.where(F.col("toxic") == t).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     chosen = written(some(0).unionByName(some(1)), "toxic-ids")  # at most 2 * sample rows
-    return written(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "_id").select("toxic", "text"), "toxic-sample")
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string")).join(F.broadcast(chosen), "_id").where("text IS NOT NULL")
+    # near copies would vouch for each other's words: of texts with the same smallest hash of three
+    # words (copies have it as often as they agree) one is read
+    at = lambda i: F.get("_w", i)
+    windows = F.transform(F.sequence(F.lit(0), F.size("_w") - 3), lambda i: F.xxhash64(at(i), at(i + 1), at(i + 2)))
+    found = found.withColumn("_w", words(F.col("text"))).select(
+        "toxic", "text", F.when(F.size("_w") > 3, F.array_min(windows)).otherwise(F.xxhash64("text")).alias("group"))
+    return written(found.groupBy("toxic", "group").agg(F.min("text").alias("text")).select("toxic", "text"), "toxic-sample")
 
 
 def _counted(sample: DataFrame, keys_of) -> DataFrame:
@@ -178,17 +185,25 @@ PRIOR = [-3.0, 4.0, 1.5, 4.0, 1.5, 0.0]
 
 
 def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> list[float]:
-    """Logistic regression with a normal prior around PRIOR, by Newton's method."""
-    prior = np.array(PRIOR)
-    w = prior.copy()
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    """Logistic regression with a normal prior around PRIOR: Newton's method, each step halved
+    until the loss goes down (it is convex, so this ends at the optimum)."""
+    prior, sign = np.array(PRIOR), 2 * y - 1
+
+    def loss(w: np.ndarray) -> float:
+        return float(np.logaddexp(0, -sign * (x @ w)).sum() + strength / 2 * ((w - prior) ** 2).sum())
+
+    w, now = prior.copy(), loss(prior)
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
         g = x.T @ (p - y) + strength * (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(h, g)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        step, size = np.linalg.solve(h, g), 1.0
+        while size > 1e-8 and not loss(w - size * step) <= now - 1e-4 * size * float(g @ step):
+            size /= 2
+        if size <= 1e-8 or np.abs(step).max() < 1e-9:
             break
+        w = w - size * step
+        now = loss(w)
     return [float(v) for v in w]
 
 
@@ -197,9 +212,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     ``terms`` and by the sample."""
     spark = docs.sparkSession
     prepare_python(spark)
-    some = labelled_sample(docs, labels, sample).where("text IS NOT NULL")
-    words, stems = learn_lexicon(some, terms)
-    first = spark.sparkContext.broadcast((words, stems, set(), None))
+    some = labelled_sample(docs, labels, sample)
+    whole, stems = learn_lexicon(some, terms)
+    first = spark.sparkContext.broadcast((whole, stems, set(), None))
     made: list[Scorer] = []  # one a task
 
     def near(text: str | None) -> set[str]:
@@ -215,7 +230,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     # the weights are fitted on one half, with the misspellings of the other half known: so a
     # misspelling that was never seen counts as much as it tells
     half = F.xxhash64("text") % 2 == 0
-    second = spark.sparkContext.broadcast((words, stems, misspellings(some.where(half)), None))
+    second = spark.sparkContext.broadcast((whole, stems, misspellings(some.where(half)), None))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*second.value)
@@ -226,7 +241,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     rows = some.where(~half).mapInArrow(features, "toxic int, f array<double>").groupBy("toxic", "f").count().collect()  # of at most 2 * sample rows
     x = np.array([r["f"] for r in rows for _ in range(r["count"])], float).reshape(-1, len(PRIOR))
     y = np.array([r["toxic"] for r in rows for _ in range(r["count"])], float)
-    return spark.sparkContext.broadcast((words, stems, misspellings(some), fit_weights(x, y)))
+    return spark.sparkContext.broadcast((whole, stems, misspellings(some), fit_weights(x, y)))
 
 
 def with_scores(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:

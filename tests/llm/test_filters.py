@@ -224,6 +224,22 @@ def test_learning_ignores_held_out_rows(spark):
     assert x.learn(docs, labels).value == x.learn(docs, flipped).value
 
 
+def test_weights_are_the_optimum():
+    """Also from where a plain Newton step would leave the convex bowl."""
+    import numpy as np
+    r = np.random.default_rng(2)
+    n = 3_000
+    y = (r.random(n) < 0.35).astype(float)
+    exact, fuzzy = np.log1p(r.poisson(6 * y)), np.log1p(r.poisson(np.where(y > 0, 2.0, 1.6) * 3))
+    zero = np.zeros(n)
+    features = np.column_stack([np.ones(n), exact, zero, fuzzy, zero, (exact + fuzzy) / 6])
+    w = np.array(x.fit_weights(features, y))
+    p = 1 / (1 + np.exp(-features @ w))
+    assert np.abs(features.T @ (p - y) + (w - np.array(x.PRIOR))).max() < 1e-3  # no slope left
+    assert ((p >= 0.3) == (y > 0)).mean() > 0.97
+    assert x.fit_weights(np.zeros((0, 6)), np.zeros(0)) == x.PRIOR
+
+
 def test_nothing_to_learn(spark):
     docs = documents(spark, odd_texts())
     assert {r.predicted for r in x.score_documents(docs, no_labels(spark)).collect()} == {0}
