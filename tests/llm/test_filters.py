@@ -187,9 +187,10 @@ def test_quotations():
 
 
 def toxic_corpus(n=160):
-    texts, toxic = [], []
+    import random
+    r, texts, toxic = random.Random(7), [], []
     for i in range(n):
-        ws = [f"wor{'abcdefgh'[(i * 3 + j) % 8]}{'klmnop'[(i + j) % 6]}" for j in range(40)]
+        ws = [f"wor{r.choice('abcdefgh')}{r.choice('klmnop')}" for j in range(40)]
         bad = i % 4 == 0
         if bad:
             ws[7] = ("blockhead", "numbskull")[i // 4 % 2]
@@ -240,6 +241,17 @@ def test_weights_are_the_optimum():
     assert x.fit_weights(np.zeros((0, 6)), np.zeros(0)) == x.PRIOR
 
 
+def test_near_copies_count_once(spark):
+    """Many copies of one toxic text, each with a change, do not make its words terms."""
+    texts, toxic = toxic_corpus()
+    copies = ["strangeword " + " ".join(texts[0].split()[1:30] + [f"end{'abcdefghij'[i // 10]}{'abcdefghij'[i % 10]}"]) for i in range(60)]
+    docs = documents(spark, texts + copies)
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic + [1] * 60)], "doc_id long, quality int, toxic int")
+    words, stems, _, _ = x.learn(docs, labels).value
+    assert {"blockhead", "numbskull"} <= set(words) and "zorg" in stems
+    assert not any(w.startswith("stran") for w in words + stems)
+
+
 def test_nothing_to_learn(spark):
     docs = documents(spark, odd_texts())
     assert {r.predicted for r in x.score_documents(docs, no_labels(spark)).collect()} == {0}
