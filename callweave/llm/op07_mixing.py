@@ -32,6 +32,8 @@ from callweave.llm.common import word_count, written
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST, BLOCK, SHARD_WORDS, SEED = 1.5, 2.0, 64, 1 << 17, "mix"
+#: parts of a copy: sums of them are exact
+UNIT = 1 << 24
 
 
 def seeded(*parts: Column | str) -> Column:
@@ -108,17 +110,51 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: f
             .select("doc_id", "size", "source", "source_size", "target", "taken", "print"))
 
 
+def whole_copies(taken: DataFrame, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """``taken`` (doc_id, source, print, size, source_size, taken; one row a group of equal rows)
+    with ``copies``: the whole copies of what is taken, and one more of some of the rest.
+
+    The rests, as parts of a copy, are summed up along the documents of a source, and a
+    document gets its copy where the sum passes a half. In a shard the documents lie by
+    size (falling and rising by turns, seeded where equal): a copy then replaces rests of
+    documents of about its size, so a shard's words stay within its longest document of
+    what is taken. Parts are whole numbers, so reruns agree.
+    """
+    size, part = F.col("size"), f"((taken % size) * {UNIT}) div size"
+    shards = F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).cast("long")
+    d = taken.where("size > 0").withColumn("order", seeded("doc_id", "print"))
+    d = d.withColumn("shard", F.conv(F.substring("order", 1, 8), 16, 10).cast("long") % shards)
+    d = written(d.withColumn("part", F.expr(part)), "rests")
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sums = d.groupBy("source", "shard").agg(F.sum("part").alias("parts"))  # one row a shard
+    sums = sums.select(F.col("source").alias("_src"), F.col("shard").alias("_shard"), (F.coalesce(F.sum("parts").over(before), F.lit(0)) + UNIT // 2).alias("_start"))
+    d = d.join(sums, F.col("source").eqNullSafe(F.col("_src")) & (F.col("shard") == F.col("_shard")))
+    line = Window.partitionBy("source", "shard").orderBy(F.when(F.col("shard") % 2 == 0, -size).otherwise(size), "order", "doc_id", "print")
+    d = d.withColumn("_sum", F.col("_start") + F.sum("part").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return d.withColumn("copies", F.expr(f"taken div size + _sum div {UNIT} - (_sum - part) div {UNIT}")).drop("order", "shard", "part", "_src", "_shard", "_start", "_sum")
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes its words, rounded to whole
-    documents (``docs`` has the columns doc_id, text and source; empty texts go).
+    """The rows of ``docs``, each as often as the mix takes its words in whole copies
+    (``whole_copies``; ``docs`` has the columns doc_id, text and source; empty texts go).
 
     A document's text and source say which rows are its equals; rows that are equal in
-    id, text and source share what is taken of them.
+    id, text and source share the copies: each gets as many, and some get one more.
     """
-    taken = mix(docs, **options).groupBy("doc_id", "source", "print", "size").agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
-    times = taken.where("size > 0").select(
+    group = ["doc_id", "source", "print", "size", "source_size"]
+    taken = mix(docs, **options).groupBy(*group).agg(F.sum("taken").alias("taken"), F.count(F.lit(1)).alias("rows"))
+    times = whole_copies(taken, options.get("shard_words", SHARD_WORDS)).where("copies > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("print").alias("_print"),
-        F.floor(F.col("taken") / F.col("rows") / F.col("size") + 0.5).cast("int").alias("_times")).where("_times > 0")
+        F.expr("cast(copies div rows as int)").alias("_times"), F.expr("copies % rows").alias("_more"))
+    times = written(times, "copies")  # its size is known then: the rare uneven groups are broadcast
     d = docs.select(F.struct("*").alias("_doc"), F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_md5"))  # no name can clash
-    d = d.join(times, F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_md5") == F.col("_print")))
-    return d.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    met = F.col("_doc.doc_id").eqNullSafe(F.col("_id")) & F.col("_doc.source").eqNullSafe(F.col("_source")) & (F.col("_md5") == F.col("_print"))
+    even = d.join(times.where("_more = 0"), met).select("_doc", "_times")
+    out = even.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
+    uneven = times.where("_more > 0")
+    if uneven.isEmpty():
+        return out
+    # only rows with equals come here: they are numbered, and the first get one more
+    nth = F.row_number().over(Window.partitionBy("_id", "_source", "_print").orderBy(F.xxhash64(F.to_json("_doc"))))
+    dealt = d.join(uneven, met).withColumn("_times", F.col("_times") + (nth <= F.col("_more")).cast("int")).where("_times > 0")
+    return out.unionByName(dealt.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*"))

@@ -37,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: a document comes as often as the mix takes its words, rounded to whole
-    documents; those of which it takes less than half go."""
+    """Operator 7: a document comes as often as the mix takes its words, in whole copies
+    that give each source the words that the mix takes of it."""
     return op07_mixing.mixed_documents(docs.select(*COLUMNS))
 
 

@@ -92,6 +92,38 @@ def test_whole_documents(spark):
     assert max(Counter(r.doc_id for r in rows).values()) <= 2
 
 
+def test_sources_of_long_documents(spark):
+    """Documents of many blocks: each is taken near its source's ratio, and the words still meet the targets."""
+    import random
+    r, names = random.Random(5), "abcdef"
+    texts = [f"w{i} " * int(300 * 2 ** r.uniform(-2, 2)) for i in range(900)]
+    docs = documents(spark, texts, lambda i: names[i % 6])
+    for options in ({"block": 16}, {"block": 16, "shard_words": 8_000}):
+        rows, words, most = m.mix(docs, **options).collect(), Counter(), Counter()
+        taken = Counter()
+        for x in rows:
+            taken[x.source] += x.taken
+            most[x.source] = max(most[x.source], x["size"])
+        for x in m.mixed_documents(docs.repartition(5), **options).collect():
+            words[x.source] += len(x.text.split())
+        for s in names:
+            assert abs(words[s] - taken[s]) <= most[s], (s, words[s], taken[s])
+        times = Counter(x.doc_id for x in m.mixed_documents(docs, **options).collect())
+        assert times == Counter(x.doc_id for x in m.mixed_documents(docs.repartition(3), **options).collect()) and max(times.values()) <= 2
+
+
+def test_equal_rows_share_the_copies(spark):
+    docs = spark.createDataFrame([(7, "a b c d " * 5, "x", i) for i in range(9)] + [(8, "e f g h " * 5, "y", 9 + i) for i in range(9)], "doc_id long, text string, source string, n int")
+    taken, got = Counter(), Counter()
+    for x in m.mix(docs, block=4).collect():
+        taken[x.doc_id] += x.taken
+    rows = m.mixed_documents(docs, block=4).collect()
+    for x in rows:
+        got[x.doc_id] += 1
+    assert all(abs(20 * got[i] - taken[i]) <= 10 for i in (7, 8)), (got, taken)
+    assert max(Counter(x.n for x in rows).values()) <= 2
+
+
 def test_query(spark):
     from callweave.llm.queries import QUERIES
     rows = QUERIES["op7_source_mix"](spark, SF001).collect()
