@@ -17,7 +17,7 @@ class FuzzyLexicon:
     machine: a state is the set of trie nodes that some edit of the letters read so far
     reaches, with the fewest errors. States are determinised on demand and remembered, so a
     word costs one lookup a letter and ends early when no term is near. A *stem* accepts
-    every word that begins with it exactly.
+    every word of which a beginning is within the errors that the stem's length allows.
     """
 
     def __init__(self, terms: list[str], stems: list[str] = ()):
@@ -26,7 +26,7 @@ class FuzzyLexicon:
         for t in terms:
             self.term[self._insert(t, errors_allowed(t))] = t
         for t in stems:
-            self.stem[self._insert(t, 0)] = t
+            self.stem[self._insert(t, errors_allowed(t))] = t
         self._reset()
 
     def _insert(self, term: str, errors: int) -> int:
@@ -65,7 +65,7 @@ class FuzzyLexicon:
         self.states.append(key)
         self.steps.append({})
         ends = [(e, self.term[n]) for n, e in key if self.term[n] is not None and e <= errors_allowed(self.term[n])]
-        stems = [(0, self.stem[n]) for n, e in key if self.stem[n] is not None and e == 0]
+        stems = [(e, self.stem[n]) for n, e in key if self.stem[n] is not None and e <= errors_allowed(self.stem[n])]
         self.accepts.append((min(ends, default=None), min(stems, default=None)))
         return i
 
@@ -84,17 +84,21 @@ class FuzzyLexicon:
         return found
 
     def find(self, word: str) -> tuple[int, str] | None:
-        """(errors, term) of the nearest term (ties: the smaller), or a stem's with 0 errors."""
+        """(errors, term) of the nearest term or stem (ties: the smaller, but a stem without errors first)."""
         if len(self.states) > STATES:
             self._reset()
-        at = self.start
+        at, best = self.start, None
         for c in word:
             stem = self.accepts[at][1]
             if stem:
-                return stem
+                if stem[0] == 0:
+                    return stem
+                best = min(best or stem, stem)
             to = self.steps[at].get(c)
             at = self._step(at, c) if to is None else to
             if at < 0:
-                return None
+                return best
         end, stem = self.accepts[at]
-        return stem or end
+        if stem and stem[0] == 0:
+            return stem
+        return min((x for x in (best, end, stem) if x), default=None)

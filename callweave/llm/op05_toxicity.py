@@ -40,7 +40,8 @@ SHORTEST, STEMS = 4, (4, 5, 6, 7, 8)
 WINDOW = 80
 #: words remembered by a task: a full memory is emptied (bounded memory, same results)
 MEMORY = 500_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: words may hold digits and underscores between letters (a letter swapped for a digit); the runs of letters in them are read too
+_WORD, _LETTERS = re.compile(r"[^\W\d_](?:\w*[^\W\d_])?"), re.compile(r"[^\W\d_]+")
 
 
 def is_quoted(before: str, after: str) -> bool:
@@ -58,6 +59,11 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower()) if text else []
 
 
+def runs_of(word: str) -> list[tuple[int, int]]:
+    """Places of the runs of letters in a word that holds other signs too."""
+    return [] if word.isalpha() else [r.span() for r in _LETTERS.finditer(word) if r.span() != (0, len(word))]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(toxic, text) of at most ``sample`` labelled documents a class that are not held out."""
     ids = docs.select(F.col("doc_id").cast("long").alias("_id")).where(~held_out(F.col("_id")) & F.col("_id").isNotNull()).distinct()
@@ -96,7 +102,8 @@ def _counted(sample: DataFrame, keys_of) -> DataFrame:
 
 def _terms_of(text: str | None) -> set[str]:
     """Distinct words, and stems with a star."""
-    ws = {w for w in words_of(text) if len(w) >= SHORTEST}
+    ws = set(words_of(text))
+    ws = {x for w in ws for x in (w, *(w[a:b] for a, b in runs_of(w))) if len(x) >= SHORTEST}
     return ws | {w[:n] + "*" for w in ws for n in STEMS if len(w) > n}
 
 
@@ -139,14 +146,29 @@ class Scorer:
     def __init__(self, words: list[str], stems: list[str], harmless: set[str], weights: list[float] | None = None):
         self.lexicon, self.harmless, self.weights = FuzzyLexicon(words, stems), harmless, weights
         self.plain: set[str] = set()  # words that are no hit, and below, those that are
-        self.hits: dict[str, tuple[int, str]] = {}
+        self.hits: dict[str, list[tuple[int, int, int]]] = {}  # from, to and errors of what is met in the word
+
+    def _met_in(self, word: str) -> list[tuple[int, int, int]]:
+        """What is met: the word, or the runs of letters in it if only these are exact or met."""
+
+        def errors(w: str) -> int | None:
+            hit = self.lexicon.find(w) if len(w) >= SHORTEST - 1 and w not in self.harmless else None
+            return hit and hit[0]
+
+        whole = errors(word)
+        if whole == 0:
+            return [(0, len(word), 0)]
+        runs = [(a, b, e) for a, b in runs_of(word) if (e := errors(word[a:b])) is not None]
+        if whole is not None and all(e for _, _, e in runs):
+            return [(0, len(word), whole)]
+        return runs
 
     def met(self, words: set[str]) -> set[str]:
-        """Those of the words that are near a term."""
+        """Those of the words that are near a term, or hold letters that are."""
         new = words - self.plain
         found = {w for w in new if w in self.hits}
         for w in new - found:
-            hit = self.lexicon.find(w) if len(w) >= SHORTEST - 1 and w not in self.harmless else None
+            hit = self._met_in(w)
             if hit:
                 self.hits[w] = hit
                 found.add(w)
@@ -159,7 +181,7 @@ class Scorer:
 
     def near(self, text: str | None) -> set[str]:
         """Words of a text that are a misspelling of a term."""
-        return {w for w in self.met(set(words_of(text))) if self.hits[w][0] > 0}
+        return {w[a:b] for w in self.met(set(words_of(text))) for a, b, e in self.hits[w] if e > 0}
 
     def features(self, text: str | None) -> list[float]:
         """1, and the numbers of hits (log): exact, misspelled, each as abuse and as quotation;
@@ -170,9 +192,10 @@ class Scorer:
         met = self.met(set(ws))
         if met:
             for m in _WORD.finditer(low):
-                if m[0] in met:
-                    before, after = low[max(0, m.start() - WINDOW):m.start()], low[m.end():m.end() + WINDOW]
-                    n[2 * (self.hits[m[0]][0] > 0) + is_quoted(before, after)] += 1
+                for a, b, e in self.hits[m[0]] if m[0] in met else ():
+                    start, end = m.start() + a, m.start() + b
+                    before, after = low[max(0, start - WINDOW):start], low[end:end + WINDOW]
+                    n[2 * (e > 0) + is_quoted(before, after)] += 1
         return [1.0, *(math.log1p(x) for x in n), math.log1p(sum(n)) / math.log(2 + len(ws))]
 
     def score(self, text: str | None) -> float:

@@ -181,6 +181,33 @@ def test_lexicon_against_distances():
         assert lexicon.find(w) == want, w
 
 
+def test_misspelled_stems_against_distances():
+    """A stem is met by every word of which a beginning is near it."""
+    import random
+    r = random.Random(4)
+    terms, stems = ["idiot", "achtung"], ["bomente", "achlich", "réeuxa", "boco", "schrecklich"]
+    lexicon = FuzzyLexicon(terms, stems)
+    words = [*stems, "achlichb", "achl1chkeit", "b0mentera", "rêeuxament", "boc0os", "bocoos", "", "achlic", "achtumg"]
+    words += ["".join(r.choice(t + "xyz1") if r.random() < 0.12 else c for c in t if r.random() > 0.06) + r.choice(["", "x", "ung", "mente"]) for t in (terms + stems) * 40]
+    for w in words:
+        exact = [(0, s) for s in stems if w.startswith(s)]
+        near = [(distance(w, t), t) for t in terms if distance(w, t) <= errors_allowed(t)]
+        near += [(e, s) for s in stems if (e := min(distance(w[:k], s) for k in range(len(w) + 1))) <= errors_allowed(s)]
+        assert lexicon.find(w) == (min(exact) if exact and len({len(s) for _, s in exact}) == 1 else min(near, default=None)), w
+
+
+def test_misspelled_stems_and_digits_count_as_misspelled():
+    """A stem with a typing error, or with a digit for a letter, in each language; letters beside a digit still count."""
+    s = x.Scorer(["idiot", "scum"], ["achlich", "bomente", "réeux"], set(), x.PRIOR)
+    exact, fuzzy = s.features("idiot"), s.features("idiat")
+    assert exact[1] > 0 and fuzzy[3] > 0
+    for w in ("idi0t", "achlochkeit", "achl1chkeit", "bomemtera", "b0mentera", "réeoxment", "r3euxment", "réeu_xment"):
+        assert s.features(f"ab {w} cd")[1:5] == fuzzy[1:5], w
+    for w in ("scum2you", "you_idiot", "idiot_9", "achlichkeit", "7scum"):
+        assert s.features(f"ab {w} cd")[1:5] == exact[1:5], w
+    assert s.near("ab idi0t you_idiat scum cd") == {"idi0t", "idiat"}
+
+
 def test_quotations():
     assert x.is_quoted('he said "you ', ' are" bad') and x.is_quoted("« tu ", " es »") and not x.is_quoted("you ", " are")
     assert not x.is_quoted('"a" and you ', ' are') and not x.is_quoted('he said "you', " are")
