@@ -143,6 +143,24 @@ def test_score_is_the_mean_log_ratio(spark):
         assert got[i] == pytest.approx(sum(own) / len(own))
 
 
+def test_model_is_whole(spark):
+    """65,536 buckets, no number of the model is rounded, and no plan holds the model."""
+    texts = quality_corpus()
+    docs, n = documents(spark, texts), 1 << 16
+    labels = spark.createDataFrame([(i, int(i < 40), 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    sample = q.labelled_sample(labels)
+    model = q.llr_model(docs, sample)
+    llr = model.first().llr
+    assert len(llr) == n
+    scored = q.with_score(q.with_words(docs), model)
+    grams = docs.selectExpr("doc_id", "explode(split(text, ' ')) AS w").where("w != ''").selectExpr(
+        "doc_id", f"explode(array(pmod(xxhash64(w), {n}), pmod(xxhash64(right(w, 3), 3), {n}))) AS b").collect()
+    own = {i: [llr[g.b] for g in grams if g.doc_id == i] for i in range(len(texts))}
+    for r in scored.collect():
+        assert r.llr_score == pytest.approx(sum(own[r.doc_id]) / len(own[r.doc_id]), rel=1e-12, abs=1e-13)
+    assert len(q.judge(docs, labels)._jdf.queryExecution().toString()) < 200_000
+
+
 def test_quality_query(spark):
     from callweave.llm.queries import QUERIES
     texts = {d.doc_id: d.text for d in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
