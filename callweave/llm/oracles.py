@@ -8,6 +8,8 @@ brute-force versions and with the tokenizers library.
 from __future__ import annotations
 
 from callweave.llm import op07_mixing as mixing
+from callweave.llm import op12_vector_codes as codes
+from callweave.llm import op13_topk as topk
 from callweave.llm.op09_minhash import SIMILARITY
 from callweave.llm.op08_embeddings import COSINE
 
@@ -87,3 +89,39 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
   sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, r NULLS FIRST, t NULLS FIRST)) AS loss_sha256,
   CAST(sum(length(segment)) AS BIGINT) AS formatted_chars
 FROM marked GROUP BY conv_id"""
+
+USABLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _assigned(name: str, book: str) -> str:
+    """Every part's nearest entry by comparing all of them; equal distances go to the lower index."""
+    apart = "list_sum(list_transform(range(1, len(s) + 1), lambda i: (s[i] - c[i]) * (s[i] - c[i])))"
+    return f"""{name} AS MATERIALIZED (SELECT r, part, any_value(s) AS s, CAST(min(far) AS BIGINT) AS far, arg_min(entry, far * {codes.ENTRIES} + entry) AS entry
+      FROM (SELECT r, p.part, s, entry, {apart} AS far FROM p JOIN {book} b ON p.part = b.part) GROUP BY r, part)"""
+
+
+def _moved(name: str, book: str, assigned: str) -> str:
+    return f"""{name} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {book} b LEFT JOIN
+      (SELECT part, entry, list(v ORDER BY i) AS c FROM (SELECT part, entry, i, CAST(floor(sum(x) / CAST(count(*) AS DOUBLE)) AS BIGINT) AS v
+         FROM (SELECT part, entry, unnest(range(len(s))) AS i, unnest(s) AS x FROM {assigned}) GROUP BY part, entry, i) GROUP BY part, entry) m
+      ON b.part = m.part AND b.entry = m.entry)"""
+
+
+VECTOR_CODES = f"""
+WITH k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE {USABLE}),
+p AS MATERIALIZED (SELECT r, part, q[1 + len(q) * part // {codes.PARTS}:len(q) * (part + 1) // {codes.PARTS}] AS s FROM k, range({codes.PARTS}) t(part)),
+b0 AS MATERIALIZED (SELECT part, r - 1 AS entry, s AS c FROM p WHERE r <= {codes.ENTRIES}),
+{_assigned('a0', 'b0')}, {_moved('b1', 'b0', 'a0')}, {_assigned('a1', 'b1')}, {_moved('b2', 'b1', 'a1')}, {_assigned('a2', 'b2')},
+coded AS MATERIALIZED (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a2 GROUP BY r),
+digest AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM k JOIN coded USING (r), digest"""
+
+TOP_K = f"""
+WITH k AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS r, list_transform(embedding, lambda x: floor({topk.SCALE} * CAST(x AS DOUBLE))) AS q
+  FROM embeddings WHERE {USABLE}),
+pairs AS (SELECT a.vec_id AS query_id, a.r, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM k a JOIN k b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % {topk.EVERY} = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {topk.K}"""

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from callweave.llm import oracles
-from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op04_token_files, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat
+from callweave.llm import op01_url_filters, op02_bpe, op03_quality, op04_token_files, op05_toxicity, op06_token_counts, op07_mixing, op08_embeddings, op09_minhash, op10_chat, op11_whitening, op12_vector_codes, op13_topk
 from callweave.sources.tables import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -70,6 +70,19 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_chat.read_back(op10_chat.format_conversations(op10_chat.events_of_turns(turns.unionByName(own))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op4_token_files, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format)}
+def op11_whitening_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, _ = op12_vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return op12_vector_codes.with_label_errors(codes)
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % op13_topk.EVERY == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_bpe_round_trip, op3_quality, op4_token_files, op5_toxicity, op6_token_counts, op7_source_mix, op8_embedding_dedup, op9_minhash_dedup, op10_chat_format, op11_whitening_rows, op12_vector_code, op13_exact_topk)}
 ORACLE: dict[str, str] = {"op7_source_mix": oracles.MIX, "op8_embedding_dedup": oracles.EMBEDDINGS, "op9_minhash_dedup": oracles.MINHASH,
-                          "op10_chat_format": oracles.CHAT}
+                          "op10_chat_format": oracles.CHAT, "op12_vector_code": oracles.VECTOR_CODES, "op13_exact_topk": oracles.TOP_K}

@@ -1,0 +1,246 @@
+"""Operators 11 to 13 against brute force: whitening, vector codes, exact top-k."""
+
+import hashlib
+import math
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from callweave.llm import op11_whitening as op11
+from callweave.llm import op12_vector_codes as op12
+from callweave.llm import op13_topk as op13
+from callweave.llm.covertree import MOST, Search, grow
+
+SCHEMA = "vec_id long, embedding array<double>, label int"
+NAN, INF = float("nan"), float("inf")
+
+
+def frame(spark, rows, schema=SCHEMA):
+    return spark.createDataFrame(rows, schema).repartition(4)
+
+
+def random_rows(n, dim, seed=1, clusters=0):
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim)) * rng.uniform(0.2, 2, dim)
+    if clusters:
+        v = rng.normal(size=(clusters, dim))[rng.integers(0, clusters, n)] * 4 + 0.05 * v
+    return [(i, v[i].tolist(), int(rng.integers(0, 3)) if i % 7 else None) for i in range(n)]
+
+
+BAD = [(900, None, 1), (901, [1.0, None, 2.0, 3.0], 1), (902, [NAN, 1.0, 1.0, 1.0], 1), (903, [INF, 1.0, 1.0, 1.0], 1)]
+
+
+def usable(rows):
+    return [r for r in rows if r[1] is not None and all(x is not None and math.isfinite(x) for x in r[1])]
+
+
+# ---- operator 11
+
+
+def whitened_by(rows, k=op11.COMPONENTS):
+    x = [[math.floor(64 * c) + 1_000_000 for c in r[1]] for r in rows]
+    n, d = len(x), len(x[0])
+    s = [sum(col) for col in zip(*x)]
+    dev = [sum((n * a - b) ** 2 for a, b in zip(row, s)) for row in x]
+    v = np.array([[float(Fraction(sum((n * r[i] - s[i]) * (n * r[j] - s[j]) for r in x), n ** 3)) for j in range(d)] for i in range(d)])
+    e, u = np.linalg.eigh(v)
+    e, u = e[::-1][:k], u[:, ::-1][:, :k]
+    centred = np.array([[float(Fraction(n * a - b, n)) for a, b in zip(row, s)] for row in x])
+    return n, dev, centred @ u / np.sqrt(e), e / np.trace(v)
+
+
+def test_whitening(spark):
+    rows = random_rows(300, 12)
+    got = op11.whiten(frame(spark, rows + BAD)).toPandas().sort_values(["vec_id", "component"])
+    n, dev, white, share = whitened_by(rows)
+    assert len(got) == 300 * 12 and set(got["n"]) == {300} and got["component"].dtype == np.int32
+    assert got["deviation"].tolist() == [v for v in dev for _ in range(12)]
+    mine = got["whitened"].to_numpy().reshape(300, 12)
+    assert np.allclose(np.abs(mine), np.abs(white), atol=1e-9)
+    assert np.allclose(mine.T @ mine / n, np.eye(12), atol=1e-9)
+    assert np.allclose(got["explained"].to_numpy().reshape(300, 12), share, rtol=1e-9)
+    assert got["identity_error"].nunique() == 1 and got["identity_error"].iloc[0] < 1e-9
+
+
+def test_whitening_keeps_32_components(spark):
+    got = op11.whiten(frame(spark, random_rows(200, 40))).toPandas()
+    assert len(got) == 200 * 32 and got["component"].max() == 32 and got["explained"].sum() / 200 < 1
+
+
+def test_covariance_by_polarisation_is_exact():
+    rng = np.random.default_rng(3)
+    for size in (8, 1 << 40):
+        y = rng.integers(-size, size, (50, 5))
+        exact = y.astype(object)
+        squares = op11.pair_squares(y)
+        cov, trace = op11.covariance(50, exact.sum(axis=0).tolist(), squares.tolist())
+        want = [[Fraction(int((exact[:, i] * exact[:, j]).sum()), 50) - Fraction(int(exact[:, i].sum()) * int(exact[:, j].sum()), 2500) for j in range(5)] for i in range(5)]
+        assert cov.tolist() == [[float(c) for c in r] for r in want] and trace == float(sum(want[i][i] for i in range(5)))
+
+
+def test_whitening_without_full_rank(spark):
+    same = [(i, [0.5, 0.25], 0) for i in range(4)]
+    got = op11.whiten(frame(spark, same)).collect()
+    assert len(got) == 8 and all(r["whitened"] is None and r["explained"] is None and r["identity_error"] is None and r["deviation"] == 0 for r in got)
+    line = [(i, [float(i), 2.0 * i, 0.0], 0) for i in range(5)]
+    got = op11.whiten(frame(spark, line)).collect()
+    assert {(r["component"], r["whitened"] is None) for r in got} == {(1, False), (2, True), (3, True)}
+    assert all(r["identity_error"] < 1e-9 and abs(r["explained"] - (r["component"] == 1)) < 1e-9 for r in got)
+
+
+def test_whitening_of_odd_tables(spark):
+    assert op11.whiten(frame(spark, [])).collect() == []
+    assert op11.whiten(frame(spark, BAD)).collect() == []
+    one = op11.whiten(frame(spark, [(7, [1.0], 0), (8, [], 0)])).collect()
+    assert [(r["vec_id"], r["n"], r["deviation"], r["whitened"]) for r in one] == [(7, 1, 0, None)]
+    # lengths are fitted apart; repeated rows and null ids come out each; huge entries are held
+    mixed = [(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (None, [3.0, 1.0], 0), (4, [1.0, 5.0, 9.0], 0), (5, [1e300, 1.0, 0.0], 0), (6, [-1e300, 3.0, 1.0], 0)]
+    got = op11.whiten(frame(spark, mixed)).collect()
+    assert len(got) == 3 * 2 + 3 * 3 and {r["n"] for r in got} == {3} and sum(r["vec_id"] is None for r in got) == 2
+    assert all(r["deviation"] is None for r in got if r["vec_id"] in (5, 6))
+    clash = spark.createDataFrame([(i, [float(i), float(i * i)], 1, 2, "x") for i in range(5)], "vec_id long, embedding array<float>, v int, n int, component string")
+    assert len(op11.whiten(clash).collect()) == 10
+
+
+# ---- operator 12
+
+
+def codes_by(rows, parts=16, entries=64, rounds=2):
+    rows = sorted(usable(rows), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    q = [[math.floor(256 * c) for c in r[1]] for r in rows]
+    d = len(q[0])
+    cut = lambda v: [v[d * p // parts:d * (p + 1) // parts] for p in range(parts)]
+    subs = [cut(v) for v in q]
+    book = [[s[p] for s in subs[:entries]] for p in range(parts)]
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+
+    def assign():
+        return [[min(range(len(book[p])), key=lambda e: (far(s[p], book[p][e]), e)) for p in range(parts)] for s in subs]
+
+    for _ in range(rounds):
+        a = assign()
+        for p in range(parts):
+            for e in range(len(book[p])):
+                if mine := [s[p] for s, i in zip(subs, a) if i[p] == e]:
+                    book[p][e] = [sum(c) // len(mine) for c in zip(*mine)]
+    a = assign()
+    errors = [sum(far(s[p], book[p][i[p]]) for p in range(parts)) for s, i in zip(subs, a)]
+    digest = hashlib.sha256(",".join(str(x) for part in book for e in part for x in e).encode()).hexdigest()
+    label = lambda v: sum(e for r, e in zip(rows, errors) if r[2] == v)
+    return sorted(((r[0], bytes(i).hex(), e, label(r[2]), digest) for r, i, e in zip(rows, a, errors)), key=repr)
+
+
+def coded(spark, rows, **how):
+    codes, books = op12.compress(frame(spark, rows), **how)
+    return sorted((tuple(r) for r in op12.with_label_errors(codes).collect()), key=repr), books
+
+
+@pytest.mark.parametrize("rows", [random_rows(400, 32, clusters=20), random_rows(90, 16), random_rows(200, 20, seed=5), random_rows(30, 4) + BAD])
+def test_vector_codes(spark, rows):
+    assert coded(spark, rows)[0] == codes_by(rows)
+
+
+def test_vector_codes_with_ties_repeats_and_nulls(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(rng.integers(0, 40)) if i % 9 else None, (rng.integers(-2, 3, 16) / 256).tolist(), None if i % 3 else 1) for i in range(300)]
+    rows += rows[:20] + [(5000 + i, [0.25] * 16, 2) for i in range(100)]
+    assert coded(spark, rows, entries=20)[0] == codes_by(rows, entries=20)
+
+
+def test_equal_average_search_is_exact():
+    rng = np.random.default_rng(4)
+    for size, kind in ((3, np.int64), (500, np.int64), (1 << 57, np.int64)):
+        v, c = rng.integers(-size, size, (300, 5)).astype(kind), rng.integers(-size, size, (40, 5)).astype(kind)
+        index, far = op12.nearest_entries(v, c)
+        all_far = ((v.astype(object)[:, None] - c.astype(object)[None]) ** 2).sum(axis=2)
+        want = [min(range(40), key=lambda e: (row[e], e)) for row in all_far]
+        assert index.tolist() == want and [int(f) for f in far] == [row[e] for row, e in zip(all_far, want)]
+
+
+def test_vector_codes_of_odd_tables(spark):
+    assert coded(spark, [])[0] == [] and coded(spark, BAD)[0] == []
+    rows, _ = coded(spark, [(1, [], 0), (2, [], None)])
+    assert [r[:4] for r in rows] == [(1, "00" * 16, 0, 0), (2, "00" * 16, 0, 0)]
+    # lengths apart, but labels together; an error beyond a long is null, and so its label's sum
+    big = [(i, [2e300 * (i - 2)] * 16, 7) for i in range(5)] + [(10, [0.5] * 3, 7), (11, [0.5] * 3, 8)]
+    rows, books = coded(spark, big, entries=2)
+    assert set(books) == {3, 16} and {r[0]: r[3] for r in rows}[11] == 0
+    assert any(r[2] is None for r in rows) and {r[0]: r[3] for r in rows}[10] is None
+    clash = spark.createDataFrame([(i, [float(i)] * 16, i % 2, 1, "x") for i in range(6)], "vec_id long, embedding array<float>, label int, v int, code string")
+    assert op12.with_label_errors(op12.compress(clash)[0]).count() == 6
+
+
+def test_codes_stand_for_vectors(spark):
+    rows = random_rows(50, 16)
+    codes, books = op12.compress(frame(spark, rows), entries=64)
+    back = {r["vec_id"]: r["approximation"] for r in op12.decompress(codes, books[16]).collect()}
+    assert all(np.abs(np.array(back[i]) - np.array(v)).max() <= 1 / 256 for i, v, _ in rows)  # as many entries as vectors
+
+
+# ---- operator 13
+
+
+def top_by(rows, k=5, every=50):
+    rows = usable(rows)
+    q = [[math.floor(256 * c) for c in r[1]] for r in rows]
+    out = []
+    for i, r in enumerate(rows):
+        if r[0] is not None and r[0] % every == 0:
+            scored = [(-sum(a * b for a, b in zip(q[i], q[j])), s[0] is None, s[0] or 0) for j, s in enumerate(rows) if i != j and len(q[i]) == len(q[j])]
+            out += [(r[0], n + 1, None if z else s, -p) for n, (p, z, s) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=repr)
+
+
+def top(spark, rows, **how):
+    got = op13.top_k(frame(spark, rows), lambda i: i % how.pop("every", 50) == 0, **how)
+    return sorted((tuple(r) for r in got.collect()), key=repr)
+
+
+@pytest.mark.parametrize("rows,how", [
+    (random_rows(700, 8), {"least": 32, "most": 32, "pivots": 4}),
+    (random_rows(900, 16, clusters=12) + BAD, {"least": 40, "most": 40, "pivots": 6, "sample": 50}),
+    (random_rows(60, 4), {})])
+def test_top_k(spark, rows, how):
+    assert top(spark, rows, **how) == top_by(rows)
+
+
+def test_top_k_with_ties_repeats_and_nulls(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 11 else None, (rng.integers(-2, 3, 6) / 256).tolist(), 0) for i in range(400)]
+    rows += [(i, [2 / 256] * 6, 0) for i in range(1000, 1300)]      # one vector of many rows, queries among them
+    rows += [(100, [2 / 256] * 6, 0), (100, [2 / 256] * 6, 0), (100, [-1 / 256] * 6, 0)]  # repeated ids
+    assert top(spark, rows, least=16, most=16, pivots=3) == top_by(rows)
+
+
+def test_top_k_of_odd_tables(spark):
+    assert top(spark, []) == [] and top(spark, BAD) == []
+    assert top(spark, [(0, [1.0], 0)]) == []  # no candidate
+    assert top(spark, [(0, [1.0], 0), (50, [2.0], 0), (7, [1.0, 1.0], 0), (100, [], 0), (3, [], 0)]) == [
+        (0, 1, 50, 131072), (100, 1, 3, 0), (50, 1, 0, 131072)]
+    huge = top(spark, [(0, [1e300, 1.0], 0), (1, [1e300, 1.0], 0), (2, [-1e300, 0.0], 0), (3, [0.0, 1.0], 0)])
+    assert [r[2] for r in huge] == [1, 3, 2] and [r[3] for r in huge] == [(1 << 63) - 1, 65536, 1 - (1 << 63)]
+    clash = spark.createDataFrame([(i, [float(i)], 1, "x") for i in range(60)], "vec_id long, embedding array<float>, key int, x string")
+    assert op13.top_k(clash, lambda i: i % 50 == 0).count() == 10
+
+
+def test_cover_tree_covers_and_prunes():
+    rng = np.random.default_rng(8)
+    for points in (rng.normal(size=(2000, 6)), np.r_[np.zeros((1500, 3)), rng.normal(size=(50, 3))], np.arange(3000.0)[:, None] ** 3):
+        root, todo = grow(points, leaf=16), []
+        todo.append((root, 0))
+        while todo:
+            node, depth = todo.pop()
+            assert np.linalg.norm(points[node.members] - points[node.centre], axis=1).max() <= node.radius + 1e-9
+            assert depth <= math.log(len(points)) / -math.log(MOST) + 1
+            if node.children:
+                assert sorted(np.concatenate([c.members for c in node.children]).tolist()) == sorted(node.members.tolist())
+            todo += [(c, depth + 1) for c in node.children]
+    clusters = (rng.normal(size=(40, 12))[rng.integers(0, 40, 5000)] * 300 + rng.normal(size=(5000, 12))).astype(np.int64)
+    search = Search(clusters, [np.array([i]) for i in range(5000)], 6)
+    asked = clusters[:200]
+    score, place = search.top(asked, np.full(200, -1 << 60, object))
+    whole = asked @ clusters.T
+    want = np.lexsort((np.broadcast_to(np.arange(5000), whole.shape), -whole), axis=1)[:, :6]
+    assert (place == want).all() and (score == np.take_along_axis(whole, want, axis=1)).all()
+    assert search.met < 0.2 * 200 * 5000  # most pairs are never met
