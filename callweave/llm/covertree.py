@@ -8,7 +8,8 @@ is replaced by shells of that centre, so the depth stays logarithmic.
 
 Two nodes with centres c and e and radii r and s hold no pair with an inner product above
 <c, e> + r |e| + s |c| + r s. A pair of nodes is pruned if that is below the worst k-th score
-of the query node's queries. Leaves meet as blocks, exactly.
+of the query node's queries. Below a leaf of the query tree stand its queries, nodes of radius
+0; those that stay meet a leaf of the data as a block, exactly.
 """
 
 from __future__ import annotations
@@ -94,19 +95,30 @@ class Search:
         reach = a.radius * b.size + b.radius * a.size + a.radius * b.radius
         return float(points[a.centre] @ self.points[b.centre]) + reach + ROUNDING * ((a.size + a.radius) * (b.size + b.radius) + 1)
 
+    def _still(self, points: np.ndarray, asked: np.ndarray, b: Node) -> np.ndarray:
+        """The queries, each a node of radius 0, that the pair with b does not prune."""
+        sizes = self.sizes[asked]
+        above = points[asked] @ self.points[b.centre] + b.radius * sizes + ROUNDING * (sizes * (b.size + b.radius) + 1)
+        return asked[(above >= self.worst[asked]).astype(bool)]
+
     def _descend(self, points: np.ndarray, root: Node, tree: Node) -> None:
-        todo = [(self._above(points, root, tree), root, tree)]
+        self.sizes = np.linalg.norm(points, axis=1)
+        todo = [(self._above(points, root, tree), root, tree, root.members)]
         while todo:
-            above, a, b = todo.pop()
-            if above < self.worst[a.members].min():
-                continue
-            if not a.children and not b.children:
-                self._meet(a.members, b.members)
+            above, a, b, asked = todo.pop()
+            if above < self.worst[asked].min():
                 continue
+            if not a.children:  # below a leaf stand its queries
+                asked = self._still(points, asked, b)
+                if not len(asked):
+                    continue
+                if not b.children:
+                    self._meet(asked, b.members)
+                    continue
             split_a = bool(a.children) and (not b.children or a.radius > b.radius)
-            pairs = [(c, b) for c in a.children] if split_a else [(a, c) for c in b.children]
+            pairs = [(c, b, c.members) for c in a.children] if split_a else [(a, c, asked) for c in b.children]
             # the most promising pair is on top of the stack
-            todo.extend(sorted(((self._above(points, *p), *p) for p in pairs), key=lambda t: t[0]))
+            todo.extend(sorted(((self._above(points, c, e), c, e, m) for c, e, m in pairs), key=lambda t: t[0]))
 
     def _meet(self, asked: np.ndarray, members: np.ndarray) -> None:
         self.met += len(asked) * len(members)
