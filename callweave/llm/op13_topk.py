@@ -58,8 +58,11 @@ def points_of(embeddings: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def net(points: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
-    """The centres of the top level, by vector length: a net of a seeded sample."""
-    rows = points.select("x").orderBy(F.xxhash64("x"), "x").limit(sample).collect()
+    """The centres of the top level, by vector length: a net of a seeded sample. Rows are thinned
+    by a hash first, so that tasks send few however many tasks there are."""
+    draw = F.shiftrightunsigned(F.xxhash64("vec_id", "x"), 1)
+    share = min(1.0, 4 * sample / max(1, points.count()))
+    rows = points.where(draw <= int(share * LONG)).orderBy(draw, "x").limit(sample).select("x").collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r["x"]), []).append(r["x"])
