@@ -8,13 +8,13 @@ limit. No adjacency list is ever collected to the driver or into one task.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callweave.fixed import BUILTIN_NAMES, DEFAULT_CONTEXT_DEPTH
+from callweave.operators.pointers import follow
+from callweave.operators.pointers import union as _union
 from callweave.operators.ranking import global_dense_rank
 from callweave.session import cut_and_count, cut_lineage
 
@@ -23,10 +23,6 @@ def _empty_strs():
     return F.array().cast("array<string>")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
 # A frontier key is spread over this many tasks (its edges are dealt by a hash of the edge).
 SALTS = 8
 
@@ -121,12 +117,23 @@ def degrees(nodes: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> Da
     g = (nodes.join(deg, id_col, "left")
          .withColumn("out_degree", F.coalesce("out_degree", F.lit(0)).cast("int"))
          .withColumn("in_degree", F.coalesce("in_degree", F.lit(0)).cast("int")))
+    return with_node_types(g)
+
+
+def with_node_types(g: DataFrame) -> DataFrame:
+    """Root and leaf flags and the node type of a table with both degrees."""
     return (g.withColumn("is_root", F.col("in_degree") == 0)
              .withColumn("is_leaf", F.col("out_degree") == 0)
              .withColumn("node_type", F.when(F.col("is_root"), "root")
                          .when(F.col("is_leaf"), "leaf").otherwise("intermediate")))
 
 
+#: topological levels that are peeled before chains are contracted
+SHALLOW = 8
+#: contraction goes on while it takes this share of the nodes that have callers
+WORTH = 1 / 16
+
+
 def longest_depth(roots: DataFrame, edges: DataFrame, id_col: str = "lookup_id") -> DataFrame:
     """``depth_level`` = longest walk from any root (Q9), without a depth limit.
 
@@ -137,41 +144,77 @@ def longest_depth(roots: DataFrame, edges: DataFrame, id_col: str = "lookup_id")
     its longest walk is unbounded, so it is flagged ``depth_capped`` and carries the
     depth that its final callers give (0 without one). Callers that no root reaches
     (cycles of their own) hold nothing back. Nodes no root reaches are absent.
+
+    A graph of more than ``SHALLOW`` levels is contracted first (``_contract_callers``): nodes with
+    one caller hang on the node at the head of their chain, at a distance that pointer
+    doubling finds, so chains and trees of any depth take a logarithmic number of rounds.
     """
-    e = cut_lineage(edges.select("src", "dst").distinct())
+    e = cut_lineage(edges.select("src", "dst").distinct()).withColumn("w", F.lit(1))
     start = cut_lineage(roots.select(F.col(id_col).alias("node")).distinct())
-    done, opened = _peel(start, e)
-    reached = None
+    done, opened, ended = _peel(start, e, SHALLOW)
+    hung: list[DataFrame] = []
+    if not ended:
+        e, hung = _contract_callers(start, e)
+        done, opened, _ = _peel(start, e)
+    rest = None
     if not opened.isEmpty():  # a cycle, or a caller that no root reaches: count the callers inside only
         reached = _closure(start, e)
-        done, opened = _peel(start, e.join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
-    out = done.select(F.col("node").alias(id_col), F.col("depth").cast("int").alias("depth_level"), F.lit(False).alias("depth_capped"))
-    if reached is None:
-        return out
-    rest = reached.join(done.select("node"), "node", "left_anti").join(opened.select("node", "depth"), "node", "left")
-    return out.unionByName(rest.select(F.col("node").alias(id_col), F.coalesce("depth", F.lit(0)).cast("int").alias("depth_level"),
-                                       F.lit(True).alias("depth_capped")))
-
-
-def _peel(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Topological peeling from ``start(node)``: (final nodes with their longest walk,
-    nodes that still miss callers with the depth so far)."""
+        done, opened, _ = _peel(start, e.join(reached.withColumnRenamed("node", "src"), "src", "left_semi"))
+        rest = (reached.join(done.select("node"), "node", "left_anti").join(opened.select("node", "depth"), "node", "left")
+                .select("node", F.coalesce("depth", F.lit(0)).alias("depth")))
+    for members in reversed(hung):  # a member is final, or behind a cycle, as its head is
+        head = members.withColumnRenamed("node", "member").withColumnRenamed("head", "node")
+        done = cut_lineage(done.unionByName(head.join(done, "node").select(F.col("member").alias("node"), (F.col("depth") + F.col("dist")).alias("depth"))))
+        if rest is not None:
+            rest = cut_lineage(rest.unionByName(head.join(rest, "node").select(F.col("member").alias("node"), F.lit(0).alias("depth"))))
+    level = lambda df, capped: df.select(F.col("node").alias(id_col), F.col("depth").cast("int").alias("depth_level"), F.lit(capped).alias("depth_capped"))
+    return level(done, False) if rest is None else level(done, False).unionByName(level(rest, True))
+
+
+def _contract_callers(start: DataFrame, edges: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Contract ``edges(src, dst, w)``: a node with a single caller (no start node) hangs on the first
+    node up its chain that is none, and its own edges begin there, longer by its distance. Of
+    parallel edges the longest stays (max-plus), which may leave other nodes with one caller,
+    so this is repeated while it is worth it. Chains that come from no such node run in a ring
+    that no start reaches; they go. (the edges, ``members(node, head, dist)`` of each pass)."""
+    hung = []
+    while True:
+        callers = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("to"), F.min("w").alias("w"))
+        callers, nodes = cut_and_count(callers.join(start.withColumnRenamed("node", "dst"), "dst", "left_anti"), "callers")
+        single, n = cut_and_count(callers.where("n = 1").select(F.col("dst").alias("node"), "to", "w"), "single")
+        if n == 0 or n < WORTH * nodes:
+            return edges, hung
+        ends, rings = follow(single)
+        members = ends.select("node", F.col("end").alias("head"), "dist")
+        hung.append(members)
+        left = (edges.join(single.select(F.col("node").alias("dst")), "dst", "left_anti")
+                .join(rings.select(F.col("node").alias("src")), "src", "left_anti")
+                .join(members.withColumnRenamed("node", "src"), "src", "left")
+                .select(F.coalesce("head", "src").alias("src"), "dst", (F.col("w") + F.coalesce("dist", F.lit(0))).alias("w")))
+        edges = cut_lineage(left.groupBy("src", "dst").agg(F.max("w").alias("w")))
+
+
+def _peel(start: DataFrame, edges: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame, bool]:
+    """Topological peeling from ``start(node)`` over ``edges(src, dst, w)``: (final nodes with their longest
+    walk, nodes that still miss callers with the depth so far, whether it came to its end
+    within so many levels)."""
     need = edges.groupBy("dst").agg(F.count(F.lit(1)).alias("need"))
-    walk = _Expander(edges.join(need, "dst").select("src", "dst", "need"), "src")
+    walk = _Expander(edges.join(need, "dst").select("src", "dst", "w", "need"), "src")
     final = cut_lineage(start.join(need.withColumnRenamed("dst", "node"), "node", "left_anti")
-                        .select("node", F.lit(0).cast("long").alias("need"), F.lit(0).alias("depth")))
+                        .select("node", F.lit(0).cast("long").alias("need"), F.lit(0).cast("long").alias("depth")))
     done, opened = [final], final.where("need > 0")
     while True:
         met = walk.join(final.select("node", "depth"), "node").select(
-            F.col("dst").alias("node"), "need", (F.col("depth") + 1).alias("depth"), F.lit(1).cast("long").alias("used"))
+            F.col("dst").alias("node"), "need", (F.col("depth") + F.col("w")).alias("depth"), F.lit(1).cast("long").alias("used"))
         # callers are counted down, so an open row's need is what is still missing
         state = (met.unionByName(opened.withColumn("used", F.lit(0).cast("long"))).groupBy("node")
-                 .agg((F.min("need") - F.sum("used")).alias("need"), F.max("depth").cast("int").alias("depth")))
+                 .agg((F.min("need") - F.sum("used")).alias("need"), F.max("depth").alias("depth")))
         state, rows = cut_and_count(state, "depth")
         final, opened = state.where("need = 0"), state.where("need > 0")
-        if rows == 0 or final.isEmpty():
+        ended = rows == 0 or final.isEmpty()
+        if ended or len(done) == levels:
             walk.close()
-            return _union(done).select("node", "depth"), opened
+            return _union(done).select("node", "depth"), opened, ended
         done.append(final)
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, SPACE_CLASS
 from callweave.functions import prompts as PR
 from callweave.functions import text as TX
+from callweave.operators import cycles as CY
+from callweave.operators import factorised as FC
 from callweave.operators import graph as G
 from callweave.operators import history as H
 from callweave.operators import lookup as L
@@ -198,6 +200,11 @@ def fn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialized(spark, ("fn_edges", sf_dir), lambda: G.resolve_calls(S.fn(spark, sf_dir)))
 
 
+def fn_two_hop(spark: SparkSession, sf_dir: str) -> FC.TwoHop:
+    two = lambda: FC.factorise(S.fn(spark, sf_dir))
+    return FC.TwoHop(materialized(spark, ("fn_calls", sf_dir), lambda: two().calls), materialized(spark, ("fn_defines", sf_dir), lambda: two().defines))
+
+
 @register("name_resolution_edges", f"WITH {FN_CTES} SELECT src, dst FROM fn_edges")
 def q_name_edges(spark, sf_dir):
     return G.resolve_calls(S.fn(spark, sf_dir))
@@ -209,7 +216,7 @@ SELECT f.lookup_id, coalesce(string_agg(e.dst, ',' ORDER BY e.dst), '') AS neste
 FROM fn f LEFT JOIN fn_edges e ON e.src = f.lookup_id GROUP BY f.lookup_id""")
 def q_nested_call_ids(spark, sf_dir):
     fns = S.fn(spark, sf_dir)
-    n = G.nested_call_ids(fns, fn_edges(spark, sf_dir))
+    n = FC.nested_call_ids(fns, fn_two_hop(spark, sf_dir))
     return n.select("lookup_id", F.array_join("nested_call_ids", ",").alias("nested_call_ids"),
                     F.size("nested_call_ids").alias("nested_count"))
 
@@ -227,8 +234,7 @@ fn_cc AS (SELECT node AS lookup_id, comp AS component_id FROM fn_label)"""
 @register("connected_components", f"""WITH RECURSIVE {FN_CTES}, {FN_CC_SQL}
 SELECT lookup_id, component_id FROM fn_cc""")
 def q_connected_components(spark, sf_dir):
-    fns = S.fn(spark, sf_dir)
-    return G.connected_components(fns.select("lookup_id"), fn_edges(spark, sf_dir))
+    return FC.connected_components(S.fn(spark, sf_dir).select("lookup_id"), fn_two_hop(spark, sf_dir))
 
 
 @register("mutual_calls", f"""WITH {FN_CTES}
@@ -258,10 +264,57 @@ SELECT round(100.0 * count(*) FILTER (WHERE in_degree + out_degree > 0) / count(
        (SELECT count(DISTINCT component_id) FROM fn_cc) AS components
 FROM g""")
 def q_graph_quality(spark, sf_dir):
-    fns = S.fn(spark, sf_dir)
-    edges = fn_edges(spark, sf_dir)
-    g = G.degrees(fns.select("lookup_id"), edges)
-    return G.graph_quality(g, G.connected_components(fns.select("lookup_id"), edges))
+    """Degrees and components of the 6.0 M edges at sf0.1 without listing one."""
+    nodes, two = S.fn(spark, sf_dir).select("lookup_id"), fn_two_hop(spark, sf_dir)
+    return G.graph_quality(FC.degrees(nodes, two), FC.connected_components(nodes, two))
+
+
+@register("factorised_degrees", f"""WITH {FN_CTES},
+od AS (SELECT src AS lookup_id, count(*) AS o FROM fn_edges GROUP BY 1),
+id AS (SELECT dst AS lookup_id, count(*) AS i FROM fn_edges GROUP BY 1)
+SELECT f.lookup_id, CAST(coalesce(o, 0) AS INTEGER) AS out_degree, CAST(coalesce(i, 0) AS INTEGER) AS in_degree,
+       CASE WHEN i IS NULL THEN 'root' WHEN o IS NULL THEN 'leaf' ELSE 'intermediate' END AS node_type
+FROM fn f LEFT JOIN od USING (lookup_id) LEFT JOIN id USING (lookup_id)""")
+def q_factorised_degrees(spark, sf_dir):
+    g = FC.degrees(S.fn(spark, sf_dir).select("lookup_id"), fn_two_hop(spark, sf_dir))
+    return g.select("lookup_id", "out_degree", "in_degree", "node_type")
+
+
+@register("factorised_context", f"""WITH RECURSIVE {FN_CTES},
+start AS (SELECT lookup_id FROM fn WHERE start_line = 1),
+ctx(target, node, hops) AS (SELECT lookup_id, lookup_id, 0 FROM start
+  UNION SELECT c.target, e.src, c.hops + 1 FROM ctx c JOIN fn_edges e ON e.dst = c.node WHERE c.hops < 2),
+best AS (SELECT target, node, min(hops) AS hops FROM ctx GROUP BY 1, 2)
+SELECT target, CAST(hops AS INTEGER) AS hops, count(*) AS functions FROM best GROUP BY 1, 2""")
+def q_factorised_context(spark, sf_dir):
+    """G12 through names: who depends on some functions, within two calls."""
+    start = S.fn(spark, sf_dir).where("start_line = 1").select("lookup_id")
+    found = FC.reachable(fn_two_hop(spark, sf_dir), start, 2, reverse=True)
+    return found.groupBy("target", "hops").agg(F.count(F.lit(1)).alias("functions"))
+
+
+@register("strong_components", f"""WITH RECURSIVE {FN_CTES},
+clo(a, b) AS (SELECT src, dst FROM fn_edges UNION SELECT c.a, e.dst FROM clo c JOIN fn_edges e ON e.src = c.b),
+scc AS (SELECT x.a AS lookup_id, least(x.a, min(x.b)) AS cycle_id FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT lookup_id, cycle_id, count(*) OVER (PARTITION BY cycle_id) AS size FROM scc""")
+def q_strong_components(spark, sf_dir):
+    """The call cycles as such, through names."""
+    return FC.strong_components(fn_two_hop(spark, sf_dir))
+
+
+@register("module_cycles", f"""WITH RECURSIVE {FN_CTES},
+near AS (SELECT src, dst FROM fn_edges JOIN fn a ON a.lookup_id = src JOIN fn b ON b.lookup_id = dst
+         WHERE a.module_name = b.module_name AND a.start_line % 5 = b.start_line % 5),
+clo(a, b) AS (SELECT src, dst FROM near UNION SELECT c.a, e.dst FROM clo c JOIN near e ON e.src = c.b),
+scc AS (SELECT x.a AS lookup_id, least(x.a, min(x.b)) AS cycle_id FROM clo x JOIN clo y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
+SELECT lookup_id, cycle_id, count(*) OVER (PARTITION BY cycle_id) AS size FROM scc""")
+def q_module_cycles(spark, sf_dir):
+    """G11 on a sparse graph: the cycles among calls inside a module's part; many components,
+    trails into and out of them, and chains between."""
+    f = S.fn(spark, sf_dir).select("lookup_id", "module_name", (F.col("start_line") % 5).alias("part"))
+    side = lambda end: f.select(F.col("lookup_id").alias(end), "module_name", "part")
+    near = fn_edges(spark, sf_dir).join(side("src"), "src").join(side("dst"), ["dst", "module_name", "part"])
+    return CY.strong_components(near.select("src", "dst"))
 
 
 # ----------------------------------------------------- S9, R1, R8, R12, K1
@@ -283,7 +336,7 @@ LOOKUP_COLS = ["function_name", "lookup_id", "nested_call_ids", "file_name", "re
 
 def fn_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     fns = S.fn(spark, sf_dir)
-    full = G.nested_call_ids(fns, fn_edges(spark, sf_dir))
+    full = FC.nested_call_ids(fns, fn_two_hop(spark, sf_dir))
     return L.lookup_table(full, keep=("seq",))
 
 
@@ -646,7 +699,7 @@ def k1_results(spark, sf_dir):
 
 def fn_full(spark, sf_dir):
     return materialized(spark, ("fn_full", sf_dir),
-                        lambda: G.nested_call_ids(S.fn(spark, sf_dir), fn_edges(spark, sf_dir)))
+                        lambda: FC.nested_call_ids(S.fn(spark, sf_dir), fn_two_hop(spark, sf_dir)))
 
 
 def fn_nodes(fns):
@@ -1083,4 +1136,4 @@ def q_graph_rerank(spark, sf_dir):
                     F.col("rank").cast("int"))
 
 
-from callweave.plans import corpus_queries, sink_queries  # noqa: E402,F401 - these register more queries
+from callweave.plans import corpus_queries, edge_queries, sink_queries  # noqa: E402,F401 - these register more queries

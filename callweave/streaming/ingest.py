@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from callweave.operators import extract as X
 from callweave.session import cut_lineage, scratch_path
 from callweave.sources.corpus import corpus_files, corpus_root, hadoop_path, scan_filter
+from callweave.streaming import edges as E
 
 BUCKETS = 64
 
@@ -59,15 +60,22 @@ def replace_files(stored: DataFrame | None, functions: DataFrame, files: DataFra
 
 
 def ingest_functions(spark: SparkSession, repo_path: str, table_root: str, checkpoint: str | None = None,
-                     buckets: int = BUCKETS) -> DataFrame | None:
-    """Run the ingest over all files available now; returns the current table."""
+                     buckets: int = BUCKETS, graph_root: str | None = None) -> DataFrame | None:
+    """Run the ingest over all files available now; returns the current table. With ``graph_root``
+    the call graph stored there (``streaming.edges``) follows; it is written before the table, so
+    a batch that failed between the two meets the table as it was and is applied again."""
     checkpoint = checkpoint or scratch_path(spark, "ingest-state")
 
     def merge(batch: DataFrame, batch_id: int):
         batch = cut_lineage(batch)
         files = batch.select(F.concat_ws("/", "repo_root", "path").alias("file_path"), "seq")
         functions = X.functions_from(X.extract(batch.drop("seq")))
-        merged = cut_lineage(replace_files(_stored(spark, table_root), functions, files, buckets))  # no read of the target left
+        stored = _stored(spark, table_root)
+        merged = cut_lineage(replace_files(stored, functions, files, buckets))  # no read of the target left
+        if graph_root:
+            rows = lambda df: df.where("lookup_id IS NOT NULL").join(files.select("file_path").distinct(), "file_path", "left_semi").select("lookup_id", "name", "calls")
+            before = rows(stored) if stored is not None else rows(merged).limit(0)
+            E.apply_changes(spark, graph_root, cut_lineage(before), rows(merged), buckets=buckets)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("bucket").parquet(table_root))
 
