@@ -307,45 +307,97 @@ def root_distance(edges: DataFrame, roots: DataFrame, max_depth: int,
     return _union(levels).withColumn("dist", F.col("dist").cast("int")), total
 
 
+#: with so many targets for every root, paths are walked forwards from the roots
+FORWARD = 100
+
+
 def call_paths(edges: DataFrame, roots: DataFrame, targets: DataFrame,
                max_depth: int = DEFAULT_CONTEXT_DEPTH, id_col: str = "lookup_id") -> DataFrame:
     """Simple paths root -> target with at most ``max_depth`` edges (Q11).
 
-    Walked backwards from the targets, so only paths that end at a target are
-    built; a path is kept once its head is a root. A target that is a root
-    yields ``[target]``. Partial paths are pruned exactly: a head more than the
-    remaining number of hops away from every root (``root_distance``) cannot
-    complete, so it is dropped before it is extended.
+    With few roots for the targets (both are counted) the paths are walked forwards from
+    the roots, as nearly every path there ends at a target. Otherwise they are walked
+    backwards from the targets and pruned exactly: a head more than the remaining number
+    of hops away from every root (``root_distance``) cannot complete, so it is dropped
+    before it is extended. The rows are the same. A target that is a root yields ``[target]``.
     Output ``(target, path array<string>, depth)``.
     """
-    tgt, n_t = cut_and_count(targets.select(F.col(id_col).alias("target")).distinct(), "targets")
-    if n_t == 0 or roots.isEmpty():  # no target or no root: no path
-        spark = edges.sparkSession
-        return spark.createDataFrame([], "target string, path array<string>, depth int")
-    targets = tgt.withColumnRenamed("target", id_col)
-    dist, _ = root_distance(edges, roots, max_depth, id_col)
-    dist = dist.select(F.col("node").alias("head"), "dist")
-    rev = _Expander(edges.select(F.col("dst").alias("child"), F.col("src").alias("parent")), "child")
-    start = (targets.select(F.col(id_col).alias("target")).distinct()
-             .select("target", F.col("target").alias("head"), F.array(F.col("target")).alias("path")))
-    cur, rows = cut_and_count(start.join(dist, "head").where(F.col("dist") <= max_depth).drop("dist"), "paths")
-    done = [cur.join(dist.where(F.col("dist") == 0).select("head"), "head", "left_semi")]
-    for r in range(1, max_depth + 1):
-        if rows == 0:
-            break
-        ext = (rev.join(cur, "head")
-               .where(~F.array_contains("path", F.col("parent")))
-               .select("target", F.col("parent").alias("head"),
-                       F.concat(F.array(F.col("parent")), F.col("path")).alias("path"))
-               .join(dist, "head").where(F.col("dist") <= max_depth - r))
-        if r == max_depth:  # only complete paths are left to keep
-            done.append(ext.where(F.col("dist") == 0).drop("dist"))
+    ends, n_t = cut_and_count(targets.select(F.col(id_col).alias("end")).distinct(), "targets")
+    starts, n_r = cut_and_count(roots.select(F.col(id_col).alias("end")).distinct(), "roots")
+    if n_t == 0 or n_r == 0:  # no target or no root: no path
+        return edges.sparkSession.createDataFrame([], "target string, path array<string>, depth int")
+    forward = n_r * FORWARD <= n_t
+    begin, goal = (starts, ends) if forward else (ends, starts)
+    dist = None if forward else root_distance(edges, roots, max_depth, id_col)[0].select(F.col("node").alias("end"), "dist")
+    step = _Expander(edges.select(F.col("src" if forward else "dst").alias("at"), F.col("dst" if forward else "src").alias("next")), "at")
+    longer = F.concat("path", F.array("next")) if forward else F.concat(F.array("next"), "path")
+
+    def alive(paths: DataFrame, hops: int) -> DataFrame:
+        """Paths whose open end may still come to a root within so many hops."""
+        return paths if dist is None else paths.join(dist, "end").where(F.col("dist") <= hops).drop("dist")
+
+    cur = alive(begin.select("end", F.array("end").alias("path")), max_depth)
+    done = []
+    for r in range(max_depth + 1):
+        if r:
+            cur = (step.join(cur, "end").where(~F.array_contains("path", F.col("next")))
+                   .select(F.col("next").alias("end"), longer.alias("path")))
+            cur = alive(cur, max_depth - r)
+        if r < max_depth:  # the last step is not walked on from
+            cur, rows = cut_and_count(cur, "paths")
+        done.append(cur.join(goal, "end", "left_semi"))
+        if r < max_depth and rows == 0:
             break
-        ext, rows = cut_and_count(ext.drop("dist"), "paths")
-        done.append(ext.join(dist.where(F.col("dist") == 0).select("head"), "head", "left_semi"))
-        cur = ext
-    rev.close()
-    return _union(done).select("target", "path", (F.size("path") - 1).alias("depth"))
+    step.close()
+    return _union(done).select(F.element_at("path", -1).alias("target"), "path", (F.size("path") - 1).alias("depth"))
+
+
+def call_path_counts(edges: DataFrame, roots: DataFrame, targets: DataFrame,
+                     max_depth: int = DEFAULT_CONTEXT_DEPTH, id_col: str = "lookup_id") -> DataFrame:
+    """``(target, call_paths_count)``: how many rows ``call_paths`` gives each target that has any,
+    without listing a path.
+
+    Walks from the roots are counted by three sums over the edges. A walk of at most three edges
+    repeats a node only by going to a neighbour and back, or around a triangle, so the walks
+    r-a-b-t with r = b, with a = t (both at once added back) and with r = t, and the walks r-a-t with
+    r = t, are counted by mutual calls and triangles and taken off. Longer walks are listed.
+    """
+    if max_depth > 3:
+        return call_paths(edges, roots, targets, max_depth, id_col).groupBy("target").agg(F.count(F.lit(1)).alias("call_paths_count"))
+    n = lambda c: c.cast("decimal(38,0)")  # noqa: E731 - products of degrees
+    e = cut_lineage(edges.select("src", "dst").where("src <> dst").distinct())
+    root = cut_lineage(roots.select(F.col(id_col).alias("node")).distinct())
+    from_root = e.join(root.withColumnRenamed("node", "src"), "src", "left_semi")
+
+    def along(values: DataFrame) -> DataFrame:
+        """(node, w): the values of a node's callers added up."""
+        return cut_lineage(e.join(values.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum("w").alias("w")))
+
+    one = n(F.lit(1))
+    parts = [root.withColumn("w", one)]
+    if max_depth >= 1:
+        first = cut_lineage(from_root.groupBy(F.col("dst").alias("node")).agg(n(F.count(F.lit(1))).alias("w")))
+        parts.append(first)
+    if max_depth >= 2:
+        second = along(first)
+        # mutual calls: both ends of each, and those with a root at the other end
+        back = cut_lineage(e.join(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi"))
+        mutual = back.groupBy(F.col("src").alias("node")).agg(n(F.count(F.lit(1))).alias("m"))
+        of_root = mutual.join(root, "node", "left_semi")
+        parts += [second, of_root.select("node", (-F.col("m")).alias("w"))]
+    if max_depth >= 3:
+        bounce = along(of_root.withColumnRenamed("m", "w"))                                     # r = b
+        detour = first.join(mutual, "node").select("node", (F.col("w") * F.col("m")).cast("decimal(38,0)").alias("w"))  # a = t
+        both = back.join(root.withColumnRenamed("node", "dst"), "dst", "left_semi").groupBy(F.col("src").alias("node")).agg(n(F.count(F.lit(1))).alias("w"))
+        called = cut_lineage(root.join(e.select(F.col("dst").alias("node")), "node", "left_semi"))  # only these roots lie on a triangle
+        ring = (e.join(called.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("src").alias("t"), F.col("dst").alias("a"))
+                .join(e.select(F.col("src").alias("a"), F.col("dst").alias("b")), "a").where("b <> t")
+                .join(e.select(F.col("src").alias("b"), F.col("dst").alias("t")), ["b", "t"]))
+        ring = ring.groupBy(F.col("t").alias("node")).agg(n(F.count(F.lit(1))).alias("w"))
+        minus = lambda df: df.select("node", (-F.col("w")).alias("w"))
+        parts += [along(second), minus(bounce), minus(detour), both, minus(ring)]
+    total = _union([p.select("node", n(F.col("w")).alias("w")) for p in parts]).groupBy("node").agg(F.sum("w").cast("long").alias("call_paths_count")).where("call_paths_count > 0")
+    return total.join(targets.select(F.col(id_col).alias("node")).distinct(), "node", "left_semi").withColumnRenamed("node", "target")
 
 
 # ------------------------------------------------------------- G6, G8, R3
@@ -379,8 +431,8 @@ def context_summary(context: DataFrame, nodes: DataFrame, paths: DataFrame | Non
           .withColumn("total_functions", F.col("dependency_count")))
     names = nodes.select(F.col(id_col).alias("target"), F.col(name_col).alias("primary_function"))
     s = s.join(names, "target", "left")
-    if paths is not None:
-        pc = paths.groupBy("target").agg(F.count(F.lit(1)).alias("call_paths_count"))
+    if paths is not None:  # listed paths, or their counts
+        pc = paths if "call_paths_count" in paths.columns else paths.groupBy("target").agg(F.count(F.lit(1)).alias("call_paths_count"))
         s = (s.join(pc, "target", "left")
               .withColumn("call_paths_count", F.coalesce("call_paths_count", F.lit(0))))
     return s

@@ -137,8 +137,7 @@ def q_context_summary(spark, sf_dir):
     edges = dag_edges_known(spark, sf_dir)
     roots = dag_degrees(spark, sf_dir).where("is_root").select("lookup_id")
     ctx = G.reachable(edges, roots, 3)
-    paths = G.call_paths(edges, roots, roots, 3)
-    s = G.context_summary(ctx, nodes, paths)
+    s = G.context_summary(ctx, nodes, G.call_path_counts(edges, roots, roots, 3))
     return (s.withColumn("files_involved", F.array_join("files_involved", ","))
              .withColumn("modules_involved", F.array_join("modules_involved", ",")))
 
@@ -172,6 +171,17 @@ def q_call_paths(spark, sf_dir):
     return p.select("target", F.array_join("path", ">").alias("path"), F.col("depth").cast("int"))
 
 
+@register("call_path_counts", f"""WITH RECURSIVE {DAG_CTES},
+paths(node, path) AS (
+  SELECT lookup_id, [lookup_id] FROM dag_deg WHERE in_degree = 0
+  UNION ALL SELECT e.dst, list_append(p.path, e.dst) FROM paths p JOIN dag_edges e ON e.src = p.node
+  WHERE len(p.path) <= 3 AND NOT list_contains(p.path, e.dst))
+SELECT node AS target, count(*) AS call_paths_count FROM paths GROUP BY 1""")
+def q_call_path_counts(spark, sf_dir):
+    g = dag_degrees(spark, sf_dir)
+    return G.call_path_counts(dag_edges_known(spark, sf_dir), g.where("is_root").select("lookup_id"), g.select("lookup_id"), 3)
+
+
 # ---------------------------------------------------------------- G13
 @register("critical_functions", f"""WITH RECURSIVE {DAG_CTES},
 anc(target, node, hops) AS (
@@ -190,9 +200,9 @@ def q_critical_functions(spark, sf_dir):
 
 # ------------------------------------------------------ J1, J2, J3 on fn
 FN_CTES = f"""
-fn AS ({S.FN_SQL}),
-fn_calls AS ({S.FN_CALLS_SQL}),
-fn_edges AS (SELECT DISTINCT c.lookup_id AS src, f.lookup_id AS dst
+fn AS MATERIALIZED ({S.FN_SQL}),
+fn_calls AS MATERIALIZED ({S.FN_CALLS_SQL}),
+fn_edges AS MATERIALIZED (SELECT DISTINCT c.lookup_id AS src, f.lookup_id AS dst
              FROM fn_calls c JOIN fn f ON f.name = c.callee_name WHERE c.lookup_id <> f.lookup_id)"""
 
 
@@ -1085,7 +1095,7 @@ def q_issue_analysis(spark, sf_dir):
     vecs = V.embed_texts(fns.withColumn("text", PR.embedding_text(True, "full")), "lookup_id", "text", 256) \
         .withColumnRenamed("lookup_id", "id")
     conv = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    queries = conv.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("query"),
+    queries = conv.select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), F.col("text").alias("query"),
                           F.concat(F.lit("conv"), F.col("conv_id").cast("string")).alias("repo_name"),
                           F.array(F.lit("python")).alias("tech_stack"), F.lit("high").alias("priority"))
     res = P.analyze_issues(queries, fns, vecs, ask=3)

@@ -162,3 +162,33 @@ def deep_graphs():
 @pytest.mark.parametrize("name,pairs", list(deep_graphs()))
 def test_deep_graphs(spark, name, pairs):
     assert depth_rows(spark, pairs) == peeled_by(pairs)
+
+
+@pytest.mark.parametrize("n,m,seed", [(12, 40, 1), (10, 60, 2)])
+def test_path_counts_and_both_ways_of_walking(spark, monkeypatch, n, m, seed):
+    rng = random.Random(seed)
+    pairs = sorted({(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}") for _ in range(m)})
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    nodes = spark.createDataFrame([(f"v{i}",) for i in range(n)], "lookup_id string")
+    roots, targets = nodes.where("lookup_id IN ('v0', 'v1', 'v2')"), nodes.where("lookup_id <> 'v5'")
+    lists = []
+    for forward in (0, 10_000):  # at no roots a target, and always
+        monkeypatch.setattr(G, "FORWARD", 1 if forward == 0 else 10_000)
+        lists.append(sorted((r.target, tuple(r.path), r.depth) for r in G.call_paths(edges, roots, targets, 3).collect()))
+    walked = []
+    todo = [("v0",), ("v1",), ("v2",)]
+    while todo:
+        p = todo.pop()
+        if p[-1] != "v5":
+            walked.append((p[-1], p, len(p) - 1))
+        if len(p) < 4:
+            todo += [(*p, d) for s, d in pairs if s == p[-1] and d not in p]
+    assert lists[0] == lists[1] == sorted(walked)
+    for depth in range(4):
+        want = {}
+        for t, p, k in walked:
+            if k <= depth:
+                want[t] = want.get(t, 0) + 1
+        counts = G.call_path_counts(edges, roots, targets, depth)
+        assert {r.target: r.call_paths_count for r in counts.collect()} == want
+        assert "path" not in counts.columns
