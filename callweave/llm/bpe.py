@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import ahocorasick
@@ -28,6 +30,8 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from callweave.llm.common import keep_for, only_for
+
 NEVER = 1 << 60
 #: entries kept of each memory of a worker; a full one is emptied (bounded memory, same results)
 MEMORY = 400_000
@@ -210,12 +214,36 @@ class WordTokenizer:
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(4)
-def word_tokenizer(spec: str) -> WordTokenizer:
-    """One tokenizer, with its memories, for all tasks of a Python worker."""
+@lru_cache(1)
+def _word_tokenizer(spec: str) -> WordTokenizer:
+    keep_for("bpe", _forget)
     return WordTokenizer(spec)
 
 
-@lru_cache(4)
-def prefix_bpe(spec: str) -> PrefixBpe:
+@lru_cache(1)
+def _prefix_bpe(spec: str) -> PrefixBpe:
+    keep_for("bpe", _forget)
     return PrefixBpe(spec)
+
+
+def _forget() -> None:
+    _word_tokenizer.cache_clear()
+    _prefix_bpe.cache_clear()
+
+
+@contextmanager
+def word_tokenizer(spec: str) -> Iterator[WordTokenizer]:
+    """The tokenizer of a Python worker, one for all its tasks; a task's words are forgotten with it."""
+    only_for("bpe")
+    t = _word_tokenizer(spec)
+    try:
+        yield t
+    finally:
+        t.words.clear()
+        t.bpe.memory.clear()
+
+
+def prefix_bpe(spec: str) -> PrefixBpe:
+    """The encoder of a Python worker, one for all its tasks."""
+    only_for("bpe")
+    return _prefix_bpe(spec)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import os
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +30,25 @@ def prepare_python(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(ARROW_BYTES))
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_for(owner: str, clear: Callable[[], None]) -> None:
+    """Tells that a Python worker now holds something for later tasks of ``owner``."""
+    _KEPT[owner] = clear
+
+
+def only_for(owner: str) -> None:
+    """At the start of a task: what tasks of other operators left in this Python worker goes. Workers
+    are used again, so without this one holds the sum of what all operators keep."""
+    others = [k for k in _KEPT if k != owner]
+    for k in others:
+        _KEPT.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+
+
 def words(text: Column) -> Column:
     """The words of a text (null: none)."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({WORD_PATTERN})"), F.lit(1))

@@ -34,10 +34,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
     schema = StructType([*kept.schema.fields]).add(ids_col, ArrayType(IntegerType()))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(spec.value)
-        for b in batches:
-            ids = [np.frombuffer(t.encode(x.as_py()), "<u4").astype("i4") for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, ids_col])
+        with word_tokenizer(spec.value) as t:
+            for b in batches:
+                ids = [np.frombuffer(t.encode(x.as_py()), "<u4").astype("i4") for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, ids_col])
 
     return kept.mapInArrow(encode, schema)
 
@@ -52,10 +52,10 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
     schema = StructType([*kept.schema.fields]).add(text_col, "string")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(spec.value)
-        for b in batches:
-            out = [t.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text_col])
+        with word_tokenizer(spec.value) as t:
+            for b in batches:
+                out = [t.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text_col])
 
     return kept.mapInArrow(decode, schema)
 
@@ -71,12 +71,12 @@ def round_trip_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     schema = StructType([*kept.schema.fields]).add("ids", ArrayType(IntegerType())).add("n_tokens", "long").add("decoded_sha256", "string")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(spec.value)
-        for b in batches:
-            raw = [t.encode(x.as_py()) for x in b.column(at)]
-            new = [pa.array([np.frombuffer(i, "<u4").astype("i4") for i in raw], pa.list_(pa.int32())), pa.array([len(i) // 4 for i in raw], pa.int64()),
-                   pa.array([hashlib.sha256(t.decode(i).encode()).hexdigest() for i in raw], pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
+        with word_tokenizer(spec.value) as t:
+            for b in batches:
+                raw = [t.encode(x.as_py()) for x in b.column(at)]
+                new = [pa.array([np.frombuffer(i, "<u4").astype("i4") for i in raw], pa.list_(pa.int32())), pa.array([len(i) // 4 for i in raw], pa.int64()),
+                       pa.array([hashlib.sha256(t.decode(i).encode()).hexdigest() for i in raw], pa.string())]
+                yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
     return kept.mapInArrow(encode, schema)
 
@@ -89,17 +89,17 @@ def round_trip_digests(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     spec = vocabulary(spark, tokenizer_path)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = word_tokenizer(spec.value)
-        for b in batches:
-            n, ids_sha, text_sha = [], [], []
-            for x in b.column(1):
-                ids = t.encode(x.as_py())
-                n.append(len(ids) // 4)
-                ids_sha.append(hashlib.sha256(ids).hexdigest())
-                text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with word_tokenizer(spec.value) as t:
+            for b in batches:
+                n, ids_sha, text_sha = [], [], []
+                for x in b.column(1):
+                    ids = t.encode(x.as_py())
+                    n.append(len(ids) // 4)
+                    ids_sha.append(hashlib.sha256(ids).hexdigest())
+                    text_sha.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return (docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
             .mapInArrow(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))

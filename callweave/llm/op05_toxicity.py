@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from callweave.llm.common import prepare_python, words, written
+from callweave.llm.common import only_for, prepare_python, words, written
 from callweave.llm.lexicon import FuzzyLexicon
 
 SAMPLE, TERMS, THRESHOLD = 10_000, 4_000, 0.3
@@ -272,6 +272,7 @@ def with_scores(docs: DataFrame, model, text_col: str = "text", score_col: str =
     kept = docs.drop(score_col)
     at = kept.columns.index(text_col)
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for("toxicity")
         s = Scorer(*model.value)
         for b in batches:
             out = pa.array([s.score(x.as_py()) for x in b.column(at)], pa.float64())

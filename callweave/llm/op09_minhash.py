@@ -32,7 +32,6 @@ null texts); repeated rows form one class; of a class the row with the smallest
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,11 +41,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from callweave.llm.common import prepare_python, written
+from callweave.llm.common import only_for, prepare_python, written
 from callweave.operators.graph import star_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS, NEAR, TILE = 32, 5, 0.55, 1_024
+#: characters of a tile of texts, on average (a longer text is whole in its tile)
+TILE_CHARS = 4_000_000
 #: shingles that one round of numpy works on: few enough for a core's cache
 GROUP = 1 << 17
 _SPACES = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
@@ -136,6 +137,7 @@ def sketches(texts: DataFrame, bands: int, rows: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["print", "sig", "bands"])
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_for("near-dedup")
         prints, found, size = [], [], 0
         for b in batches:
             for p, x in zip(b.column(0).to_pylist(), b.column(1)):
@@ -149,6 +151,7 @@ def sketches(texts: DataFrame, bands: int, rows: int) -> DataFrame:
                     yield made(prints, found)
                     prints, found, size = [], [], 0
         yield made(prints, found)
+        seen.clear()
 
     return texts.mapInArrow(sketch, "print binary, sig binary, bands array<long>")
 
@@ -241,17 +244,36 @@ def cluster_edges(sketched: DataFrame, near: float, tile: int) -> DataFrame:
     return pairs.distinct()
 
 
-def exact_links(texts: list[str], side: list[int], similarity: float) -> tuple[list[int], list[int]]:
-    """Spanning forest of the links among texts (sides as in ``agreeing``), from their words."""
+def shingle_elements(texts: list[str | None]) -> tuple[list[np.ndarray], int]:
+    """The shingles of each text as numbers that are the same for equal shingles (exactly, without a
+    hash), and how many numbers there are. The k-th use of a shingle is an element of its own:
+    minima and maxima of counts become intersections and unions. Words get numbers first; a
+    window's number is made of the number of the window without its last word, and that word's."""
     number: dict[str, int] = {}
-    sets: list[np.ndarray] = []
+    rows = []
     for x in texts:
-        ws = words_of(x)
-        size = min(len(ws), SHINGLE)
-        times = Counter(" ".join(ws[i:i + size]) for i in range(len(ws) - size + 1)) if ws else {}
-        # the k-th use of a shingle is an element of its own: minima and maxima become
-        # intersections and unions
-        sets.append(np.array([number.setdefault(s if k == 0 else f"{k}\n{s}", len(number)) for s, n in times.items() for k in range(n)], np.int64))
+        ws = [number.setdefault(w, len(number) + 1) for w in words_of(x)]
+        rows.append(np.array(ws + [0] * (SHINGLE - len(ws)) if ws else [], np.int64))  # 0: no word, so fewer words are another shingle
+    n = np.array([max(0, len(r) - SHINGLE + 1) for r in rows], np.int64)
+    if not n.sum():
+        return [np.zeros(0, np.int64) for _ in texts], 0
+    flat, begin = np.concatenate(rows), np.cumsum([0, *[len(r) for r in rows[:-1]]])
+    doc = np.repeat(np.arange(len(rows)), n)
+    at = begin[doc] + np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    code = flat[at]
+    for k in range(1, SHINGLE):
+        code = np.unique(code * (len(number) + 1) + flat[at + k], return_inverse=True)[1]
+    order = np.lexsort((code, doc))
+    doc, code = doc[order], code[order]
+    first = np.r_[True, (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])]
+    use = np.arange(len(code)) - np.maximum.accumulate(np.where(first, np.arange(len(code)), 0))
+    names, element = np.unique(code * (int(use.max()) + 1) + use, return_inverse=True)
+    return np.split(element, np.cumsum(n)[:-1]), len(names)
+
+
+def exact_links(texts: list[str], side: list[int], similarity: float) -> tuple[list[int], list[int]]:
+    """Spanning forest of the links among texts (sides as in ``agreeing``), from their words."""
+    sets, numbers = shingle_elements(texts)
     size = np.array([len(s) for s in sets])
     forest, left, right = Forest(len(texts)), [], []
     kind = np.array(side)
@@ -266,7 +288,7 @@ def exact_links(texts: list[str], side: list[int], similarity: float) -> tuple[l
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(sets)), size)
     order = np.argsort(flat, kind="stable")
-    owner, at = owner[order], np.r_[0, np.cumsum(np.bincount(flat, minlength=len(number)))].astype(np.int64)
+    owner, at = owner[order], np.r_[0, np.cumsum(np.bincount(flat, minlength=numbers))].astype(np.int64)
 
     def common(i: int) -> np.ndarray:
         s = sets[i]
@@ -289,12 +311,13 @@ def exact_links(texts: list[str], side: list[int], similarity: float) -> tuple[l
 
 def text_links(members: DataFrame, similarity: float, tile: int) -> DataFrame:
     """(src, dst) prints: spanning forests of the exact links of (print, cluster, text)."""
-    tiles = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
+    tiles = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / tile), F.ceil(F.sum(F.length("text")) / TILE_CHARS)).cast("int").alias("tiles"))
     place = lambda o: F.struct(F.least(F.col("t"), o).alias("a"), F.greatest(F.col("t"), o).alias("b"), F.when(F.col("t") == o, 2).when(F.col("t") < o, 0).otherwise(1).alias("side"))
     rows = members.join(tiles, "cluster").withColumn("t", F.pmod(F.xxhash64("print"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("g", F.explode(F.transform(F.sequence(F.lit(0), F.col("tiles") - 1), place))).select("print", "text", "cluster", "g.*")
 
     def links(group: pd.DataFrame) -> pd.DataFrame:
+        only_for("near-dedup")
         prints = group["print"].tolist()
         left, right = exact_links(group["text"].tolist(), group["side"].tolist(), similarity)
         return pd.DataFrame({"src": [prints[i] for i in left], "dst": [prints[i] for i in right]}, dtype=object)
