@@ -9,7 +9,7 @@ range-joined under its own share, and what any block finds is verified exactly,
 double precision on the given components.
 
 Range join of a block: its first coordinate is cut into cells as wide as the block's
-radius, so partners are in the same or the next cell. A cell with more than ``tile``
+radius (and the slack that the claim of a block has), so partners are in the same or the next cell. A cell with more than ``tile``
 vectors is cut into tiles by a hash, and every pair of tiles of neighbouring cells is
 one task's group: two tiles at most in memory, however many vectors a cell holds.
 A pair that several blocks find counts in the first of them. A group returns one row
@@ -74,7 +74,7 @@ def cells(vectors: DataFrame, budget: float, parts: int) -> DataFrame:
                 t = _turned(v / np.abs(v).max(axis=1, keepdims=True))
                 edges = part_edges(int(dim), parts)
                 for p, (a, z) in enumerate(zip(edges, edges[1:])):
-                    width = np.sqrt(budget * (z - a) / dim) + SLACK
+                    width = np.sqrt(budget * (z - a) / dim + 2 * SLACK) + SLACK  # what a block claims, it must have met
                     yield pd.DataFrame({"key": g["key"], "dim": g["dim"], "part": p, "cell": np.floor(t[:, a] / width).astype(np.int64)})
 
     return vectors.select("key", "dim", "v").mapInPandas(deal, "key long, dim int, part int, cell long")

@@ -174,3 +174,27 @@ def test_minhash_query(spark):
     want = classes([t for _, t in docs])
     got = {r.doc_id: r.class_id for r in QUERIES["op9_minhash_dedup"](spark, sf).collect()}
     assert got == {d: docs[c][0] for (d, _), c in zip(docs, want)}
+
+
+def test_links_at_the_edge_of_a_block(spark):
+    """Pairs a share and a little apart, nearly all of it along the first coordinate of a block."""
+    from callweave.llm import op08_embeddings as op08
+    rng, rows, want, base = np.random.default_rng(11), [], {}, 0
+    for dim in (4, 8, 64):
+        turn, made = op08.rotation(dim), []
+        share = 0.2 * op08.part_edges(dim, op08.PARTS)[1] / dim
+        for _ in range(150):
+            a = rng.normal(size=dim)
+            a /= np.linalg.norm(a)
+            first = a[0] + np.sqrt(share + rng.uniform(-1, 1) * op08.SLACK)
+            if abs(first) < 1:
+                b = np.r_[first, a[1:] * np.sqrt((1 - first ** 2) / (1 - a[0] ** 2))]
+                made += [a @ turn.T, b @ turn.T]
+        v = np.array(made)
+        links = (v @ v.T >= 0.9).sum(axis=1) - 1
+        assert (links > 0).sum() > 60
+        rows += [(base + i, x.tolist()) for i, x in enumerate(v)]
+        want.update({base + i: int(n) for i, n in enumerate(links)})
+        base += 1_000
+    got = op08.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert {r.vec_id: r.n_links for r in got.collect()} == want
