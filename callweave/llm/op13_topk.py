@@ -62,7 +62,7 @@ def net(points: DataFrame, pivots: int, sample: int) -> dict[int, np.ndarray]:
     by a hash first, so that tasks send few however many tasks there are."""
     draw = F.shiftrightunsigned(F.xxhash64("vec_id", "x"), 1)
     share = min(1.0, 4 * sample / max(1, points.count()))
-    rows = points.where(draw <= int(share * LONG)).orderBy(draw, "x").limit(sample).select("x").collect()
+    rows = points.where(draw <= min(LONG, int(share * LONG))).orderBy(draw, "x").limit(sample).select("x").collect()
     by_dim: dict[int, list] = {}
     for r in rows:
         by_dim.setdefault(len(r["x"]), []).append(r["x"])
