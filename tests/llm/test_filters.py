@@ -1,7 +1,10 @@
+import random
 import re
 from collections import Counter
+from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from callweave.llm import op01_url_filters as u
 from callweave.llm import op03_quality as q
@@ -57,6 +60,70 @@ def test_mined_rules(spark):
     assert got == {(1, "block"): 2, (2, "allow"): 1, (3, "allow"): 1}
 
 
+def brute_rules(rows, tokens_of):
+    """The mined confidence by token set: items are tokens of the same labelled rows, every combination is counted."""
+    rows = [(tokens_of[url], label) for url, label in rows if label in ("allow", "block") and tokens_of[url]]
+    where = {}
+    for i, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(i)
+    items = {}
+    for t, at in where.items():
+        items.setdefault(frozenset(at), []).append(t)
+    bad = {i for i, (_, label) in enumerate(rows) if label == "block"}
+    rules = []
+    for size in range(1, 6):
+        for some in combinations(items, size):
+            at = frozenset.intersection(*some)
+            if len(at & bad) >= 5 and len(at & bad) / len(at) >= 0.6:
+                rules.append((frozenset(t for k in some for t in items[k]), len(at & bad) / len(at)))
+    return lambda tokens: max((c for r, c in rules if r <= tokens), default=None)
+
+
+def test_verdicts_equal_a_brute_force_miner(spark):
+    r = random.Random(4)
+    rows = [(f"http://{r.choice('ab')}.{r.choice(['net', 'fr'])}/{r.choice('pq')}/{r.choice('pst')}?{r.choice('uv')}=1", r.choice(["allow", "block", None])) for _ in range(150)]
+    rows += [(f"https://long.net/{'/'.join('xyz')}", "block")] * 5
+    urls = sorted({url for url, _ in rows} | {"http://other.net/x", "http://a.net/y/x/z", "x://q"}) * 2
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    tokens_of = {p.url: frozenset(p.t) for p in pages.select("url", u.url_tokens(F.col("url")).alias("t")).collect()}
+    best = brute_rules(rows, tokens_of)
+    got = u.filter_urls(pages, spark.createDataFrame(rows, "url string, label string")).collect()
+    assert len(got) == len(urls)
+    for g in got:
+        c = best(tokens_of[urls[g.page_id]])
+        assert (g.verdict, g.confidence) == ("block" if c else "allow", c), urls[g.page_id]
+    assert 0 < sum(g.verdict == "block" for g in got) < len(got)
+
+
+def test_mining_is_bounded_on_long_repeated_urls(spark):
+    """40 equal segments five times over are one item and one rule; 30 that differ by one segment each end too."""
+    same = "http://deep.net/" + "/".join(f"a{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40))
+    names = [f"b{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(30)]
+    rows = [(same, "block")] * 5 + [(f"http://g{'abcde'[i]}.net/x", "allow") for i in range(5)]
+    labelled = spark.createDataFrame(rows, "url string, label string")
+    rules = u.mine_rules(labelled).collect()
+    assert len(rules) == 1 and len(rules[0].tokens) == 41 and rules[0].confidence == 1.0 and rules[0].support == 0.5
+    near = [("http://deep.net/" + "/".join(n for n in names if n != out), "block") for out in names]
+    rules = {tuple(x.tokens) for x in u.mine_rules(spark.createDataFrame(near + rows[5:], "url string, label string")).collect()}
+    assert rules == {(f"path:{n}",) for n in names} | {("host:deep",), ("host:net", "scheme:http")}  # 30 of 30, and 30 of 35
+
+
+def test_support_is_a_number_at_every_size(spark):
+    """Five block rows of a host make a rule among ten rows and among ten thousand."""
+    labelled = spark.range(10_000).selectExpr("concat('http://h', translate(cast(id AS string), '0123456789', 'abcdefghij'), '.net/') AS url", "'allow' AS label").unionByName(
+        spark.range(5).selectExpr("'http://spam.net/' AS url", "'block' AS label"))
+    assert [tuple(r.tokens) for r in u.mine_rules(labelled).collect()] == [("host:spam",)]
+
+
+def test_common_token_sets_are_judged_by_broadcast(spark):
+    pages = spark.range(3000).selectExpr("id AS page_id", "CASE WHEN id % 3 = 0 THEN 'http://spam.net/a' WHEN id % 3 = 1 THEN null ELSE concat('http://h', translate(cast(id AS string), '0123456789', 'abcdefghij'), '.net/a') END AS url")
+    labelled = spark.createDataFrame([("http://spam.net/a", "block")] * 5 + [("http://x.net/a", "allow")] * 9, "url string, label string")
+    rows = u.filter_urls(pages, labelled).collect()
+    assert sorted(r.page_id for r in rows) == list(range(3000))
+    assert all((r.verdict == "block") == (r.page_id % 3 == 0) for r in rows)
+
+
 def test_matching_is_a_subset_test(spark):
     rules = [["a", "b"], ["b", "c", "d"], ["e"]]
     sets = [["a"], ["a", "b"], ["b", "c"], ["b", "c", "d", "e"], []]
