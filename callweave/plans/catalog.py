@@ -1146,4 +1146,4 @@ def q_graph_rerank(spark, sf_dir):
                     F.col("rank").cast("int"))
 
 
-from callweave.plans import corpus_queries, edge_queries, sink_queries  # noqa: E402,F401 - these register more queries
+from callweave.plans import corpus_queries, edge_queries, index_queries, sink_queries  # noqa: E402,F401 - these register more queries
