@@ -4,7 +4,9 @@ A lexicon is learned from labelled documents: words and word beginnings (stems)
 toxic documents use far more often than clean ones. Every distinct word of a text is
 run through Levenshtein automata intersected with the lexicon's trie, so misspelled
 terms are met too; misspellings that clean documents use are not counted. Each hit is
-scored by its window: a hit between quotation marks is a quotation, any other abuse.
+scored by its window, the line around it: a hit where a quotation is open that the same
+line closes is a quotation, any other abuse. The state of the marks is carried along the
+text in one pass, so a quotation may be of any length.
 A logistic model over the counts (exact or misspelled, quoted or not, by length),
 fitted on the same sample with a prior that hits count for toxicity, gives the score.
 
@@ -14,13 +16,16 @@ seeded order; those with crc32(doc_id) mod 4 = 2 are held out), and gives at mos
 whole texts, without a shuffle.
 
 Defined results: null and empty texts get the score of a text without hits; repeated
-rows are scored each; without toxic labels nothing is predicted toxic.
+rows are scored each; without toxic labels nothing is predicted toxic; an empty table
+gives no rows; of the other columns of a table none is read, whatever its name; a text
+of any length is read whole.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,9 +40,8 @@ from callweave.llm.lexicon import FuzzyLexicon
 
 SAMPLE, TERMS, THRESHOLD = 10_000, 4_000, 0.3
 #: a term's odds in toxic documents, and the evidence (log-likelihood ratio) against chance among all words tried
-MIN_LOG_ODDS, MIN_EVIDENCE = 3.0, 14.0
+MIN_LOG_ODDS, MIN_EVIDENCE = 2.0, 14.0
 SHORTEST, STEMS = 4, (4, 5, 6, 7, 8)
-WINDOW = 80
 #: words remembered by a task: a full memory is emptied (bounded memory, same results)
 MEMORY = 500_000
 #: words may hold digits and underscores between letters (a letter swapped for a digit); the runs of letters in them are read too
@@ -51,6 +55,25 @@ def is_quoted(before: str, after: str) -> bool:
     return straight and '"' in after or curly and any(c in after for c in "”“»")
 
 
+_MARKS = re.compile('["“„«”»\n]')
+
+
+def quotations(text: str) -> tuple[list[int], list[bool]]:
+    """Places of the quotation marks and line ends of a text, and for the stretch before each of
+    them, and after the last, whether ``is_quoted`` holds there for its line."""
+    marks = [(m.start(), m[0]) for m in _MARKS.finditer(text)]
+    opened, straight, curly = [], False, False
+    for _, c in marks:
+        opened.append((straight, curly))
+        straight, curly = (False, False) if c == "\n" else (not straight, curly) if c == '"' else (straight, c in "“„«")
+    opened.append((straight, curly))
+    closes, straight, curly = [(False, False)], False, False
+    for _, c in reversed(marks):
+        straight, curly = (False, False) if c == "\n" else (straight or c == '"', curly or c in "”“»")
+        closes.append((straight, curly))
+    return [at for at, _ in marks], [o[0] and c[0] or o[1] and c[1] for o, c in zip(opened, reversed(closes))]
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
@@ -191,11 +214,10 @@ class Scorer:
         ws = _WORD.findall(low)
         met = self.met(set(ws))
         if met:
+            marks, quoted = quotations(low)
             for m in _WORD.finditer(low):
-                for a, b, e in self.hits[m[0]] if m[0] in met else ():
-                    start, end = m.start() + a, m.start() + b
-                    before, after = low[max(0, start - WINDOW):start], low[end:end + WINDOW]
-                    n[2 * (e > 0) + is_quoted(before, after)] += 1
+                for a, _, e in self.hits[m[0]] if m[0] in met else ():
+                    n[2 * (e > 0) + quoted[bisect_left(marks, m.start() + a)]] += 1
         return [1.0, *(math.log1p(x) for x in n), math.log1p(sum(n)) / math.log(2 + len(ws))]
 
     def score(self, text: str | None) -> float:
@@ -230,6 +252,11 @@ def fit_weights(x: np.ndarray, y: np.ndarray, strength: float = 1.0) -> list[flo
     return [float(v) for v in w]
 
 
+def never_against(weights: list[float]) -> list[float]:
+    """A hit, or a share of hits, never speaks for a clean text: weights below zero are zero."""
+    return [weights[0], *(max(0.0, w) for w in weights[1:])]
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int = TERMS):
     """Broadcast of what a Scorer needs (words, stems, harmless words, weights): bounded by
     ``terms`` and by the sample."""
@@ -264,7 +291,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, terms: int =
     rows = some.where(~half).mapInArrow(features, "toxic int, f array<double>").groupBy("toxic", "f").count().collect()  # of at most 2 * sample rows
     x = np.array([r["f"] for r in rows for _ in range(r["count"])], float).reshape(-1, len(PRIOR))
     y = np.array([r["toxic"] for r in rows for _ in range(r["count"])], float)
-    return spark.sparkContext.broadcast((whole, stems, misspellings(some), fit_weights(x, y)))
+    return spark.sparkContext.broadcast((whole, stems, misspellings(some), never_against(fit_weights(x, y))))
 
 
 def with_scores(docs: DataFrame, model, text_col: str = "text", score_col: str = "score") -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from bisect import bisect_left
 from collections import Counter
 from itertools import combinations
 
@@ -298,6 +299,27 @@ def test_quotations():
     assert not x.is_quoted('"a" and you ', ' are') and not x.is_quoted('he said "you', " are")
 
 
+def test_quotations_are_carried_along_a_line():
+    r = random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice('ab""“”„«»\n') for _ in range(r.randrange(30)))
+        marks, quoted = x.quotations(text)
+        for i, c in enumerate(text):
+            if c in "ab":
+                line = text.rfind("\n", 0, i) + 1
+                assert quoted[bisect_left(marks, i)] == x.is_quoted(text[line:i], text[i + 1:].split("\n")[0]), (text, i)
+    s = x.Scorer(["blockhead"], [], set(), x.PRIOR)
+    kind = lambda text: [i for i, v in enumerate(s.features(text)[1:5]) if v]
+    far = "w " * 100
+    assert kind(f'he said "{far} blockhead {far}" then') == [1]  # a long quotation
+    assert kind(f'he said "{far}", blockhead, and "then"') == [0]  # closed before, however near
+    assert kind(f'an open " mark\nyou blockhead\nand " one') == [0]
+
+
+def test_hits_never_speak_against():
+    assert x.never_against([-5.0, 4.0, -0.1, -2.0, 1.0, 0.0]) == [-5.0, 4.0, 0.0, 0.0, 1.0, 0.0]
+
+
 def toxic_corpus(n=160):
     import random
     r, texts, toxic = random.Random(7), [], []
@@ -376,4 +398,4 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op5_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in labels]
     hit = Counter((labels[r.doc_id], r.predicted) for r in rows)
-    assert hit[1, 1] >= 0.8 * (hit[1, 0] + hit[1, 1]) and hit[0, 1] <= 0.02 * (hit[0, 0] + hit[0, 1])
+    assert hit[1, 1] >= 0.9 * (hit[1, 0] + hit[1, 1]) and hit[0, 1] <= 0.02 * (hit[0, 0] + hit[0, 1])
