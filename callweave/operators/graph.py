@@ -576,11 +576,12 @@ def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
 # --------------------------------------------------------------- G13, R10
 def critical_functions(graph: DataFrame, edges: DataFrame, max_depth: int = DEFAULT_CONTEXT_DEPTH,
                        id_col: str = "lookup_id") -> DataFrame:
-    """Rank by dependents, then by transitive callers within ``max_depth`` hops."""
-    callers = (reachable(edges, graph.select(id_col), max_depth, reverse=True, id_col=id_col)
-               .where(F.col("hops") > 0).groupBy("target")
-               .agg(F.count(F.lit(1)).alias("transitive_callers"))
-               .withColumnRenamed("target", id_col))
+    """Rank by dependents, then by transitive callers within ``max_depth`` hops, which
+    are counted as sets of bits (``bitsets``), not as a row for each function and caller."""
+    from callweave.operators.bitsets import reach_counts
+    callers = (reach_counts(edges, graph, max_depth, reverse=True, id_col=id_col)
+               .where(F.col("hops") > 0).groupBy(id_col)
+               .agg(F.sum("functions").alias("transitive_callers")))
     g = (graph.select(id_col, "in_degree").join(callers, id_col, "left")
          .withColumn("transitive_callers", F.coalesce("transitive_callers", F.lit(0))))
     return global_dense_rank(g, ["in_degree", "transitive_callers"], [False, False],

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from callweave.fixed import CONFIDENCE_HIGH, CONFIDENCE_LOW, CONFIDENCE_MEDIUM, SPACE_CLASS
 from callweave.functions import prompts as PR
 from callweave.functions import text as TX
+from callweave.operators import bitsets as BS
 from callweave.operators import cycles as CY
 from callweave.operators import factorised as FC
 from callweave.operators import graph as G
@@ -198,6 +199,18 @@ def q_critical_functions(spark, sf_dir):
             .select("lookup_id", "in_degree", "transitive_callers", "criticality_rank")
 
 
+@register("impact_profile", f"""WITH RECURSIVE {DAG_CTES},
+anc(target, node, hops) AS (
+  SELECT lookup_id, lookup_id, 0 FROM dag_nodes
+  UNION SELECT a.target, e.src, a.hops + 1 FROM anc a JOIN dag_edges e ON e.dst = a.node
+  WHERE a.hops < 3),
+anc_min AS (SELECT target, node, min(hops) AS hops FROM anc GROUP BY 1, 2)
+SELECT target AS lookup_id, CAST(hops AS INTEGER) AS hops, count(*) AS functions FROM anc_min GROUP BY 1, 2""")
+def q_impact_profile(spark, sf_dir):
+    """G12 for every function: how many functions a change of it meets, by hops."""
+    return BS.reach_counts(dag_edges_known(spark, sf_dir), dag_degrees(spark, sf_dir), 3, reverse=True)
+
+
 # ------------------------------------------------------ J1, J2, J3 on fn
 FN_CTES = f"""
 fn AS MATERIALIZED ({S.FN_SQL}),
