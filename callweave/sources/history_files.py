@@ -37,13 +37,17 @@ def _count(text: Column, chars: str) -> Column:
 def _with_before(pieces: DataFrame, **columns: Column) -> DataFrame:
     """Adds for each named column its sum over the pieces before, in the order of the document.
     Sums run within a split; a split's offset is summed from one row a split."""
+    return _running(pieces, F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), columns)
+
+
+def _running(pieces: DataFrame, total, both_of, columns: dict[str, Column]) -> DataFrame:
     df = pieces.select("*", *(c.cast("long").alias(f"_{name}") for name, c in columns.items()))
     inside = Window.partitionBy("file", "block").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy("file", "block").agg(*(F.sum(f"_{n}").alias(n) for n in columns))
-    offsets = totals.select("file", "block", *(F.coalesce(F.sum(n).over(splits), F.lit(0)).alias(f"_{n}_off") for n in columns))
-    both = df.select("*", *(F.coalesce(F.sum(f"_{n}").over(inside), F.lit(0)).alias(f"_{n}_in") for n in columns)).join(offsets, ["file", "block"])
-    return both.select(*pieces.columns, *((F.col(f"_{n}_in") + F.col(f"_{n}_off")).alias(n) for n in columns))
+    totals = df.groupBy("file", "block").agg(*(total(f"_{n}").alias(n) for n in columns))
+    offsets = totals.select("file", "block", *(total(n).over(splits).alias(f"_{n}_off") for n in columns))
+    both = df.select("*", *(total(f"_{n}").over(inside).alias(f"_{n}_in") for n in columns)).join(offsets, ["file", "block"])
+    return both.select(*pieces.columns, *(both_of(F.col(f"_{n}_in"), F.col(f"_{n}_off")).alias(n) for n in columns))
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -80,13 +84,17 @@ def read_history_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     plain = F.regexp_replace("text", r"(?s)\\.", "")  # without escapes
     p = _with_before(_pieces(spark, path), quotes=_count(plain, '"')).withColumn("quotes", F.col("quotes") % 2)
     outside = F.regexp_replace(F.concat(F.when(F.col("quotes") == 1, '"').otherwise(""), plain), '"[^"]*("|$)', "")
-    p = _with_before(p, depth=_count(outside, "{[") - _count(outside, "}]"))
+    p = p.withColumn("outside", outside).withColumn("deeper", _count(F.col("outside"), "{[") - _count(F.col("outside"), "}]"))
+    p = _with_before(p, depth=F.col("deeper"), number=F.lit(1))
 
-    # the two depths of a document at which its own text stands; within a record there is nothing to look for
-    tokens = F.when(F.col("depth") <= RECORD_DEPTH, F.regexp_extract_all("text", F.lit(r'(?s)\\.|["\[\]{}]|[^"\\\[\]{}]+|\\'), F.lit(0)))
+    # a record opens at depth 2; a piece that begins deeper must come up to it by a list's end first
+    tokens = F.when((F.col("depth") <= RECORD_DEPTH) | F.col("outside").rlike(r"(?s)\].*\{"), F.regexp_extract_all("text", F.lit(r'(?s)\\.|["\[\]{}]|[^"\\\[\]{}]+|\\'), F.lit(0)))
     p = p.withColumn("tokens", tokens)
     p = p.withColumn("start", F.coalesce(_start(F.col("tokens"), F.col("depth"), F.col("quotes")), F.lit(0)))
     opens = F.col("start") > 0
+    # whether a piece begins in a record: the last piece before that opened one or came up to depth 2 tells
+    told = F.when(F.col("depth") + F.col("deeper") <= RECORD_DEPTH, 2 * F.col("number")).when(opens, 2 * F.col("number") + 1)
+    p = _running(p, F.max, F.greatest, {"told": told}).withColumn("within", F.coalesce(F.col("told") % 2 == 1, F.lit(False)))
     p = p.withColumn("head", F.when(opens, F.array_join(F.slice("tokens", F.lit(1), F.greatest(F.col("start") - 1, F.lit(0))), "")))
     # a record that only a comma parts from the one before belongs to its run
     first = opens & ~((F.col("depth") == RECORD_DEPTH) & F.col("head").rlike(r"^\s*,\s*$"))
@@ -94,9 +102,9 @@ def read_history_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     p = _with_before(p, record=opens.cast("int"), run=F.col("first").cast("int"))
     p = p.withColumn("record", F.col("record") + opens.cast("int")).withColumn("run", F.col("run") + F.col("first").cast("int"))
 
-    own = F.when(opens, F.array_join(F.slice("tokens", F.greatest(F.col("start"), F.lit(1)), F.size("tokens") + 1), "")).when(F.col("depth") > RECORD_DEPTH, F.col("text"))
+    own = F.when(opens, F.array_join(F.slice("tokens", F.greatest(F.col("start"), F.lit(1)), F.size("tokens") + 1), "")).when(F.col("within"), F.col("text"))
     mark = F.concat("head", F.lit('{"#":'), F.col("run").cast("string"), F.lit("}"))
-    left = F.when(F.col("first"), mark).when(~opens & (F.col("depth") <= RECORD_DEPTH), F.col("text"))
+    left = F.when(F.col("first"), mark).when(~opens & ~F.col("within"), F.col("text"))
     p = cut_lineage(p.select("file", "block", "at", "record", "run", own.alias("own"), left.alias("left")))
 
     records = (p.where("own IS NOT NULL").groupBy("file", "record")

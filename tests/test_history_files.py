@@ -34,6 +34,7 @@ FILES = {
     "indented.json": json.dumps(doc(60), indent=2, ensure_ascii=False),
     "line.json": json.dumps(doc(45)) + "\n",
     "tight.json": json.dumps(doc(7), separators=(",", ":")),
+    "lists.json": '{"a": {"of": [{"id": 1}, [{"id": 2}]], "b": [[], {}], "c": {"d": [{}]}}, "analyses": [{"id": 800, "x": [{}, [{}], {"y": [[{}]]}]}, {"id": 801}], "z": {"of": [{"id": 1}]} }',
     "none.json": json.dumps(doc(0)),
     "nulls.json": '{"analyses": [null, {"id": 900}, null, {"id": 901}, {"id": 902}], "x": 1}',
     "no_key.json": json.dumps({"entries": [analysis(1), analysis(2)], "version": "1"}),
@@ -63,7 +64,7 @@ def test_equal_to_the_whole_reader(spark, split):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert got[1] == want[1]
-    assert got[0] == want[0] and len(got[0]) == 60 + 45 + 7 + 5
+    assert got[0] == want[0] and len(got[0]) == 60 + 45 + 7 + 2 + 5
 
 
 def test_a_document_is_read_by_several_tasks(spark):
