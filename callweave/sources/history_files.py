@@ -85,10 +85,11 @@ def read_history_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataF
     p = _with_before(_pieces(spark, path), quotes=_count(plain, '"')).withColumn("quotes", F.col("quotes") % 2)
     outside = F.regexp_replace(F.concat(F.when(F.col("quotes") == 1, '"').otherwise(""), plain), '"[^"]*("|$)', "")
     p = p.withColumn("outside", outside).withColumn("deeper", _count(F.col("outside"), "{[") - _count(F.col("outside"), "}]"))
-    p = _with_before(p, depth=F.col("deeper"), number=F.lit(1))
-
     # a record opens at depth 2; a piece that begins deeper must come up to it by a list's end first
-    tokens = F.when((F.col("depth") <= RECORD_DEPTH) | F.col("outside").rlike(r"(?s)\].*\{"), F.regexp_extract_all("text", F.lit(r'(?s)\\.|["\[\]{}]|[^"\\\[\]{}]+|\\'), F.lit(0)))
+    p = p.withColumn("listed", F.col("outside").rlike(r"(?s)\].*\{")).drop("outside")
+    p = cut_lineage(_with_before(p, depth=F.col("deeper"), number=F.lit(1)))  # each sum reads its input twice
+
+    tokens = F.when((F.col("depth") <= RECORD_DEPTH) | F.col("listed"), F.regexp_extract_all("text", F.lit(r'(?s)\\.|["\[\]{}]|[^"\\\[\]{}]+|\\'), F.lit(0)))
     p = p.withColumn("tokens", tokens)
     p = p.withColumn("start", F.coalesce(_start(F.col("tokens"), F.col("depth"), F.col("quotes")), F.lit(0)))
     opens = F.col("start") > 0
