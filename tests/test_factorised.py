@@ -192,3 +192,56 @@ def test_path_counts_and_both_ways_of_walking(spark, monkeypatch, n, m, seed):
         counts = G.call_path_counts(edges, roots, targets, depth)
         assert {r.target: r.call_paths_count for r in counts.collect()} == want
         assert "path" not in counts.columns
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_sums_through_names_are_those_of_the_edges(spark, seed):
+    f = functions(spark, 40, 12, 4, seed)
+    two, edges = FC.factorise(f), G.resolve_calls(f).cache()
+    nodes = f.select("lookup_id")
+    some = nodes.where("lookup_id < 'f012'")
+    roots = FC.degrees(nodes, two).where("is_root").select("lookup_id")
+    for begin in (roots, nodes.where("lookup_id >= 'f030'")):  # roots that have callers too
+        for depth in (2, 3):
+            assert rows(FC.call_path_counts(two, begin, some, depth)) == rows(G.call_path_counts(edges, begin, some, depth))
+    assert rows(FC.mutual_pairs(two)) == rows(G.mutual_pairs(edges))
+    assert rows(FC.cyclic_core(two)) == rows(G.cyclic_core(edges))
+    for depth in (1, 3):
+        want = G.reachable(edges, some, depth, reverse=True).groupBy("target", "hops").count()
+        assert rows(FC.caller_counts(two, some, depth)) == rows(want)
+    both = {(a, b) for a, b in rows(edges)} | {(b, a) for a, b in rows(edges)}
+    assert rows(FC.linked(two, some)) == sorted(p for p in both if p[0] < "f012")
+    twice = f.unionByName(f.where("lookup_id < 'f009'"))
+    again = FC.factorise(twice)
+    assert rows(FC.degrees(nodes, again, repeats=True)) == rows(G.degrees(nodes, G.resolve_calls(twice)))
+    assert rows(FC.mutual_pairs(again)) == rows(G.mutual_pairs(G.resolve_calls(twice)))
+
+
+def test_ids_of_two_names(spark):
+    f = spark.createDataFrame([("a", "x", ["y", "z"]), ("b", "y", ["x"]), ("b", "z", ["x", "y"]), ("c", "z", [])], "lookup_id string, name string, calls array<string>")
+    two, edges = FC.factorise(f), G.resolve_calls(f)
+    some = f.select("lookup_id").distinct()
+    assert not FC.one_name(two)
+    assert rows(FC.mutual_pairs(two)) == rows(G.mutual_pairs(edges))
+    assert rows(FC.call_path_counts(two, some, some, 2)) == rows(G.call_path_counts(edges, some, some, 2))
+    assert rows(FC.caller_counts(two, some, 2)) == rows(G.reachable(edges, some, 2, reverse=True).groupBy("target", "hops").count())
+
+
+def test_context_and_rerank_through_names(spark):
+    from callweave.operators import search as SR
+    f = functions(spark, 40, 12, 4, 5)
+    two, edges = FC.factorise(f), G.resolve_calls(f)
+    nodes = f.selectExpr("lookup_id", "name", "name AS file_name", "name AS module_name", "true AS is_async", "false AS has_error_handling")
+    hits = spark.createDataFrame([(1, "f001", 8.0), (1, "f002", 3.0), (2, "f002", 5.0), (2, "f030", 5.0)], "query_id long, lookup_id string, score double")
+    for depth in (2,):
+        assert rows(SR.with_graph_context(hits, two, nodes, depth)) == rows(SR.with_graph_context(hits, edges, nodes, depth))
+    assert rows(SR.graph_rerank(hits, two)) == rows(SR.graph_rerank(hits, edges))
+
+
+def test_no_list_is_broadcast(spark):
+    f = functions(spark, 40, 12, 4, 6)
+    plan = FC.nested_call_ids(f, FC.factorise(f))._jdf.queryExecution().executedPlan().toString()
+    lists = [line for line in plan.splitlines() if "BroadcastHashJoin [lookup_id" in line or "BroadcastHashJoin [name" in line and "Inner" in line]
+    assert not lists and plan.count("SortMergeJoin") >= 2
+    assert rows(FC.nested_call_ids(f, FC.calls_of(FC.factorise(f), f.where("lookup_id = 'f001'"))).where("lookup_id = 'f001'").select("nested_call_ids")) == \
+        rows(FC.nested_call_ids(f, FC.factorise(f)).where("lookup_id = 'f001'").select("nested_call_ids"))
