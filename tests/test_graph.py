@@ -313,3 +313,15 @@ def test_random_dag_against_python(spark, seed):
     assert paths == want
     for p in paths:  # properties: endpoints, no repeats, bounded length
         assert p[0] in roots and len(set(p)) == len(p) and len(p) <= 4
+
+
+def test_heavy_keys_are_salted(spark, monkeypatch):
+    hub = [("h", f"x{i}") for i in range(30)] + [(f"x{i}", f"y{i % 7}") for i in range(30)]
+    edges, targets = _edges(spark, hub), _nodes(spark, ["h", "x3"])
+    base = sorted(map(tuple, G.reachable(edges, targets, 2).collect()))
+    monkeypatch.setattr(G, "HOT", 5)
+    e = G._Expander(edges, "src")
+    assert [r[0] for r in e.hot.collect()] == ["h"] and e.laid.where("src = 'h'").select("_salt").distinct().count() > 1
+    assert e.laid.where("src <> 'h'").agg({"_salt": "max"}).first()[0] == 0
+    e.close()
+    assert sorted(map(tuple, G.reachable(edges, targets, 2).collect())) == base
