@@ -16,7 +16,7 @@ from callweave.functions import text as TX
 from callweave.operators import extract as X
 from callweave.operators import graph as G
 from callweave.plans.catalog import register
-from callweave.session import spread
+from callweave.session import materialized, spread
 from callweave.sources import corpus as C
 from callweave.sources.tables import table
 
@@ -85,6 +85,11 @@ def extracted(spark, sf_dir: str) -> DataFrame:
     return X.functions_from(X.extract(source_corpus(spark, sf_dir)))
 
 
+def extracted_calls(spark, sf_dir: str) -> DataFrame:
+    """What the call graph reads of the functions: the files are parsed once, however often it is joined."""
+    return materialized(spark, ("corpus_calls", sf_dir), lambda: extracted(spark, sf_dir).select("lookup_id", "name", "calls"))
+
+
 def joined(c: str) -> Column:
     return F.array_join(c, ",")
 
@@ -116,7 +121,7 @@ CALLS_SQL = "calls AS (SELECT name, unnest(string_split(calls, ',')) AS call FRO
 @register("corpus_edges", f"""WITH {FILES_SQL}, {CALLS_SQL}
 SELECT c.name AS caller, f.name AS callee FROM calls c JOIN fns f ON c.call = f.name WHERE c.name <> f.name""")
 def q_corpus_edges(spark, sf_dir):
-    f = extracted(spark, sf_dir)
+    f = extracted_calls(spark, sf_dir)
     names = f.select("lookup_id", "name")
     return (G.resolve_calls(f).join(names.select(F.col("lookup_id").alias("src"), F.col("name").alias("caller")), "src")
             .join(names.select(F.col("lookup_id").alias("dst"), F.col("name").alias("callee")), "dst").select("caller", "callee"))
@@ -125,5 +130,5 @@ def q_corpus_edges(spark, sf_dir):
 @register("corpus_external_calls", f"""WITH {FILES_SQL}, {CALLS_SQL}
 SELECT name, call FROM calls WHERE call NOT IN (SELECT name FROM fns) AND call NOT IN ('len', 'print')""")
 def q_corpus_external_calls(spark, sf_dir):
-    f = extracted(spark, sf_dir)
+    f = extracted_calls(spark, sf_dir)
     return G.external_calls(f).join(f.select("lookup_id", "name"), "lookup_id").select("name", "call")
