@@ -325,3 +325,40 @@ def test_heavy_keys_are_salted(spark, monkeypatch):
     assert e.laid.where("src <> 'h'").agg({"_salt": "max"}).first()[0] == 0
     e.close()
     assert sorted(map(tuple, G.reachable(edges, targets, 2).collect())) == base
+
+
+def test_known_ends_move_no_edges(spark, monkeypatch):
+    """Edges whose ends are all nodes are not joined to the nodes; few or many ends without one go, nulls too."""
+    edges = _edges(spark, [("a", "b"), ("a", "zz"), ("yy", "b"), (None, "b"), ("a", None), ("b", "a"), ("b", "a")])
+    nodes = _nodes(spark, ["a", "b"])
+    for few in (G.FEW, 1):
+        monkeypatch.setattr(G, "FEW", few)
+        assert sorted(map(tuple, G.keep_known_endpoints(edges, nodes).collect())) == [("a", "b"), ("b", "a"), ("b", "a")]
+    known = G.keep_known_endpoints(_edges(spark, [("a", "b"), ("b", "a")]), nodes)
+    assert "Join" not in known._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rounds_sort_no_edges(spark):
+    """The kept edges are sorted as they are laid: a round sorts its frontier only."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        e = G._Expander(_edges(spark, AUTH_EDGES), "src")
+        joined = e.join(_nodes(spark, AUTH_IDS).withColumnRenamed("lookup_id", "node"), "node")
+        assert joined.count() == len(AUTH_EDGES)
+        assert joined._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0].count("Sort [") == 1
+        e.close()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_edges_that_come_twice(spark):
+    """An edge that comes twice counts twice as a degree and changes neither depths nor path counts."""
+    pairs = [("r", "a"), ("r", "a"), ("a", "b"), ("r", "b"), ("b", "c"), ("c", "b"), ("c", "b"), ("b", "d"), ("r", "r2"), ("r2", "d")]
+    ids = sorted({x for p in pairs for x in p})
+    nodes, twice, once = _nodes(spark, ids), _edges(spark, pairs), _edges(spark, sorted(set(pairs)))
+    rows = {r.lookup_id: r for r in G.build_graph(nodes, twice).collect()}
+    assert rows["r"].out_degree == 4 and rows["a"].in_degree == 2
+    assert {i: (r.depth_level, r.depth_capped) for i, r in rows.items()} == {r.lookup_id: (r.depth_level, r.depth_capped) for r in G.build_graph(nodes, once).collect()}
+    counted = lambda e: sorted(map(tuple, G.call_path_counts(e, _nodes(spark, ["r", "b"]), nodes, 3).collect()))
+    listed = G.call_paths(once, _nodes(spark, ["r", "b"]), nodes, 3).groupBy("target").count()
+    assert counted(twice) == counted(once) == sorted(map(tuple, listed.collect()))
