@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from callweave.operators import factorised as FC
 from callweave.operators import fuzzy as Z
+from callweave.operators import lookup as L
 from callweave.operators import trigrams as TG
 from callweave.operators import vector as V
 from callweave.operators import vector_index as I
 from callweave.plans import standins as S
-from callweave.plans.catalog import FN_CTES, FN_LOOKUP_SQL, VEC_TOPK_SQL, fn_lookup, register
+from callweave.plans.catalog import FN_CTES, FN_LOOKUP_SQL, VEC_TOPK_SQL, register
 from callweave.session import materialized, scratch_path
 
 # every function is asked by its name without the third letter, whole and up to the slash
@@ -106,5 +108,8 @@ SELECT query, lookup_id, score, rank FROM (
   FROM s WHERE score > 0) WHERE rank <= 5""")
 def q_relevance_table(spark, sf_dir):
     """K1 for a table of queries."""
-    asked = _asked(S.fn(spark, sf_dir), WORDS).distinct().select(F.col("asked").alias("query_id"), F.col("asked").alias("query"))
-    return TG.most_relevant_for(fn_lookup(spark, sf_dir), asked, 5).select("query", "lookup_id", "score", "rank")
+    fns = S.fn_unwritten(spark, sf_dir)
+    asked = _asked(fns, WORDS).distinct().select(F.col("asked").alias("query_id"), F.col("asked").alias("query"))
+    # the lookup table as a plan: the lists of calls and of nested ids, which no column here needs, are not made
+    lookup = L.lookup_table(FC.nested_call_ids(fns, FC.factorise(fns)), keep=("seq",))
+    return TG.most_relevant_for(lookup, asked, 5).select("query", "lookup_id", "score", "rank")

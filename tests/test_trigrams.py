@@ -59,3 +59,19 @@ def test_common_groups_are_dealt(spark):
     index = TG.text_index(fns(spark, [f"get_{i}" for i in range(400)]), "name")
     salts = index.where("gram = 'get'").groupBy("salt").agg(F.count(F.lit(1)).alias("n")).collect()
     assert len(salts) == TG.SALTS and max(s.n for s in salts) < 100
+
+
+def test_relevance_table_makes_no_lists(spark, monkeypatch):
+    """No column of the answer needs the lists of calls or of nested ids, so neither is made or stored."""
+    from callweave.plans import catalog, index_queries
+    from callweave.plans import standins as S
+    from tests.conftest import SF001
+
+    def stored(*_):
+        raise AssertionError("a table is stored")
+    for module in (S, catalog, index_queries):
+        monkeypatch.setattr(module, "materialized", stored)
+    df = index_queries.q_relevance_table(spark, SF001)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan and "lead(" not in plan
+    assert df.count() > 0
