@@ -245,3 +245,18 @@ def test_no_list_is_broadcast(spark):
     assert not lists and plan.count("SortMergeJoin") >= 2
     assert rows(FC.nested_call_ids(f, FC.calls_of(FC.factorise(f), f.where("lookup_id = 'f001'"))).where("lookup_id = 'f001'").select("nested_call_ids")) == \
         rows(FC.nested_call_ids(f, FC.factorise(f)).where("lookup_id = 'f001'").select("nested_call_ids"))
+
+
+def test_lines_are_paired_by_number_and_part(spark, tmp_path, monkeypatch):
+    """Suppliers and prices of tied lines change no pair: they are not read, with many lines an order too."""
+    from callweave.plans import standins as S
+    lines = [(1, 1, 10, 7, 2.0), (1, 1, 10, 3, 9.0), (1, 1, 11, 1, 1.0), (1, 2, None, 5, 5.0), (1, 3, 12, 1, 1.0), (1, 3, 12, 1, 1.0), (2, 1, 12, 2, 1.0), (2, 2, 10, 2, 1.0), (None, 1, 11, 1, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, f"n{k}", "b") for k in (10, 11, 12)], "p_partkey long, p_name string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    want = [("P10", "n10/b"), ("P10", "n11/b"), ("P12", "n10/b"), ("P12", "n12/b"), (None, "n12/b")]
+    for most in (S.HOT_ORDER_LINES, 3):
+        monkeypatch.setattr(S, "HOT_ORDER_LINES", most)
+        calls = S.fn_calls(spark, str(tmp_path))
+        assert sorted(map(tuple, calls.collect()), key=repr) == sorted(want, key=repr)
+        plan = [x for x in calls._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" not in x]
+        assert not any(c in x for x in plan for c in ("l_suppkey", "l_extendedprice"))
