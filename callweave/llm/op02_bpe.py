@@ -1,7 +1,8 @@
 """BPE encoding and decoding of whole documents (operator 2).
 
 A map over the documents; no shuffle. Each Python worker keeps the automaton and a
-bounded memory of words (``bpe.MEMORY`` entries), whatever the size of the input.
+bounded memory of words (``bpe.MEMORY`` entries), whatever the size of the input; what
+goes back to Spark is made ``ROWS`` documents at a time, not a whole batch of texts.
 
 Defined results: a null text counts as empty and gives no ids; repeated rows are
 encoded each; columns of the input are kept by ``encode_documents`` (its ``ids``
@@ -23,6 +24,13 @@ import numpy as np
 from callweave.llm.bpe import word_tokenizer
 from callweave.llm.common import prepare_python, vocabulary
 
+#: documents whose ids and decoded texts are held at once
+ROWS = 64
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS))
+
 
 def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """The documents with the ids of their texts (array of int)."""
@@ -35,7 +43,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, text_col: str = "text
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with word_tokenizer(spec.value) as t:
-            for b in batches:
+            for b in _slices(batches):
                 ids = [np.frombuffer(t.encode(x.as_py()), "<u4").astype("i4") for x in b.column(at)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.list_(pa.int32()))], [*b.schema.names, ids_col])
 
@@ -53,7 +61,7 @@ def decode_documents(encoded: DataFrame, tokenizer_path: str, ids_col: str = "id
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with word_tokenizer(spec.value) as t:
-            for b in batches:
+            for b in _slices(batches):
                 out = [t.decode(np.array(x.as_py() or [], "<u4").tobytes()) for x in b.column(at)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text_col])
 
@@ -72,7 +80,7 @@ def round_trip_rows(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with word_tokenizer(spec.value) as t:
-            for b in batches:
+            for b in _slices(batches):
                 raw = [t.encode(x.as_py()) for x in b.column(at)]
                 new = [pa.array([np.frombuffer(i, "<u4").astype("i4") for i in raw], pa.list_(pa.int32())), pa.array([len(i) // 4 for i in raw], pa.int64()),
                        pa.array([hashlib.sha256(t.decode(i).encode()).hexdigest() for i in raw], pa.string())]

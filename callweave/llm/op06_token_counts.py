@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from callweave.llm.bpe import MEMORY, SPACE, prefix_bpe, byte_letters
+from callweave.llm.bpe import SPACE, prefix_bpe, byte_letters
 from callweave.llm.common import prepare_python, vocabulary, written
 
 COMMON, SAMPLE = 131_072, 20_000
+#: pre-tokens kept with their counts; a full memory is emptied
+MEMORY = 400_000
 TOKEN_LIMIT = 512
 
 #: fixed value: the byte-level pattern of the vocabulary, with the white space spelt out

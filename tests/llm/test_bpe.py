@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from callweave.llm import op02_bpe, op06_token_counts
@@ -54,6 +55,30 @@ def test_memory_is_bounded(monkeypatch):
     assert len(t.words) <= 3 and len(t.bpe.memory) <= 3
 
 
+def test_words_in_use_outlive_a_full_memory(monkeypatch):
+    import callweave.llm.bpe as m
+    monkeypatch.setattr(m, "MEMORY", 20)
+    t = WordTokenizer(open(WORD).read())
+    asked, pieces = [], t._pieces
+    monkeypatch.setattr(t, "_pieces", lambda w: asked.append(w) or pieces(w))
+    want = [t.encode(f"often word{i}") for i in range(60)]
+    assert asked.count("often") == 1 and len(t.words) <= 10 and len(t.older) <= 10
+    t.forget()
+    assert not (t.words or t.older or t.bpe.memory)
+    assert [t.encode(f"often word{i}") for i in range(60)] == want
+
+
+def test_ids_go_back_some_documents_at_a_time(spark, monkeypatch):
+    """A batch of Spark's holds up to 8 MB of texts; ids and decoded texts of all of it are not made at once."""
+    docs = documents(spark, odd_texts(3, 150)).select("doc_id", "text")
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in docs.collect()], pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: f)
+    for rows in (op02_bpe.round_trip_rows, op02_bpe.encode_documents):
+        out = list(rows(docs, WORD)(iter([batch, batch.slice(0, 0)])))
+        assert max(b.num_rows for b in out) <= op02_bpe.ROWS < batch.num_rows
+        assert [i for b in out for i in b.column(0).to_pylist()] == batch.column(0).to_pylist()
+
+
 def test_encode_decode_frames(spark, word_library):
     texts = odd_texts()
     docs = documents(spark, texts).selectExpr("*", "'mine' AS ids", "1 AS decoded")  # clashing names
