@@ -12,6 +12,10 @@ Defined results, as those of ``sinks.read_history_files``: a document that is no
 not, gives no rows and the problem ``not JSON``; one without the key gives ``no analyses key``;
 an empty list gives neither; null entries are rows of nulls; unknown fields are left out; empty
 files and folders give nothing.
+
+Many small documents need not be a file each: with ``mark`` a file holds several, each begun by it (as the
+record separator of RFC 7464, which JSON never holds unescaped). A running count of marks names the
+document of a piece; a document may lie in several splits, and one of white space alone is none.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ ELEMENT = T.StructType([*ANALYSIS_SCHEMA.fields, T.StructField(BAD, T.StringType
 HEADER = T.StructType([T.StructField("analyses", T.ArrayType(T.StructType([T.StructField("#", T.LongType())]))), T.StructField(BAD, T.StringType())])
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}
 RECORD_DEPTH = 2  # root object, list
+MARK = "\x1e"
 
 
 def _count(text: Column, chars: str) -> Column:
@@ -62,6 +67,13 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(ends, "file").select("file", "block", "at", F.when(bare, F.col("text")).otherwise(F.concat("text", F.lit("}"))).alias("text"))
 
 
+def _documents(pieces: DataFrame, mark: str) -> DataFrame:
+    """Pieces of files of several documents, cut at the marks; ``file`` tells the document."""
+    parts = _with_before(pieces, doc=_count(F.col("text"), mark)).select("file", "block", "at", "doc", F.posexplode(F.split("text", f"[{mark}]")).alias("k", "text"))
+    parts = parts.where(F.col("text").rlike(r"[^ \t\r\n]"))
+    return cut_lineage(parts.select(F.concat("file", F.lit("#"), (F.col("doc") + F.col("k")).cast("string")).alias("file"), "block", "at", "text"))
+
+
 def _start(tokens: Column, depth: Column, inside: Column) -> Column:
     """The number of the token that opens a record (0: none does)."""
     first = F.struct(F.lit(0).alias("i"), depth.cast("int").alias("depth"), inside.cast("int").alias("inside"), F.lit(0).alias("at"))
@@ -79,10 +91,12 @@ def _joined(order: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(order)), lambda s: s["text"]), "")
 
 
-def read_history_split(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """History JSON documents -> (analyses, problems), each document read by as many tasks as it has splits."""
+def read_history_split(spark: SparkSession, path: str, mark: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """History JSON documents -> (analyses, problems), each document read by as many tasks as it has splits.
+    ``mark``: the character that begins each document of a file (none: a file is a document)."""
     plain = F.regexp_replace("text", r"(?s)\\.", "")  # without escapes
-    p = _with_before(_pieces(spark, path), quotes=_count(plain, '"')).withColumn("quotes", F.col("quotes") % 2)
+    p = _pieces(spark, path)
+    p = _with_before(p if mark is None else _documents(p, mark), quotes=_count(plain, '"')).withColumn("quotes", F.col("quotes") % 2)
     outside = F.regexp_replace(F.concat(F.when(F.col("quotes") == 1, '"').otherwise(""), plain), '"[^"]*("|$)', "")
     p = p.withColumn("outside", outside).withColumn("deeper", _count(F.col("outside"), "{[") - _count(F.col("outside"), "}]"))
     # a record opens at depth 2; a piece that begins deeper must come up to it by a list's end first

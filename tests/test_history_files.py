@@ -77,3 +77,31 @@ def test_a_document_is_read_by_several_tasks(spark):
         assert sorted(r.id for r in rows.collect()) == list(range(300)) and problems.count() == 0
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("split", [128 << 20, 700])
+def test_several_documents_a_file(spark, split):
+    """The rows and problems of the same documents with a file each."""
+    want = both(SK.read_history_files, spark, folder(FILES))
+    texts = list(FILES.values())
+    root = folder({"a.json": "".join(HF.MARK + t + "\n" for t in texts[:8]), "b.json": HF.MARK + HF.MARK.join(texts[8:]) + HF.MARK, "c.json": texts[0]})
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        rows, problems = both(lambda s, path: HF.read_history_split(s, path, HF.MARK), spark, root)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    more = both(SK.read_history_files, spark, folder({"c.json": texts[0]}))[0]
+    assert rows == sorted(want[0] + more)
+    assert sorted(p for _, p in problems) == sorted(p for _, p in want[1])
+
+
+def test_documents_of_users_share_files(spark):
+    """No file or folder a user: their number does not grow with the documents."""
+    from callweave.plans import sink_queries as Q
+    from tests.conftest import SF001
+    path = Q.history_documents(spark, SF001)
+    found = [x for _, _, names in os.walk(path.removeprefix("file:")) for x in names if x.endswith(".txt")]
+    users = spark.read.parquet(f"{SF001}/events.parquet").select("user_id").distinct().count()
+    text = spark.read.option("wholetext", True).text(path)
+    assert sum(r.value.count(HF.MARK) for r in text.collect()) == users > 2 * len(found)
