@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from callweave.llm.common import prepare_python, written
 from callweave.operators.graph import star_components
 
-COSINE, PARTS, TILE, SEED = 0.9, 4, 4_096, 20
+COSINE, PARTS, TILE, SEED = 0.9, 4, 32_768, 20
+#: cells of the matrix of distances that are in memory at once
+STRIP = 1 << 24
 #: rounding of the rotated single-precision coordinates: candidates only, the exact check follows
 SLACK = 1e-3
 
@@ -123,15 +125,21 @@ def _group_links(group: pd.DataFrame, cosine: float, parts: int) -> pd.DataFrame
     s = slice(edges[part], edges[part + 1])
     share = budget * (edges[part + 1] - edges[part]) / dim + SLACK
     na, nb = (ta[:, s] ** 2).sum(axis=1), (tb[:, s] ** 2).sum(axis=1)
-    i, j = np.nonzero(na[:, None] + nb[None, :] - 2 * (ta[:, s] @ tb[:, s].T) <= share + SLACK)
-    keep = within(part, ta[i], tb[j])
-    if own:
-        keep &= i < j
-    for p in range(part):
-        keep[keep] = ~within(p, ta[i[keep]], tb[j[keep]])
-    i, j = i[keep], j[keep]
-    exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= cosine
-    i, j = i[exact], j[exact]
+    step = max(1, STRIP // len(b))
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for top in range(0, len(a), step):  # the tiles are large, so that few copies are made; their distances are not held at once
+        first = top if own else 0
+        i, j = np.nonzero(na[top:top + step, None] + nb[None, first:] - 2 * (ta[top:top + step, s] @ tb[first:, s].T) <= share + SLACK)
+        i, j = i + top, j + first
+        keep = within(part, ta[i], tb[j])
+        if own:
+            keep &= i < j
+        for p in range(part):
+            keep[keep] = ~within(p, ta[i[keep]], tb[j[keep]])
+        i, j = i[keep], j[keep]
+        exact = np.einsum("ij,ij->i", ua[i], ub[j]) >= cosine
+        found.append((i[exact], j[exact]))
+    i, j = (np.concatenate(x) for x in zip(*found))
     keys_a, keys_b, many_a, many_b = a["key"].to_numpy(), b["key"].to_numpy(), a["n"].to_numpy(), b["n"].to_numpy()
     links_a, links_b = np.bincount(i, many_b[j], len(a)), np.bincount(j, many_a[i], len(b))
     x, y = _forest(len(a) + len(b), i, j if own else j + len(a))

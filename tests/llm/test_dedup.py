@@ -198,3 +198,27 @@ def test_links_at_the_edge_of_a_block(spark):
         base += 1_000
     got = op08.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert {r.vec_id: r.n_links for r in got.collect()} == want
+
+
+def test_large_tiles_are_compared_in_strips(monkeypatch):
+    """A group's distances are not held at once, and the strips lose no link."""
+    import tracemalloc
+
+    import pandas as pd
+
+    from callweave.llm import op08_embeddings as op8
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(600, 4))
+    v = np.concatenate([base + rng.normal(scale=.01, size=base.shape) for _ in range(5)])
+    group = lambda side: pd.DataFrame({"key": np.arange(len(v)), "side": side, "two": False, "part": 0, "v": list(v), "n": 1})
+    whole = op8._group_links(group(0), 0.999, 1)
+    monkeypatch.setattr(op8, "STRIP", 100 * len(v))
+    tracemalloc.start()
+    strips = op8._group_links(group(0), 0.999, 1)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < len(v) ** 2 * 4 and len(whole[whole.other < 0]) > 2000
+    assert strips.reset_index(drop=True).equals(whole.reset_index(drop=True))
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.999
+    assert strips[strips.other < 0].groupby("key")["links"].sum().to_dict() == {i: k - 1 for i, k in enumerate(near.sum(axis=1)) if k > 1}
