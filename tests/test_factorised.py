@@ -61,6 +61,21 @@ def test_own_names_and_empty(spark):
     assert FC.strong_components(two).count() == 0 and FC.nested_call_ids(none, two).count() == 0
 
 
+def test_lists_of_callees_are_not_shuffled(spark, monkeypatch):
+    f = functions(spark, 60, 10, 4, 3)
+    two = FC.factorise(f)
+    n = FC.nested_call_ids(f, two).select("lookup_id", "nested_call_ids")
+    plan = n._jdf.queryExecution().executedPlan().toString().split("\n")
+    window = next(i for i, line in enumerate(plan) if " Window" in line)
+    join = max(i for i, line in enumerate(plan[:window]) if "SortMergeJoin" in line)
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above = [x for i, x in enumerate(plan[join + 1:window], join + 1) if all(depth(y) > depth(x) for y in plan[i + 1:window + 1])]
+    assert above and not [x for x in above if "Exchange" in x or "Sort " in x]  # between the window and the join to the functions
+    listed = rows(n)
+    monkeypatch.setattr(FC, "LISTED", 0)  # too many definers to broadcast
+    assert rows(FC.nested_call_ids(f, two).select("lookup_id", "nested_call_ids")) == listed == rows(G.nested_call_ids(f, G.resolve_calls(f)).select("lookup_id", "nested_call_ids"))
+
+
 def strong_by(pairs):
     """Components of two nodes or more, by closure."""
     reach = {}

@@ -133,3 +133,14 @@ def test_upsert(spark):
     new = spark.createDataFrame([("a", 2, "x2"), ("c", 2, "z")], "lookup_id string, seq int, v string")
     got = sorted((r.lookup_id, r.v) for r in SK.upsert(old, new).collect())
     assert got == [("a", "x2"), ("b", "y"), ("c", "z")]
+
+
+def test_compressed_exports_read_back_the_same(spark, tmp_path):
+    f = spark.createDataFrame([("a", "x", ["b", "c"]), ("b", "y", [])], "lookup_id string, name string, nested_call_ids array<string>").selectExpr(
+        "*", "'p/q.py' AS file_path", "'r' AS repository_name", "'m' AS module_name", "1 AS start_line", "2 AS end_line", "true AS is_async", "'c' AS class_context",
+        "array('x') AS calls", "array('d') AS decorators", "named_struct('has_try_catch', true, 'error_types', array('E')) AS error_handling")
+    for fmt, folder in (("csv", ""), ("json", "/functions")):
+        SK.export_lookup(f, str(tmp_path / fmt), fmt)
+        SK.export_lookup(f, str(tmp_path / f"{fmt}.gz"), fmt, "gzip")
+        read = lambda at: sorted(map(str, getattr(spark.read.option("header", True), fmt)(str(tmp_path / at) + folder).collect()))  # noqa: B023,E731
+        assert read(fmt) == read(f"{fmt}.gz") and list((tmp_path / f"{fmt}.gz{folder}").glob("*.gz"))
